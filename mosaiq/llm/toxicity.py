@@ -29,7 +29,7 @@ class Automaton:
 
     A state is the set of (trie node, edits so far) that the read letters can reach; it dies as soon as no term
     is within reach. Terms of `fuzzy` letters and more allow one edit, others none. A term with a trailing *
-    matches any word that begins with it.
+    matches any word that begins with it, without edits.
     """
 
     terms: dict[str, float]
@@ -43,7 +43,7 @@ class Automaton:
 
     def __post_init__(self):
         for term in self.terms:
-            node, size = 0, len(term.rstrip("*"))
+            node, size = 0, 0 if term.endswith("*") else len(term)  # beginnings allow no edit
             for ch in term.rstrip("*"):
                 self.longest[node] = max(self.longest[node], size)
                 if ch not in self.children[node]:
@@ -95,7 +95,7 @@ class Automaton:
             state = self.step(state, ch) if nxt is None else nxt
             if not state:
                 return None
-        hits = [(e, self.end[n]) for n, e in self.states[state] if n in self.end and (not e or len(self.end[n].rstrip("*")) >= self.fuzzy)]
+        hits = [(e, self.end[n]) for n, e in self.states[state] if n in self.end and (not e or len(self.end[n]) >= self.fuzzy and not self.end[n].endswith("*"))]
         if not hits:
             return None
         edits, term = min(hits)
@@ -146,7 +146,7 @@ def features(text: str, automaton: Automaton, memory: dict) -> list[float]:
     return [math.log1p(abuse), math.log1p(quoted), math.log1p(misspelt), math.log1p(100 * hits / max(words, 1)), float(min(len(kinds), 4)), math.log1p(addressed), 1.0]
 
 
-def learn_terms(texts: list[str], toxic: list[int], least: int = 4, ratio: float = 6.0) -> dict[str, float]:
+def learn_terms(texts: list[str], toxic: list[int], least: int = 4, ratio: float = 8.0) -> dict[str, float]:
     """Words and word beginnings (term*) that many more toxic than other texts hold, with their log ratios.
 
     A beginning is taken if it holds well beyond each single word; what it covers is not listed again.
