@@ -15,19 +15,22 @@ from mosaiq.llm.common import salted_left_join, write_table
 FIELD = "<*>"
 
 
-def tokens(line: Column) -> Column:
-    """Words of a line; those with a digit are variable fields."""
-    return F.transform(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), ""), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+SPACE = r"\x20\x09-\x0D"
 
 
-def generalise(lines: list[list[str]], similar: float) -> list[int]:
+def masked(line: Column) -> Column:
+    """A line whose words with a digit are variable fields."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{SPACE}]*[0-9][^{SPACE}]*", FIELD)).otherwise(line)
+
+
+def generalise(lines: list[list[bytes]], similar: float) -> list[int]:
     """Template number of each line of a leaf; all have one token count.
 
     Lines come in sorted order; a line joins the template that agrees with it in most places, if those are at least
     `similar` of all (ties: the first), and places where they differ become fields, which agree with nothing but
     fields; else it founds a template.
     """
-    number = {FIELD: 0}
+    number = {FIELD.encode(): 0}
     rows = np.array([[number.setdefault(w, len(number)) for w in x] for x in lines], np.int32).reshape(len(lines), -1)
     made = np.empty_like(rows)
     out, n, width = [], 0, max(1, rows.shape[1])
@@ -43,37 +46,42 @@ def generalise(lines: list[list[str]], similar: float) -> list[int]:
     return out
 
 
-def tree(docs: DataFrame, depth: int, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines that have a word, the same with their masked words, and the leaves that hold several kinds of line.
+def tree(docs: DataFrame, depth: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(all lines that have a word, by hashes only; the leaves that hold several kinds of line).
 
     A leaf of the tree is a token count with the first `depth` tokens. A leaf with over `leaf` different lines is
     parted by twice the leading tokens, and what then still is too large by all of them: equal lines only. So a
     leaf's work is bounded and no line is left out. Null texts have no lines.
     """
     rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("place", "line"))
-    words = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("words", tokens(F.col("line")))
+    rows = rows.where(F.col("line").rlike(f"[^{SPACE}]")).select("doc_id", "rid", "place", masked(F.col("line")).alias("line"))
+    words = rows.withColumn("words", F.array_remove(F.split("line", f"[{SPACE}]+"), ""))
     lead = lambda k: F.xxhash64(F.size("words"), F.slice("words", 1, k))
-    marked = words.select("doc_id", "rid", "place", F.xxhash64("words").alias("same"), lead(depth).alias("l1"), lead(2 * depth).alias("l2"), F.array_join("words", " ").alias("masked"))
-    narrow = write_table(marked.drop("masked"), "lines")
+    narrow = write_table(words.select("doc_id", "rid", "place", F.xxhash64("line").alias("same"), lead(depth).alias("l1"), lead(2 * depth).alias("l2")), "lines")
     distinct = narrow.groupBy("l1", "l2", "same").agg(F.count(F.lit(1)).alias("n"))
     sizes = distinct.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
     tops = sizes.groupBy("l1").agg(F.sum("kinds").alias("kinds1"), F.sum("n").alias("n1"))
     # leaves with one kind of line need no tree, nor do those too large at twice the depth
     plan = sizes.join(tops, "l1").where("kinds1 > 1")
     plan = plan.select("l1", "l2", F.when(F.col("kinds1") <= leaf, F.col("l1")).when((F.col("kinds") <= leaf) & (F.col("kinds") > 1), F.col("l2")).alias("leaf")).where("leaf is not null")
-    return narrow, marked, plan
+    return narrow, plan
 
 
-def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int = 4000) -> DataFrame:
+def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int = 512) -> DataFrame:
     """(doc_id, rid, place, same, template) of each line with a word; template: the smallest `same` of its cluster."""
-    narrow, marked, plan = tree(docs, depth, leaf)
+    narrow, plan = tree(docs, depth, leaf)
     plan = write_table(plan, "leaves")
-    kinds = salted_left_join(marked.select("l1", "l2", "same", "masked"), plan, ["l1", "l2"], F.col("same")).where("leaf is not null")
-    kinds = kinds.groupBy("leaf", "same").agg(F.min("masked").alias("masked"))
+    # a place for each kind of line in a leaf; only these lines' texts are fetched
+    kinds = narrow.groupBy("l1", "l2", "same").agg(F.min(F.struct("rid", "place")).alias("at"))
+    kinds = salted_left_join(kinds, plan, ["l1", "l2"], F.col("same")).where("leaf is not null").select("leaf", "same", "at.*")
+    wanted = kinds.dropDuplicates(["leaf", "same"]).groupBy("rid").agg(F.collect_list(F.struct("leaf", "same", "place")).alias("want"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
+    kinds = texts.join(wanted, "rid").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
+    kinds = kinds.select("w.leaf", "w.same", masked(F.get("lines", F.col("w.place"))).alias("masked")).dropDuplicates(["leaf", "same"])
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["masked", "same"], ignore_index=True)
-        lines = [x.split(" ") for x in rows["masked"]]
+        lines = [x.encode("utf-8", "replace").split() for x in rows["masked"]]
         size = pd.Series([len(x) for x in lines])
         top = np.zeros(len(rows), np.int64)
         for _, at in size.groupby(size).groups.items():  # one size, unless two hashes are equal
