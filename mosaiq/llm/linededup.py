@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,18 +79,29 @@ def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int = 51
     kinds = texts.join(wanted, "rid").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
     kinds = kinds.select("w.leaf", "w.same", masked(F.get("lines", F.col("w.place"))).alias("masked")).dropDuplicates(["leaf", "same"])
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["masked", "same"], ignore_index=True)
-        lines = [x.encode("utf-8", "replace").split() for x in rows["masked"]]
-        size = pd.Series([len(x) for x in lines])
-        top = np.zeros(len(rows), np.int64)
-        for _, at in size.groupby(size).groups.items():  # one size, unless two hashes are equal
-            k = generalise([lines[i] for i in at], similar)
-            same = rows["same"].to_numpy()[at]
-            top[at] = pd.Series(same).groupby(np.array(k)).transform("min").to_numpy()
-        return pd.DataFrame({"same": rows["same"], "template": top})
-
-    found = kinds.groupBy("leaf").applyInPandas(work, "same long, template long").where("same <> template").dropDuplicates(["same"])
+    def settle(rows: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int]]:
+        """(same, template) of the lines of one leaf that aren't their template's smallest."""
+        rows.sort(key=lambda x: x[1:])
+        split = [x[1].split() for x in rows]
+        for size in {len(x) for x in split}:  # one size, unless two hashes are equal
+            own = [i for i, x in enumerate(split) if len(x) == size]
+            least: dict[int, int] = {}
+            found = generalise([split[i] for i in own], similar)
+            for i, k in zip(own, found, strict=True):
+                least[k] = min(least.get(k, rows[i][2]), rows[i][2])
+            yield from ((rows[i][2], least[k]) for i, k in zip(own, found, strict=True) if rows[i][2] != least[k])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, bytes, int]]:
+            for batch in batches:
+                yield from zip(batch.column("leaf").to_pylist(), batch.column("masked").cast(pa.binary()).to_pylist(), batch.column("same").to_pylist(), strict=True)
+
+        for _, leaf_rows in groupby(rows(), key=lambda x: x[0]):  # sorted by leaf; a leaf is bounded
+            if out := list(settle(list(leaf_rows))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["same", "template"])
+
+    sorted_rows = kinds.repartition("leaf").sortWithinPartitions("leaf")
+    found = sorted_rows.mapInArrow(work, "same long, template long").dropDuplicates(["same"])
     return salted_left_join(narrow.drop("l1", "l2"), found, ["same"], F.struct("rid", "place")).withColumn("template", F.coalesce("template", "same"))
 
 
