@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +18,12 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 1
 #: Distinct words whose ids a worker remembers before it starts anew; a bound on memory, not on results.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Words whose parting the tokenizer's own rule fixes and that need no Unicode tables: printable ASCII and the letters
+#: of Latin-1. Others, and those that could hold a special token, go through the tokenizer whole.
+PLAIN = re.compile(r"[!-~¡¿«»À-ÖØ-öø-ÿ]+")
+#: Fixed value: the rule by which the tokenizer file parts lower-cased text, for such words.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
@@ -30,24 +39,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.reset()
 
+    def ids_of_parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part. Parts go in long strings, apart by spaces; a part's last id is one that closes a word."""
+        out: list[list[int]] = []
+        texts = [" ".join(parts[i : i + 4000]) for i in range(0, len(parts), 4000)]
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids, begin = found.ids, 0
+            for end in (np.flatnonzero(self.closes[ids]) + 1).tolist():
+                out.append(ids[begin:end])
+                begin = end
+        return out
+
     def reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.empty(1 << 20, np.uint32), np.zeros(1, np.int64), 0
+        self.parts: dict[str, list[int]] = {}
+        self.flat, self.starts, self.used = np.empty(1 << 20, np.uint32), np.zeros(1, np.int32), 0
 
     def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words: of their parts, each of which is encoded once."""
         if not words:
             return
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        gc.disable()  # what is remembered holds no cycles; looking for them would cost more than all else here
+        plain = [PLAIN.fullmatch(w) is not None and "<|" not in w for w in words]
+        split = [PARTS.findall(w.lower()) if ok else [w] for w, ok in zip(words, plain, strict=True)]
+        parts = self.parts
+        new = list({p for x, ok in zip(split, plain, strict=True) if ok for p in x if p not in parts})
+        parts.update(zip(new, self.ids_of_parts(new), strict=True))
+        new = list({x[0] for x, ok in zip(split, plain, strict=True) if not ok and x[0] not in parts})
+        parts.update((p, e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        found = [parts[x[0]] if len(x) == 1 else [i for p in x for i in parts[p]] for x in split]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes)])
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes)]).astype(np.int32)
         self.used += len(ids)
+        gc.freeze()
+        gc.enable()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an END after each text's, and where each text's ids end."""
@@ -56,15 +91,19 @@ class Encoder:
         if len(self.place) > REMEMBERED:
             self.reset()
         known = words.dictionary.to_pylist()
-        self.learn([x for x in known if x not in self.place])
-        place = np.fromiter((self.place[x] for x in known), np.int64, len(known))
-        which = place[words.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
-        begin, sizes = self.starts[which], self.starts[which + 1] - self.starts[which]
+        place = list(map(self.place.get, known))
+        if new := [i for i, x in enumerate(place) if x is None]:
+            at = len(self.place)
+            self.learn([known[i] for i in new])
+            for n, i in enumerate(new):
+                place[i] = at + n
+        which = np.array(place, np.int32)[words.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int32)
+        begin, sizes = self.starts[which], (self.starts[1:] - self.starts[:-1])[which]
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(sizes)])
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
         ends = before[bounds[1:]] + np.arange(1, len(bounds))
         if len(sizes):
-            at = np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])
+            at = np.repeat(begin - before[:-1], sizes) + np.arange(before[-1], dtype=np.int32)
             ids = self.flat[at]
         else:
             ids = np.zeros(0, np.uint32)
@@ -75,6 +114,22 @@ class Encoder:
         return out, ends
 
 
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `most` bytes of text, or one row."""
+    begin = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        size += n
+        if size >= most or i == batch.num_rows - 1:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that words learnt in one serve the next."""
+    return Encoder(path)
+
+
 def cut(tokens: int, capacity: int, least: int) -> list[int]:
     """Lengths of a document's pieces: whole sequences, then capacity/2, capacity/4, ..., and a rest under `least`."""
     out, size = [capacity] * (tokens // capacity), capacity
@@ -156,16 +211,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, least: int = 16)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = Encoder(tokenizer), HarmonicPacker(TaskContext.get().partitionId() << 40, capacity, least)
+        own, packer = encoder(tokenizer), HarmonicPacker(TaskContext.get().partitionId() << 40, capacity, least)
 
         def rows() -> Iterator[pa.RecordBatch]:
             if found := packer.take():
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, ends = encoder.encode(part.column(1))
+            for part in slices(batch):
+                ids, ends = own.encode(part.column(1))
                 begin = 0
                 for doc, end in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
                     packer.add(doc, ids[begin:end].copy() if end - begin < capacity else ids[begin:end])
