@@ -1,4 +1,411 @@
-"""Registered queries of the raster engine and their SQL."""
+"""Registered queries of the raster engine, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mosaiq.functions import color as C
+from mosaiq.functions import geometry as G
+from mosaiq.operators import aggregates as A
+from mosaiq.operators import joins as J
+from mosaiq.operators import reshape as R
+from mosaiq.operators import sequential as S
+from mosaiq.plans import fixtures as X
+from mosaiq.sources import codecs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, longs: str = "", others: str = ""):
+    """Register f under a name. longs: columns that are bigint in both; others: columns taken as they are."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*(F.col(c).cast("bigint").alias(c) for c in longs.split()), *others.split()) if longs or others else df
+
+        QUERIES[name] = run
+        if sql:
+            head, _, body = sql.rpartition("==")
+            with_ = f"WITH {head.strip()} " if head.strip() else ""
+            ORACLE_SQL[name] = f"{with_}SELECT {', '.join([*(f'CAST({c} AS BIGINT) AS {c}' for c in longs.split()), *others.split()])} FROM ({body.strip()})"
+        return f
+
+    return put
+
+
+c = F.col
+
+
+@query("gray_from_rgb", f"{X.RGB} == SELECT y, sum((r*77 + g*151 + b*28) >> 8) AS total, min((r*77 + g*151 + b*28) >> 8) AS low, max((r*77 + g*151 + b*28) >> 8) AS high, count(*) AS n FROM rgb GROUP BY y", "y total low high n")
+def _(s, d):
+    v = X.rgb8(s, d).select("y", C.gray_from_rgb(c("r"), c("g"), c("b")).alias("v"))
+    return v.groupBy("y").agg(F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+
+
+@query("gray_pixels", f"{X.RGB} == SELECT y, x, (r*77 + g*151 + b*28) >> 8 AS v FROM rgb", "y x v")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", C.gray_from_rgb(c("r"), c("g"), c("b")).alias("v"))
+
+
+@query("gray_from_palette", f"{X.INDEXED}, {X.PALETTE} == SELECT y, x, (p.r*77 + p.g*151 + p.b*28) >> 8 AS v FROM ind JOIN pal p USING (idx)", "y x v")
+def _(s, d):
+    return J.gray_from_palette(X.indexed(s, d), X.palette(s, d))
+
+
+@query("palette_to_rgb", f"{X.INDEXED}, {X.PALETTE} == SELECT y, x, idx, p.r, p.g, p.b FROM ind JOIN pal p USING (idx)", "y x idx r g b")
+def _(s, d):
+    return J.with_palette(X.indexed(s, d), X.palette(s, d))
+
+
+@query("palette16_to_rgb", f"{X.INDEXED}, {X.PALETTE} == SELECT y, x, (p.r*257) >> 8 AS r, (p.g*257) >> 8 AS g, (p.b*257) >> 8 AS b FROM ind JOIN pal p USING (idx)", "y x r g b")
+def _(s, d):
+    return J.with_palette(X.indexed(s, d), X.palette(s, d).select("idx", *((c(k) * 257).alias(k) for k in "rgb")))
+
+
+for _name, _flip in (("minisblack", False), ("miniswhite", True)):
+
+    @query(f"gray_map_{_name}", f"{X.GRAY} == SELECT y, x, ({'15 - v // 16' if _flip else 'v // 16'}) * 255 // 15 AS v FROM gray", "y x v")
+    def _(s, d, flip=_flip):
+        return X.gray8(s, d).select("y", "x", C.gray_level(C.idiv(c("v"), 16), 4, flip).alias("v"))
+
+
+@query("gray16_to_8", f"{X.GRAY} == SELECT y, x, (v*257 + x) >> 8 AS v FROM gray", "y x v")
+def _(s, d):
+    return X.gray8(s, d).select("y", "x", C.gray_level(c("v") * 257 + c("x"), 16).alias("v"))
+
+
+@query("depth16_to_8", f"{X.RGB} == SELECT y, x, (r*257 + 128) // 257 AS r, (g*256 + 128) // 257 AS g, (b*200 + 128) // 257 AS b FROM rgb", "y x r g b")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(C.depth16_to_8(c(k) * n).alias(k) for k, n in (("r", 257), ("g", 256), ("b", 200))))
+
+
+@query("premultiply_alpha", f"{X.RGB} == SELECT y, x, (r*(x*5%256) + 127) // 255 AS r, (g*(x*5%256) + 127) // 255 AS g, (b*(x*5%256) + 127) // 255 AS b FROM rgb", "y x r g b")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(C.premultiply(c(k), c("x") * 5 % 256).alias(k) for k in "rgb"))
+
+
+@query("cmyk_to_rgb", f"{X.RGB} == SELECT y, x, (255-k)*(255-r)//255 AS r, (255-k)*(255-g)//255 AS g, (255-k)*(255-b)//255 AS b FROM (SELECT *, x*5%256 AS k FROM rgb)", "y x r g b")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip("rgb", C.cmyk_to_rgb(c("r"), c("g"), c("b"), c("x") * 5 % 256), strict=True)))
+
+
+@query("pack_abgr", f"{X.RGB} == SELECT y, x, r + g*256 + b*65536 + 4278190080 AS abgr FROM rgb", "y x abgr")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", C.rgba("rgb", c("r"), c("g"), c("b")).alias("abgr"))
+
+
+@query("unpack_abgr", f"{X.RGB} == SELECT y, x, r, g, b, x*5%256 AS a FROM rgb", "y x r g b a")
+def _(s, d):
+    packed = X.rgb8(s, d).select("y", "x", C.pack_abgr(c("r"), c("g"), c("b"), c("x") * 5 % 256).alias("p"))
+    return packed.select("y", "x", *(v.alias(k) for k, v in C.unpack_abgr(c("p")).items()))
+
+
+@query("invert", f"{X.GRAY} == SELECT y, x, 255 - v AS v FROM gray", "y x v")
+def _(s, d):
+    return X.gray8(s, d).select("y", "x", C.invert(c("v")).alias("v"))
+
+
+@query("threshold", f"{X.GRAY} == SELECT y, sum(CASE WHEN v > 128 THEN 1 ELSE 0 END) AS ink FROM gray GROUP BY y", "y ink")
+def _(s, d):
+    return X.gray8(s, d).groupBy("y").agg(F.sum(C.threshold(c("v"))).alias("ink"))
+
+
+@query("bit_unpack", f"{X.GRAY} == SELECT y, x*4 + k AS x, (v >> (6 - 2*k)) & 3 AS v FROM gray, (SELECT unnest([0, 1, 2, 3]) AS k)", "y x v")
+def _(s, d):
+    return X.gray8(s, d).select("y", c("x").alias("x0"), F.posexplode(C.bits_of(c("v"), 2)).alias("k", "v")).select("y", (c("x0") * 4 + c("k")).alias("x"), "v")
+
+
+@query("popcount", f"{X.GRAY} == SELECT y, sum(bit_count(v)) AS ink FROM gray GROUP BY y", "y ink")
+def _(s, d):
+    return X.gray8(s, d).groupBy("y").agg(F.sum(F.bit_count("v")).alias("ink"))
+
+
+@query("ycbcr_to_rgb", f"""{X.RGB} == SELECT y, x, greatest(0, least(255, r + CAST(floor(((b-128)*91881 + 32768)/65536.0) AS BIGINT))) AS r2,
+ greatest(0, least(255, r + CAST(floor((-((b-128)*46802) - (g-128)*22554 + 32768)/65536.0) AS BIGINT))) AS g2, greatest(0, least(255, r + CAST(floor(((g-128)*116130 + 32768)/65536.0) AS BIGINT))) AS b2 FROM rgb""", "y x r2 g2 b2")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.ycbcr_to_rgb(c("r"), c("g"), c("b")), strict=True)))
+
+
+@query("logl16_to_y", f"{X.GRAY} == SELECT y, x, CASE WHEN v = 0 THEN 0.0 ELSE round(exp(0.693147180559945309417/256.0*(v*64 + 0.5) - 0.693147180559945309417*64.0), 12) END AS lum FROM gray", "y x", "lum")
+def _(s, d):
+    return X.gray8(s, d).select("y", "x", F.round(C.logl16_to_y(c("v") * 64), 12).alias("lum"))
+
+
+# geometry; the height of gray is the number of vectors, its width 64
+_H = "(SELECT count(*) FROM embeddings)"
+
+
+def _placed(name: str, sx: str, sy: str, f: Callable[[Column, Column, int, int], tuple[Column, Column]]) -> None:
+    @query(name, f"{X.GRAY} == SELECT {sx} AS x, {sy} AS y, v FROM gray", "y x v")
+    def _(s, d):
+        nx, ny = f(c("x"), c("y"), X.WIDTH, X.rows_of_gray(s, d))
+        return X.gray8(s, d).select(nx.alias("x"), ny.alias("y"), "v")
+
+
+for _deg, _sx, _sy in ((90, f"{_H} - 1 - y", "x"), (180, "63 - x", f"{_H} - 1 - y"), (270, "y", "63 - x")):
+    _placed(f"rotate{_deg}", _sx, _sy, lambda x, y, w, h, a=_deg: G.rotate(x, y, w, h, a))
+for _how, _sx, _sy in (("horizontal", "63 - x", "y"), ("vertical", "x", f"{_H} - 1 - y"), ("both", "63 - x", f"{_H} - 1 - y")):
+    _placed(f"mirror_{_how}", _sx, _sy, lambda x, y, w, h, a=_how: G.mirror(x, y, w, h, a))
+for _o, _sx, _sy in ((1, "x", "y"), (2, "63 - x", "y"), (3, "63 - x", f"{_H} - 1 - y"), (4, "x", f"{_H} - 1 - y"), (5, "y", "x"), (6, f"{_H} - 1 - y", "x"), (7, f"{_H} - 1 - y", "63 - x"), (8, "y", "63 - x")):
+    _placed(f"orientation_{_o}", _sx, _sy, lambda x, y, w, h, a=_o: G.upright(x, y, w, h, a))
+
+
+@query("crop_margins", f"{X.GRAY} == SELECT y - 10 AS y, x - 8 AS x, v FROM gray WHERE x BETWEEN 8 AND 59 AND y BETWEEN 10 AND {_H} - 21", "y x v")
+def _(s, d):
+    return G.crop_margins(X.gray8(s, d), X.WIDTH, X.rows_of_gray(s, d), 8, 10, 4, 20)
+
+
+@query("crop_edge", f"{X.GRAY} == SELECT y, x - 48 AS x, v FROM gray WHERE x >= 48", "y x v")
+def _(s, d):
+    return G.crop_edge(X.gray8(s, d), X.WIDTH, X.rows_of_gray(s, d), "right", 16)
+
+
+@query("crop_zones", f"{X.GRAY} == SELECT y, x - 21 AS x, v FROM gray WHERE x BETWEEN 21 AND 41", "y x v")
+def _(s, d):
+    return G.zone(X.gray8(s, d), X.WIDTH, 2, 3, "x")
+
+
+_REGIONS = [(1, 0, 0, 9, 9), (2, 5, 5, 30, 20), (3, 60, 100, 63, 120)]
+
+
+def _regions(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(_REGIONS, "region_id long, x1 long, y1 long, x2 long, y2 long")
+
+
+_REG = f"reg(region_id, x1, y1, x2, y2) AS (VALUES {', '.join(map(str, _REGIONS))})"
+
+
+@query("crop_regions", f"{X.GRAY}, {_REG} == SELECT region_id, y - y1 AS y, x - x1 AS x, v FROM gray JOIN reg ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2", "region_id y x v")
+def _(s, d):
+    return J.regions_of(X.gray8(s, d), _regions(s))
+
+
+@query("composite_regions", f"{X.GRAY}, {_REG}, b AS (SELECT *, coalesce(sum(y2 - y1 + 1) OVER (ORDER BY region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM reg) == SELECT y - y1 + base AS y, x - x1 AS x, v FROM gray JOIN b ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2", "y x v")
+def _(s, d):
+    return J.composite(X.gray8(s, d), _regions(s))
+
+
+@query("sections", f"{X.RGB} == SELECT (y // 100)*3 + x // 17 AS section, count(*) AS n, sum(x % 17) AS sx FROM rgb WHERE y < 300 GROUP BY 1", "section n sx")
+def _(s, d):
+    return G.sections(X.rgb8(s, d).where("y < 300"), X.RGB_WIDTH, 300, 3, 3).groupBy("section").agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
+
+
+@query("channel_extract", f"{X.RGB} == SELECT y, x, g AS v FROM rgb", "y x v")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", F.element_at(F.array("r", "g", "b"), 2).alias("v"))
+
+
+@query("tile_address", f"{X.GRAY} == SELECT (y // 16)*3 + x // 24 AS tile, count(*) AS n, sum(v) AS total FROM gray GROUP BY 1", "tile n total")
+def _(s, d):
+    t = G.tile_index(c("x"), c("y"), X.WIDTH, X.rows_of_gray(s, d), 24, 16)
+    return X.gray8(s, d).groupBy(t.alias("tile")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("strip_address", f"{X.GRAY} == SELECT y // 7 AS strip, count(*) AS n, sum(v) AS total FROM gray GROUP BY 1", "strip n total")
+def _(s, d):
+    return X.gray8(s, d).groupBy(G.strip_index(c("y"), X.rows_of_gray(s, d), 7).alias("strip")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("size_maths", "== SELECT p_partkey AS w, (p_partkey*p_size*3 + 7)//8 AS line, (p_partkey*p_size + 7)//8 AS plane_line, (((p_partkey + 1)//2*6*8 + 7)//8)//2 AS sub_line, greatest(8192 // greatest((p_partkey*p_size*3 + 7)//8, 1), 1) AS strip_rows FROM part", "w line plane_line sub_line strip_rows")
+def _(s, d):
+    w, bits = c("p_partkey"), c("p_size")
+    line = G.scanline_bytes(w, bits, 3)
+    return X.table(s, d, "part").select(w.alias("w"), line.alias("line"), G.scanline_bytes(w, bits, 3, planar=True).alias("plane_line"), G.scanline_bytes(w, 8, 3, subsampling=(2, 2)).alias("sub_line"), G.default_rows_per_strip(line).alias("strip_rows"))
+
+
+# layout
+@query("tile_rechunk", f"{X.GRAY} == SELECT (y // 16)*3 + x // 24 AS tile, array_to_string(list(v ORDER BY y, x), ',') AS samples FROM gray GROUP BY 1", "tile", "samples")
+def _(s, d):
+    return R.rechunk(X.gray8(s, d), X.WIDTH, X.rows_of_gray(s, d), 24, 16).withColumn("samples", F.array_join(F.transform("samples", lambda v: v.cast("string")), ","))
+
+
+@query("tile_unchunk", f"{X.GRAY} == SELECT y, x, v FROM gray", "y x v")
+def _(s, d):
+    h = X.rows_of_gray(s, d)
+    return R.unchunk(R.rechunk(X.gray8(s, d), X.WIDTH, h, 24, 16), X.WIDTH, 24, 16)
+
+
+@query("band_split", f"{X.RGB} == SELECT y, x, plane, v FROM (SELECT y, x, unnest([0, 1, 2]) AS plane, unnest([r, g, b]) AS v FROM rgb)", "y x plane v")
+def _(s, d):
+    return R.band_split(X.rgb8(s, d))
+
+
+@query("band_merge", f"{X.RGB} == SELECT y, x, r, g, b FROM rgb", "y x r g b")
+def _(s, d):
+    return R.band_merge(R.band_split(X.rgb8(s, d)))
+
+
+@query("page_select", f"{X.GRAY} == SELECT page AS dir_index, count(*) AS n, sum(v) AS total FROM gray WHERE page % 2 = 0 OR page = (SELECT max(page) FROM gray) GROUP BY 1", "dir_index n total")
+def _(s, d):
+    pages = X.gray8(s, d).groupBy(c("page").alias("dir_index")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return R.select_pages(pages, "odd").union(R.select_pages(pages, "last")).distinct()
+
+
+@query("page_concat", f"{X.GRAY}, p AS (SELECT page, sum(v) AS total FROM gray GROUP BY page), a AS (SELECT 0 AS source, row_number() OVER (ORDER BY page) - 1 AS dir_index, total FROM p WHERE page >= 3), n AS (SELECT count(*) AS n FROM a) == SELECT * FROM a UNION ALL SELECT 1, n + row_number() OVER (ORDER BY page) - 1, total FROM p, n WHERE page < 3", "source dir_index total")
+def _(s, d):
+    pages = X.gray8(s, d).groupBy(c("page").alias("dir_index")).agg(F.sum("v").alias("total"))
+    return R.concat_pages(pages.where("dir_index >= 3"), pages.where("dir_index < 3"))
+
+
+@query("split_names", "== SELECT o_orderkey AS n, CASE WHEN o_orderkey < 17576 THEN chr(CAST(97 + o_orderkey // 676 % 26 AS INTEGER)) || chr(CAST(97 + o_orderkey // 26 % 26 AS INTEGER)) || chr(CAST(97 + o_orderkey % 26 AS INTEGER)) END AS suffix FROM orders", "n", "suffix")
+def _(s, d):
+    return X.table(s, d, "orders").select(c("o_orderkey").alias("n"), R.split_name(c("o_orderkey")).alias("suffix"))
+
+
+# joins
+@query("bias_subtract", f"{X.BIAS} == SELECT g.y, g.x, greatest(g.v - b.v, 0) AS v FROM gray g JOIN bias b ON g.y = b.y AND g.x = b.x", "y x v")
+def _(s, d):
+    return J.bias_subtract(X.gray8(s, d), X.bias(s, d))
+
+
+@query("image_diff", f"{X.BIAS} == SELECT coalesce(g.y, b.y) AS y, coalesce(g.x, b.x) AS x, g.v AS \"left\", b.v AS \"right\" FROM (SELECT * FROM gray WHERE y < 400) g FULL JOIN (SELECT * FROM bias WHERE y >= 50) b ON g.y = b.y AND g.x = b.x WHERE g.v IS DISTINCT FROM b.v".replace('"left"', "lhs").replace('"right"', "rhs"), "y x lhs rhs")
+def _(s, d):
+    return J.compare(X.gray8(s, d).where("y < 400"), X.bias(s, d).where("y >= 50")).withColumnsRenamed({"left": "lhs", "right": "rhs"})
+
+
+@query("image_diff_limit", f"{X.BIAS} == SELECT g.y, g.x, g.v AS lhs, b.v AS rhs FROM gray g JOIN bias b ON g.y = b.y AND g.x = b.x WHERE g.v <> b.v ORDER BY 1, 2 LIMIT 100", "y x lhs rhs")
+def _(s, d):
+    return J.compare(X.gray8(s, d), X.bias(s, d), limit=100).withColumnsRenamed({"left": "lhs", "right": "rhs"})
+
+
+@query("tag_diff", "== SELECT coalesce(n_nationkey, r_regionkey) AS tag, n_name AS lhs, r_name AS rhs FROM nation FULL JOIN region ON n_nationkey = r_regionkey WHERE n_name IS DISTINCT FROM r_name", "tag", "lhs rhs")
+def _(s, d):
+    a = X.table(s, d, "nation").select(c("n_nationkey").alias("tag"), c("n_name").alias("v"))
+    b = X.table(s, d, "region").select(c("r_regionkey").alias("tag"), c("r_name").alias("v"))
+    return J.compare_tags(a, b).withColumnsRenamed({"left": "lhs", "right": "rhs"})
+
+
+@query("tag_defaults", "== SELECT c_custkey AS tag, coalesce(nullif(c_nationkey, 3), 1) AS orientation FROM customer", "tag orientation")
+def _(s, d):
+    return X.table(s, d, "customer").select(c("c_custkey").alias("tag"), F.coalesce(F.nullif(c("c_nationkey"), F.lit(3)), F.lit(1)).alias("orientation"))
+
+
+_NEAREST = f"{X.RGB}, {X.PALETTE}, k AS (SELECT DISTINCT r, g, b FROM rgb), m AS (SELECT k.r, k.g, k.b, min({{key}}) AS key FROM k, pal p GROUP BY ALL)"
+_NEAREST = _NEAREST.replace("{key}", "((p.r-k.r)*(p.r-k.r) + (p.g-k.g)*(p.g-k.g) + (p.b-k.b)*(p.b-k.b))*64 + p.idx")
+
+
+@query("nearest_palette", f"{_NEAREST} == SELECT r, g, b, key % 64 AS idx, key // 64 AS distance FROM m", "r g b idx distance")
+def _(s, d):
+    return J.nearest_palette(X.rgb8(s, d), X.palette(s, d))
+
+
+@query("quantise", f"{_NEAREST} == SELECT y, x, key % 64 AS idx FROM rgb JOIN m USING (r, g, b)", "y x idx")
+def _(s, d):
+    return J.quantise(X.rgb8(s, d), X.palette(s, d))
+
+
+# aggregates
+@query("rgb_histogram", f"{X.RGB} == SELECT r//8 AS r5, g//8 AS g5, b//8 AS b5, count(*) AS n FROM rgb GROUP BY ALL", "r5 g5 b5 n")
+def _(s, d):
+    return A.rgb_histogram(X.rgb8(s, d))
+
+
+@query("rgb_histogram_low_bits", f"{X.RGB} == SELECT r%32 AS r5, g%32 AS g5, b%32 AS b5, count(*) AS n FROM rgb GROUP BY ALL", "r5 g5 b5 n")
+def _(s, d):
+    return A.rgb_histogram(X.rgb8(s, d), low_bits=True)
+
+
+@query("color_range", f"{X.RGB} == SELECT min(r) AS min_r, max(r) AS max_r, min(g) AS min_g, max(g) AS max_g, min(b) AS min_b, max(b) AS max_b FROM rgb", "min_r max_r min_g max_g min_b max_b")
+def _(s, d):
+    return A.color_range(X.rgb8(s, d))
+
+
+@query("box_thumbnail", f"{X.GRAY} == SELECT y//8 AS y, x//8 AS x, 255*sum(CASE WHEN v > 128 THEN 1 ELSE 0 END)//count(*) AS v FROM gray GROUP BY y//8, x//8", "y x v")
+def _(s, d):
+    return A.box_thumbnail(X.gray8(s, d).select("y", "x", C.threshold(c("v")).alias("bit")), 8, 8)
+
+
+@query("overview_nearest", f"{X.GRAY} == SELECT y//4 AS y, x//4 AS x, v FROM gray WHERE y%4 = 0 AND x%4 = 0", "y x v")
+def _(s, d):
+    return A.overview(X.gray8(s, d), 4)
+
+
+@query("overview_avg", f"{X.GRAY} == SELECT y//2 AS y, x//2 AS x, sum(v)//count(*) AS v FROM gray GROUP BY y//2, x//2", "y x v")
+def _(s, d):
+    return A.overview(X.gray8(s, d), 2, "average")
+
+
+@query("overview_pyramid", f"{X.GRAY} == " + " UNION ALL ".join(f"SELECT {n} AS level, y//{n} AS y, x//{n} AS x, sum(v)//count(*) AS v FROM gray GROUP BY y//{n}, x//{n}" for n in (2, 4, 8)), "level y x v")
+def _(s, d):
+    return A.pyramid(X.gray8(s, d))
+
+
+@query("rgb_to_ycbcr_2x2", f"""{X.RGB}, p AS (SELECT y, x, r*0.299e0 + g*0.587e0 + b*0.114e0 AS luma, r, b FROM rgb),
+ q AS (SELECT *, (b - luma)/(2 - 2*0.114e0) + 128 AS cb, (r - luma)/(2 - 2*0.299e0) + 128 AS cr FROM p) ==
+ SELECT y//2 AS cy, x//2 AS cx, greatest(0, least(255, floor(round(avg(cb), 6) + 0.5))) AS cb, greatest(0, least(255, floor(round(avg(cr), 6) + 0.5))) AS cr,
+ array_to_string(list(CAST(greatest(0, least(255, floor(round(luma, 6) + 0.5))) AS BIGINT) ORDER BY y, x), ',') AS luma FROM q GROUP BY y//2, x//2""", "cy cx cb cr", "luma")
+def _(s, d):
+    return A.ycbcr_clumps(X.rgb8(s, d)).withColumn("luma", F.array_join(F.transform("luma", lambda v: v.cast("bigint").cast("string")), ","))
+
+
+@query("row_correlation", f"{X.GRAY} == SELECT a.y, round(corr(a.v, b.v), 9) AS corr FROM gray a JOIN gray b ON b.y = a.y + 1 AND b.x = a.x GROUP BY a.y", "y", "corr")
+def _(s, d):
+    return A.row_correlation(X.gray8(s, d)).withColumn("corr", F.round("corr", 9))
+
+
+@query("predictor_encode", f"{X.GRAY} == SELECT y, x, (v - coalesce(lag(v) OVER (PARTITION BY y ORDER BY x), 0) + 256) % 256 AS v FROM gray", "y x v")
+def _(s, d):
+    return A.predictor_encode(X.gray8(s, d))
+
+
+@query("predictor_decode", f"{X.GRAY} == SELECT y, x, v FROM gray", "y x v")
+def _(s, d):
+    return A.predictor_decode(A.predictor_encode(X.gray8(s, d)))
+
+
+@query("bytecount_repair", "f AS (SELECT o_custkey AS file_id, o_orderkey*100 AS \"offset\", CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 80 END AS bytecount FROM orders) == SELECT file_id, \"offset\" AS start, CASE WHEN bytecount = 0 THEN coalesce(lead(\"offset\") OVER (PARTITION BY file_id ORDER BY \"offset\"), 100000000) - \"offset\" ELSE bytecount END AS bytecount FROM f", "file_id start bytecount")
+def _(s, d):
+    f = X.table(s, d, "orders").select(c("o_custkey").alias("file_id"), (c("o_orderkey") * 100).alias("offset"), F.when(c("o_orderkey") % 3 == 0, 0).otherwise(80).alias("bytecount"), F.lit(100000000).alias("file_size"))
+    return A.estimate_bytecounts(f).withColumnRenamed("offset", "start")
+
+
+# sequential algorithms and codecs: beyond SQL
+@query("dither_fs")
+def _(s, d):
+    return S.dither(X.gray8(s, d).withColumn("image_id", C.idiv(c("y"), 50)))
+
+
+@query("median_cut")
+def _(s, d):
+    return S.palette_frame(s, S.median_cut(A.rgb_histogram(X.rgb8(s, d)), 64))
+
+
+@query("quantise_median_cut")
+def _(s, d):
+    return J.quantise(X.rgb8(s, d), S.palette_frame(s, S.median_cut(A.rgb_histogram(X.rgb8(s, d)), 64))).select("y", "x", "idx")
+
+
+@query("rational", "== SELECT p_partkey AS part, true AS near FROM part", "part", "near")
+def _(s, d):
+    p = X.table(s, d, "part").select(c("p_partkey").alias("part"), (c("p_retailprice") / 7).alias("v")).withColumn("q", S.to_rational("v"))
+    return p.select("part", (F.abs(c("q.num") / c("q.den") - c("v")) <= c("v") * 1e-9).alias("near"))
+
+
+def _round_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        lines = R.scanlines(X.gray8(s, d))
+
+        @F.pandas_udf("struct<packed:bigint,same:boolean>")
+        def pack(rows: pd.Series) -> pd.DataFrame:
+            out = []
+            for row in rows:
+                raw = np.asarray(row, np.uint8).tobytes()
+                coded = codecs.encode(scheme, raw, row=len(raw))
+                out.append((len(coded), codecs.decode(scheme, coded, size=len(raw), row=len(raw)) == raw))
+            return pd.DataFrame(out, columns=["packed", "same"])
+
+        return lines.select("y", F.size("samples").cast("bigint").alias("n"), pack("samples").alias("p")).select("y", "n", c("p.same").alias("same"))
+
+    return run
+
+
+for _scheme, (_name, _dec, _enc) in list(codecs.CODECS.items()):
+    if _dec and _enc:
+        query(f"codec_roundtrip_{_name.replace('-', '_')}", "== SELECT vec_id AS y, len(embedding) AS n, true AS same FROM embeddings", "y n", "same")(_round_trip(_scheme))
