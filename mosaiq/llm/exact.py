@@ -43,9 +43,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns: the row itself where its text is alone, else the winner's."""
-    key = ["_sha", "_size", "_fold"]
+    key = ["text_sha256", "size", "fold"]
     norm = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.withColumn("_norm", norm).withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("_size", F.octet_length("_norm")).withColumn("_fold", F.xxhash64("_norm")).drop("_norm")
-    groups = winners(docs).where("group_size > 1").toDF(*key, "_keep", "_n").withColumn("_hit", F.lit(True))
-    out = salted_left_join(rows, groups, key, F.col("doc_id"))
-    return out.where(F.col("_hit").isNull() | F.col("_keep").eqNullSafe(F.col("doc_id"))).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), norm.alias("norm"))  # a struct, so that no name clashes
+    rows = rows.select("row", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("size"), F.xxhash64("norm").alias("fold"))
+    groups = winners(docs).where("group_size > 1").withColumn("hit", F.lit(True))
+    out = salted_left_join(rows, groups, key, F.col("row.doc_id"))
+    return out.where(F.col("hit").isNull() | F.col("keep_id").eqNullSafe(F.col("row.doc_id"))).select("row.*")

@@ -94,7 +94,7 @@ def fit(texts: list[str], langs: list[str], order: int = 3, least: int = 4) -> P
     table = np.zeros((base,) * order, np.int32)
     for c in listed:  # shorter contexts first, so that longer ones overwrite
         table[(..., *c)] = number[c]
-    return PpmModel(names, symbol.astype(np.int32), base, table.reshape(-1), np.ascontiguousarray(cost.reshape(-1, len(names))))
+    return PpmModel(names, symbol.astype(np.int32), base, table.reshape(-1), np.ascontiguousarray(cost.reshape(cost.shape[0] * base, len(names))))
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -323,14 +323,16 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
     Halves of a character that a cut parts go too. Rows whose whole text went are dropped; rows that were empty stay.
     """
-    rows = keyed(docs)
+    names, schema = docs.columns, docs.schema
+    count = names.index("n_chars") if "n_chars" in names else None
+    own = ["text" if n == "text" else f"_c{i}" for i, n in enumerate(names)]  # no name clashes
+    renamed = docs.select(*(F.col(f"`{n}`").cast("string").alias(o) if n == "text" else F.col(f"`{n}`").alias(o) for n, o in zip(names, own, strict=True)))
+    rows = renamed.withColumn("rid", F.xxhash64(F.col(own[names.index("doc_id")]), F.col("text")))
     joined = rows.join(repeats(rows, length, **how), "rid", "left")
-    names = docs.columns
-    schema, count = docs.schema, names.index("n_chars") if "n_chars" in names else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
-            cols = [part.column(n) for n in names]
+            cols = [part.column(n) for n in own]
             cuts = [merged(x) for x in part.column("spans").to_pylist()]
             was = part.column("text").to_pylist()
             now = [_left(raw, c).decode("utf-8", "ignore") if c else old for raw, c, old in zip(texts, cuts, was, strict=True)]
