@@ -128,7 +128,7 @@ def _(s, d):
 
 
 @query("ycbcr_to_rgb", f"""{X.RGB} == SELECT y, x, greatest(0, least(255, r + CAST(floor(((b-128)*91881 + 32768)/65536.0) AS BIGINT))) AS r2,
- greatest(0, least(255, r + CAST(floor((-((b-128)*46802) - (g-128)*22554 + 32768)/65536.0) AS BIGINT))) AS g2, greatest(0, least(255, r + CAST(floor(((g-128)*116130 + 32768)/65536.0) AS BIGINT))) AS b2 FROM rgb""", "y x r2 g2 b2")
+ greatest(0, least(255, r + CAST(floor((-((b-128)*46802) - (g-128)*22553 + 32768)/65536.0) AS BIGINT))) AS g2, greatest(0, least(255, r + CAST(floor(((g-128)*116130 + 32768)/65536.0) AS BIGINT))) AS b2 FROM rgb""", "y x r2 g2 b2")
 def _(s, d):
     return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.ycbcr_to_rgb(c("r"), c("g"), c("b")), strict=True)))
 

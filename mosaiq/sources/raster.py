@@ -141,7 +141,7 @@ def encode_rasters(pixel_rows: DataFrame, dtype: str = "u1", **how) -> DataFrame
     """(path, content): a file for each path of pixels (path, dir_index, plane, y, x, v); one shuffle, on the path."""
     lines = pixel_rows.groupBy("path", "dir_index", "plane", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"].cast("double")).alias("samples"))
 
-    def work(key, rows: pa.Table) -> pa.Table:
+    def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         t = rows.sort_by([("dir_index", "ascending"), ("y", "ascending"), ("plane", "ascending")])
         pages: dict[int, dict[int, list]] = {}
         for page, y, samples in zip(*(t.column(c).to_pylist() for c in ("dir_index", "y", "samples")), strict=True):
