@@ -215,7 +215,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR, cap: int = 2
     instead, each window alone, which spreads them over all tasks.
     """
     found = write_table(find_anchors(rows, length, k), "anchors")
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").drop("n")
+    # written, so that the join below has an exchange of its own on either side and a hot key can be split
+    again = write_table(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").drop("n"), "keys")
     marked = write_table(found.join(again, "key"), "repeated")
     whole = lambda df: df.select("rid", (F.col("at") - F.col("dmax")).alias("s"), (F.col("at") - F.col("dmin") + length).alias("e"))
     mixed = marked.where("mixed").drop("mixed")
