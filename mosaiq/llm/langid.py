@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.common import trimmed
+
 SCHEMA = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
 
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
                 found = predict(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(trimmed(work), SCHEMA)
 
 
 def keep_known(docs: DataFrame, model: PpmModel) -> DataFrame:
@@ -174,4 +176,4 @@ def keep_known(docs: DataFrame, model: PpmModel) -> DataFrame:
                 part = batch.slice(at, 200)
                 yield part.filter(pa.array([x[0] != UNKNOWN for x in predict(shared.value, part.column(column).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)

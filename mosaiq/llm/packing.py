@@ -15,10 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.common import trimmed
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 1
 #: Distinct words whose ids a worker remembers before it starts anew; a bound on memory, not on results.
-REMEMBERED = 1_000_000
+REMEMBERED, REMEMBERED_PARTS = 500_000, 150_000
 #: Words whose parting the tokenizer's own rule fixes and that need no Unicode tables: printable ASCII and the letters
 #: of Latin-1. Others, and those that could hold a special token, go through the tokenizer whole.
 PLAIN = re.compile(r"[!-~¡¿«»À-ÖØ-öø-ÿ]+")
@@ -67,6 +69,8 @@ class Encoder:
         gc.disable()  # what is remembered holds no cycles; looking for them would cost more than all else here
         plain = [PLAIN.fullmatch(w) is not None and "<|" not in w for w in words]
         split = [PARTS.findall(w.lower()) if ok else [w] for w, ok in zip(words, plain, strict=True)]
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {}
         parts = self.parts
         new = list({p for x, ok in zip(split, plain, strict=True) if ok for p in x if p not in parts})
         parts.update(zip(new, self.ids_of_parts(new), strict=True))
@@ -228,4 +232,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, least: int = 16)
         packer.finish()
         yield from rows()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(work), PIECES)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import UPPER, LOWER, connected_components, salted_left_join, write_table
+from mosaiq.llm.common import connected_components, LOWER, salted_left_join, trimmed, UPPER, write_table
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Rows and columns of a tile.
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(trimmed(work), "doc_id long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:

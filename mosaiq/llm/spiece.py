@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.common import trimmed
+
 MARK = "▁"
 #: A marked word: its marks, then its letters. Pieces never hold a mark after a letter, so words are encoded alone.
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -217,7 +219,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(trimmed(work), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -228,7 +230,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(work), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -252,4 +254,4 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n_ids", "ids_crc32", "n_bytes_decoded", "exact"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_ids long, ids_crc32 long, n_bytes_decoded long, exact boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(trimmed(work), "doc_id long, n_ids long, ids_crc32 long, n_bytes_decoded long, exact boolean")

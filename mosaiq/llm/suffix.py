@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import salted_left_join, write_table
+from mosaiq.llm.common import salted_left_join, trimmed, write_table
 
 LENGTH, ANCHOR = 400, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +118,7 @@ def find_anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
             cols = [pa.array(rid[which], pa.int64()), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at - begins[which], dmin, dmax))]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "key", "ctx", "at", "dmin", "dmax"])
 
-    return rows.select("rid", F.col("text").cast("string").alias("text")).mapInArrow(work, ANCHORS)
+    return rows.select("rid", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(work), ANCHORS)
 
 
 class Family:
@@ -236,7 +236,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR, cap: int = 2
                 types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "alone", "hot", "rid", "at", "dmin", "dmax", "bytes"])
 
-    held = rows.join(listed, "rid", "left").mapInArrow(contexts, "key long, alone boolean, hot boolean, rid long, at int, dmin int, dmax int, bytes binary")
+    held = rows.join(listed, "rid", "left").mapInArrow(trimmed(contexts), "key long, alone boolean, hot boolean, rid long, at int, dmin int, dmax int, bytes binary")
     n_classes = classes.count()
     if n_classes:
         held = write_table(held, "contexts")
@@ -267,9 +267,9 @@ def repeats(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR, cap: int = 2
 
     if n_classes:
         buckets = max(1, math.ceil(n_classes / bucket))
-        parts.append(held.where("not hot").repartition(buckets, "key").mapInArrow(index, "rid long, s int, e int"))
+        parts.append(held.where("not hot").repartition(buckets, "key").mapInArrow(trimmed(index), "rid long, s int, e int"))
         if not hot.isEmpty():
-            windows = write_table(held.where("hot").mapInArrow(each_window, "rid long, s int, h binary"), "windows")
+            windows = write_table(held.where("hot").mapInArrow(trimmed(each_window), "rid long, s int, h binary"), "windows")
             twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").withColumn("hit", F.lit(True))
             parts.append(salted_left_join(windows, twice, ["h"], F.struct("rid", "s")).where("hit").select("rid", "s", (F.col("s") + length).alias("e")))
     spans = parts[0]
@@ -316,7 +316,7 @@ def removals(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
             cols = [part.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(trimmed(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
@@ -343,4 +343,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
             keep = pa.array([bool(n) or not c for n, c in zip(now, cuts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
 
-    return joined.mapInArrow(work, schema)
+    return joined.mapInArrow(trimmed(work), schema)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.common import trimmed
+
 SCHEMA = "doc_id long, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+(?:['’*@$!1034]+[^\W_]+)*|[^\W_]+", re.UNICODE)
 #: Words of reported or quoted speech, and of address.
@@ -213,4 +215,4 @@ def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> Data
             found = [score(own, automaton, memory, x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(trimmed(work), SCHEMA)

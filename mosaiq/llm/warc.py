@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import salt, salted_left_join, write_table
+from mosaiq.llm.common import salt, salted_left_join, trimmed, write_table
 
 #: Fixed values of the seekable format: a skippable frame holds the table; its last four bytes name the format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -143,7 +143,7 @@ def write_bundles(pages: DataFrame, min_payload: int = 0, frame_bytes: int = 1 <
         if now.ids:
             yield closed()
 
-    return write_table(classified(pages).mapInArrow(pack, BUNDLES), "warc")
+    return write_table(classified(pages).mapInArrow(trimmed(pack), BUNDLES), "warc")
 
 
 def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
@@ -167,4 +167,4 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
                         rows.append((head["WARC-Record-ID"], number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, number(head.get("WARC-Refers-To")), int(head["X-Payload-Length"]), full, block if payloads else None, None if kind == "revisit" else digest(block) == full))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return bundles.select("data").mapInArrow(unpack, RECORDS)
+    return bundles.select("data").mapInArrow(trimmed(unpack), RECORDS)
