@@ -397,8 +397,9 @@ def _round_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
             out = []
             for row in rows:
                 raw = np.asarray(row, np.uint8).tobytes()
-                coded = codecs.encode(scheme, raw, row=len(raw))
-                out.append((len(coded), codecs.decode(scheme, coded, size=len(raw), row=len(raw)) == raw))
+                how = {"size": len(raw), "row": len(raw), "width": len(raw) * 8, "rows": 1, "samples": 1, "bits": 1}
+                coded = codecs.encode(scheme, raw, **how)
+                out.append((len(coded), codecs.decode(scheme, coded, **how) == raw))
             return pd.DataFrame(out, columns=["packed", "same"])
 
         return lines.select("y", F.size("samples").cast("bigint").alias("n"), pack("samples").alias("p")).select("y", "n", c("p.same").alias("same"))
@@ -406,6 +407,27 @@ def _round_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _near_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
+    """Codecs of logarithms: samples come back within half a step."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def near(rows: pd.Series) -> pd.Series:
+            out = []
+            for row in rows:
+                x = np.asarray(row, np.float32) / np.float32(255)
+                how = {"size": x.nbytes, "row": x.nbytes, "width": len(x), "rows": 1, "samples": 1, "bits": 32}
+                back = np.frombuffer(codecs.decode(scheme, codecs.encode(scheme, x.tobytes(), **how), **how), np.float32)
+                out.append(bool(np.allclose(back, x, rtol=0.003, atol=1e-4)))
+            return pd.Series(out)
+
+        return R.scanlines(X.gray8(s, d)).select("y", F.size("samples").cast("bigint").alias("n"), near("samples").alias("near"))
+
+    return run
+
+
 for _scheme, (_name, _dec, _enc) in list(codecs.CODECS.items()):
-    if _dec and _enc:
+    if _scheme in (codecs.SGILOG, codecs.PIXARLOG):
+        query(f"codec_near_{_name}", "== SELECT vec_id AS y, len(embedding) AS n, true AS near FROM embeddings", "y n", "near")(_near_trip(_scheme))
+    elif _dec and _enc:
         query(f"codec_roundtrip_{_name.replace('-', '_')}", "== SELECT vec_id AS y, len(embedding) AS n, true AS same FROM embeddings", "y n", "same")(_round_trip(_scheme))

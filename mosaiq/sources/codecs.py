@@ -9,9 +9,11 @@ from collections.abc import Callable
 import numpy as np
 import zstandard
 
+from mosaiq.sources import fax, logs
+
 #: Compression scheme numbers of the container format.
 NONE, CCITT_RLE, CCITT_G3, CCITT_G4, LZW, JPEG_OLD, JPEG, DEFLATE_ADOBE = 1, 2, 3, 4, 5, 6, 7, 8
-NEXT, PACKBITS, THUNDERSCAN, PIXARLOG, DEFLATE, SGILOG, SGILOG24, LZMA, ZSTD = 32766, 32773, 32809, 32909, 32946, 34676, 34677, 34925, 50000
+NEXT, CCITT_RLEW, PACKBITS, THUNDERSCAN, PIXARLOG, DEFLATE, SGILOG, SGILOG24, LZMA, ZSTD = 32766, 32771, 32773, 32809, 32909, 32946, 34676, 34677, 34925, 50000
 
 
 class CodecError(ValueError):
@@ -189,54 +191,18 @@ def thunder_decode(data: bytes, width: int) -> bytes:
     return bytes(a << 4 | b for a, b in zip(out[::2], out[1::2], strict=True))
 
 
-def logl16_decode(data: bytes, width: int) -> tuple[np.ndarray, int]:
-    """A row of 16-bit log luminance, its high bytes and then its low ones, each in runs; and the bytes it took."""
-    out, i = np.zeros(width, np.uint16), 0
-    for shift in (8, 0):
-        at = 0
-        while at < width:
-            if i >= len(data):
-                raise CodecError("short row")
-            n = data[i]
-            if n >= 128:
-                run = min(n - 126, width - at)
-                out[at : at + run] |= np.uint16(data[i + 1] << shift)
-                i += 2
-            else:
-                run = min(n, width - at)
-                out[at : at + run] |= np.frombuffer(data[i + 1 : i + 1 + run], np.uint8).astype(np.uint16) << np.uint16(shift)
-                i += 1 + n
-            at += run
-    return out, i
-
-
-def logl16_encode(row: np.ndarray) -> bytes:
-    out = bytearray()
-    for shift in (8, 0):
-        b = (row >> np.uint16(shift)).astype(np.uint8).tobytes()
-        i = 0
-        while i < len(b):
-            run = 1
-            while run < 129 and i + run < len(b) and b[i + run] == b[i]:
-                run += 1
-            if run >= 4:
-                out += bytes([126 + run, b[i]])
-                i += run
-                continue
-            j = i + 1
-            while j < len(b) and j - i < 127 and not (len(b) - j >= 4 and len(set(b[j : j + 4])) == 1):
-                j += 1
-            out += bytes([j - i]) + b[i:j]
-            i = j
-    return bytes(out)
-
-
 Decoder = Callable[[bytes, dict], bytes]
 Encoder = Callable[[bytes, dict], bytes]
 
 
-def _rows(decode_row: Callable[[bytes, int], bytes]) -> Decoder:
-    return lambda data, how: decode_row(data, how["width"])
+def _fax(kind: str) -> tuple[Decoder, Encoder]:
+    """how: options, the bits of the G3 options tag (1: mixed rows, 4: ends of lines on bytes)."""
+    size = lambda d, how: (how["width"] * how.get("samples", 1), how.get("rows") or len(d) // ((how["width"] * how.get("samples", 1) + 7) // 8))
+    two = lambda how: kind == "g3" and bool(how.get("options", 0) & 1)
+    return (
+        lambda d, how: fax.decode(d, *size(d, how), kind, two(how)),
+        lambda d, how: fax.encode(d, *size(d, how), kind, two(how), bool(how.get("options", 0) & 4)),
+    )
 
 
 CODECS: dict[int, tuple[str, Decoder | None, Encoder | None]] = {
@@ -248,7 +214,13 @@ CODECS: dict[int, tuple[str, Decoder | None, Encoder | None]] = {
     LZMA: ("lzma", lambda d, how: lzma.decompress(d), lambda d, how: lzma.compress(d, format=lzma.FORMAT_XZ, check=lzma.CHECK_NONE)),
     ZSTD: ("zstd", lambda d, how: zstandard.ZstdDecompressor().decompressobj().decompress(d), lambda d, how: zstandard.ZstdCompressor(level=how.get("level", 9)).compress(d)),
     NEXT: ("next", lambda d, how: next_decode(d, how["size"], how["row"]), None),
-    THUNDERSCAN: ("thunderscan", _rows(thunder_decode), None),
+    THUNDERSCAN: ("thunderscan", lambda d, how: thunder_decode(d, how["width"]), None),
+    CCITT_RLE: ("ccitt-rle", *_fax("rle")),
+    CCITT_RLEW: ("ccitt-rlew", *_fax("rlew")),
+    CCITT_G3: ("ccitt-g3", *_fax("g3")),
+    CCITT_G4: ("ccitt-g4", *_fax("g4")),
+    SGILOG: ("sgilog", logs.decode_sgilog, logs.encode_sgilog),
+    PIXARLOG: ("pixarlog", logs.decode_film, logs.encode_film),
 }
 
 

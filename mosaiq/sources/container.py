@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from mosaiq.sources import codecs
+from mosaiq.sources import codecs, logs
 
 #: On-disk tag types: number -> (name, bytes, struct code).
 TYPES = {
@@ -207,13 +207,19 @@ def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) ->
     raw = r.data[c.offset : c.offset + c.bytecount] if c.bytecount else r.data[c.offset : c.offset + size]
     if d.get("fill_order") == 2:
         raw = codecs.reverse_bits(raw)
-    data = codecs.decode(d.get("compression"), raw, size=size, row=row, width=c.w)[:size].ljust(size, b"\0")
+    scheme = d.get("compression")
+    if scheme == codecs.SGILOG:  # the samples come out as floats, whatever the tags say
+        bits, per = 32, 3 if d.get("photometric") == logs.LOGLUV else 1
+        row = c.w * per * 4
+        size = row * c.h
+    options = d.get("g3_options", 0) if scheme == codecs.CCITT_G3 else 0
+    data = codecs.decode(scheme, raw, size=size, row=row, width=c.w, rows=c.h, samples=per, bits=bits, order=r.order, photometric=d.get("photometric"), options=options)[:size].ljust(size, b"\0")
     if (kind := d.get("predictor")) != 1:
         data = codecs.undo_predictor(kind, data, row, bits, per, r.order)
     if bits < 8:
         x = np.unpackbits(np.frombuffer(data, np.uint8).reshape(c.h, row), axis=1)[:, : c.w * per * bits].reshape(c.h, c.w, per, bits)
         return (x * (1 << np.arange(bits - 1, -1, -1))).sum(axis=3).astype(np.uint8)
-    if (dt := DTYPES.get((d.get("sample_format"), bits)) or DTYPES.get((1, bits))) is None:
+    if (dt := "f4" if scheme == codecs.SGILOG else DTYPES.get((d.get("sample_format"), bits)) or DTYPES.get((1, bits))) is None:
         raise FormatError(f"samples of {bits} bits aren't supported")
     return np.frombuffer(data, r.order + dt if bits > 8 else dt).reshape(c.h, c.w, per)
 
@@ -264,7 +270,7 @@ def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int =
                         data = block.astype(block.dtype.newbyteorder(order)).tobytes()
                     if predictor != 1:
                         data = codecs.apply_predictor(predictor, data, row, size, per, order)
-                    data = codecs.encode(compression, data, row=row)
+                    data = codecs.encode(compression, data, row=row, width=block.shape[1], rows=block.shape[0], samples=per, bits=size, order=order, photometric=photometric, options=((extra or {}).get(292) or (4, [0]))[1][0])
                     out += b"\0" * (len(out) % 2)
                     offsets.append(len(out))
                     counts.append(len(data))

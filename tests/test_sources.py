@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mosaiq.sources import codecs, container, raster
+from mosaiq.sources import codecs, container, fax, logs, raster
 from mosaiq.streaming import arrivals
 
 RNG = np.random.default_rng(7)
@@ -34,11 +34,54 @@ def test_small_samples(bits):
     assert np.array_equal(container.decode_page(r, r.directories[0])[:, :, 0], x)
 
 
-def test_log_luminance_rows():
+@pytest.mark.parametrize("scheme", [codecs.CCITT_RLE, codecs.CCITT_RLEW, codecs.CCITT_G3, codecs.CCITT_G4])
+@pytest.mark.parametrize("width", [1, 8, 37, 1728, 6000])
+def test_bilevel_codecs(scheme, width):
+    for dense in (0, 0.02, 0.5, 1):
+        x = np.repeat((RNG.random((3, width)) < dense).astype("u1"), 3, axis=0)
+        for options in (0, 1, 4, 5) if scheme == codecs.CCITT_G3 else (0,):
+            r = container.parse(container.encode_pages([x], compression=scheme, bits=1, rows=4, photometric=0, extra={292: (4, [options])}))
+            assert np.array_equal(container.decode_page(r, r.directories[0])[:, :, 0], x)
+
+
+def test_bilevel_codes_are_whole():
+    for codes in fax.RUNS:
+        found = sorted(codes.values())
+        assert not any(b.startswith(a) for a, b in zip(found, found[1:], strict=False))
+        assert sum(2.0 ** -len(c) for c in found) == 255 / 256  # what is left over begins the end of a line
+
+
+def test_damaged_bilevel_rows_end():
+    for i in range(200):
+        data = RNG.integers(0, 256, 60).astype("u1").tobytes()
+        assert len(fax.decode(data, 100, 20, ("rle", "g3", "g4")[i % 3], two=i % 2 == 0)) == 20 * 13
+
+
+def test_log_rows():
     for w in (1, 5, 300):
-        row = RNG.integers(0, 65535, w).astype("u2")
-        row[: w // 2] = 7
-        assert np.array_equal(codecs.logl16_decode(codecs.logl16_encode(row), w)[0], row)
+        for size in (2, 4):
+            row = RNG.integers(0, 1 << 8 * size, w).astype(f"u{size}")
+            row[: w // 2] = 7
+            assert np.array_equal(logs.decode_planes(logs.encode_planes(row, size), w, size)[0], row)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_log_luminance_pages(order):
+    y, xyz = RNG.random((9, 20, 1)).astype("f4") * 100, RNG.random((9, 20, 3)).astype("f4") + 0.5
+    r = container.parse(container.encode_pages([y], compression=codecs.SGILOG, photometric=logs.LOGL, order=order, rows=4))
+    assert np.allclose(container.decode_page(r, r.directories[0]), y, rtol=0.003)
+    r = container.parse(container.encode_pages([xyz], compression=codecs.SGILOG, photometric=logs.LOGLUV, order=order, rows=4))
+    assert np.allclose(container.decode_page(r, r.directories[0]), xyz, rtol=0.06)
+    assert np.array_equal(logs.codes16(logs.luminance16(np.arange(1, 0x7FFF, dtype="u2"))), np.arange(1, 0x7FFF))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_film_logarithms(order):
+    for dtype, near in (("u1", 1), ("u2", 300), ("f4", 0.01)):
+        x = (RNG.random((9, 21, 3)) * {"u1": 255, "u2": 65535, "f4": 1}[dtype]).astype(dtype)
+        r = container.parse(container.encode_pages([x], compression=codecs.PIXARLOG, order=order, rows=4))
+        assert np.abs(container.decode_page(r, r.directories[0]).astype(float) - x).max() <= near
+    assert np.array_equal(logs.film_codes(logs.film_samples(np.arange(2048), "f4").astype("f8")), np.arange(2048))
 
 
 def test_thunder_and_next_rows():
