@@ -239,6 +239,16 @@ def decode_page(r: Raster, d: Directory) -> np.ndarray:
     return np.zeros((h or 0, w or 0, d.get("samples")), np.uint8) if out is None else out
 
 
+def packed(order: str, kind: int, values: list | str | bytes) -> tuple[int, bytes]:
+    """Count and bytes of a tag's values."""
+    if isinstance(values, str):
+        return len(values) + 1, values.encode("latin-1") + b"\0"
+    if isinstance(values, bytes):
+        return len(values), values
+    flat = [v for x in values for v in (x if isinstance(x, tuple) else (x,))]
+    return len(values), struct.pack(f"{order}{len(flat)}{TYPES[kind][2][0]}", *flat)
+
+
 def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int = 1, tile: tuple[int, int] | None = None, rows: int | None = None, planar: bool = False, order: str = "<", big: bool = False, photometric: int | None = None, bits: int | None = None, extra: dict[int, tuple[int, list | str | bytes]] | None = None) -> bytes:
     """A file of one directory for each page (rows, columns[, samples]). extra: more tags, number -> (type, values).
 
@@ -283,14 +293,7 @@ def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int =
         tags |= extra or {}
         body = []
         for tag, (typ, values) in sorted(tags.items()):
-            _, each, code = TYPES[typ]
-            if isinstance(values, str):
-                raw, count = values.encode("latin-1") + b"\0", len(values) + 1
-            elif isinstance(values, bytes):
-                raw, count = values, len(values)
-            else:
-                flat = [v for x in values for v in (x if isinstance(x, tuple) else (x,))]
-                raw, count = struct.pack(f"{order}{len(flat)}{code[0]}", *flat), len(values)
+            count, raw = packed(order, typ, values)
             if len(raw) > inline:
                 out += b"\0" * (len(out) % 2)
                 at = len(out)

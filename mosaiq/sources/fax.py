@@ -143,14 +143,13 @@ def _row_2d(bits: _Bits, width: int, ref: list[int], out: list[int]) -> None:
             color ^= 1
 
 
-def decode(data: bytes, width: int, rows: int, kind: str, two: bool = False) -> bytes:
+def decode(data: bytes, width: int, rows: int | None, kind: str, two: bool = False) -> bytes:
     """Packed rows, black as 1. kind: `rle` (rows start on bytes), `rlew` (on 16 bits), `g3` (two: mixed rows) or `g4`.
 
-    Rows that end early are white from there; after damage, g3 goes on at the next end of line, the others end.
+    rows None: as many as the data has. Rows that end early are white from there; after damage, g3 goes on at the next end of line, the others end.
     """
-    bits, ref = _Bits(data), []
-    turns = np.zeros((rows, width + 1), np.uint8)
-    for y in range(rows):
+    bits, ref, found = _Bits(data), [], []
+    while rows is None or len(found) < rows:
         flat = kind != "g4"
         if kind == "g3":
             ended = 0
@@ -159,7 +158,7 @@ def decode(data: bytes, width: int, rows: int, kind: str, two: bool = False) ->
                 if two:
                     flat = bool(bits.peek(1))
                     bits.at += 1
-            if ended > 1 and y or bits.at >= bits.end:
+            if ended > 1 and found or bits.at >= bits.end:
                 break
         row: list[int] = []
         damaged = False
@@ -168,7 +167,9 @@ def decode(data: bytes, width: int, rows: int, kind: str, two: bool = False) ->
         except _Damage:
             damaged = True
         ref = _tidy([min(x, width) for x in row], width)
-        turns[y, ref] ^= 1
+        if rows is None and damaged and not row:
+            break
+        found.append(ref)
         if damaged and kind == "g3":
             bits.resume()
         elif damaged:
@@ -176,6 +177,9 @@ def decode(data: bytes, width: int, rows: int, kind: str, two: bool = False) ->
         if kind in ("rle", "rlew"):
             step = 8 if kind == "rle" else 16
             bits.at = -(-bits.at // step) * step
+    turns = np.zeros((len(found) if rows is None else rows, width + 1), np.uint8)
+    for y, ref in enumerate(found):
+        turns[y, ref] = 1
     return np.packbits(np.bitwise_xor.accumulate(turns, axis=1)[:, :width], axis=1).tobytes()
 
 
