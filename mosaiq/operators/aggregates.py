@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def guess_width(samples: DataFrame, total: int, most_ratio: int = 40) -> DataFra
     Candidates are the divisors of the sample count with sides of a ratio up to most_ratio; only the two middle rows
     of each are read.
     """
-    widths = [w for w in range(2, total // 2 + 1) if total % w == 0 and max(w * w, total) / min(w * w, total) <= most_ratio]
+    low = [w for w in range(1, isqrt(total) + 1) if total % w == 0]
+    widths = sorted({w for k in low for w in (k, total // k) if 2 <= w <= total // 2 and max(w * w, total) / min(w * w, total) <= most_ratio})
     spark = samples.sparkSession
     if not widths:
         return spark.createDataFrame([], "width long, corr double")

@@ -16,7 +16,7 @@ from mosaiq.operators import joins as J
 from mosaiq.operators import reshape as R
 from mosaiq.operators import sequential as S
 from mosaiq.plans import fixtures as X
-from mosaiq.sources import codecs
+from mosaiq.sources import codecs, edits, export, raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -366,6 +366,129 @@ def _(s, d):
     return A.estimate_bytecounts(f).withColumnRenamed("offset", "start")
 
 
+# colour spaces with real numbers
+_LAB = f"{X.RGB}, lab AS (SELECT y AS row, x AS col, r / 2.55 AS l, CAST(g - 128 AS DOUBLE) AS a, CAST(b - 128 AS DOUBLE) AS bb FROM rgb), f AS (SELECT *, CASE WHEN l < 8.856 THEN 7.787 * (l / 903.3) + 16.0e0/116.0e0 ELSE (l + 16.0e0) / 116.0e0 END AS fy FROM lab), t AS (SELECT *, CASE WHEN l < 8.856 THEN l * 100.0e0 / 903.292e0 ELSE 100.0e0 * fy * fy * fy END AS yy, fy + a / 500.0e0 AS tx, fy - bb / 200.0e0 AS tz FROM f)"
+_CUBE = lambda t, w: f"CASE WHEN {t} < 0.2069e0 THEN ({t} - 0.13793e0) * {w}e0 / 7.787e0 ELSE {w}e0 * {t} * {t} * {t} END"
+
+
+@query("lab_to_xyz", f"{_LAB} == SELECT row, col, round({_CUBE('tx', 96.42)}, 6) AS xx, round(yy, 6) AS yy, round({_CUBE('tz', 82.49)}, 6) AS zz FROM t", "row col", "xx yy zz")
+def _(s, d):
+    xyz = C.lab_to_xyz(c("r") / 2.55, (c("g") - 128).cast("double"), (c("b") - 128).cast("double"))
+    return X.rgb8(s, d).select(c("y").alias("row"), c("x").alias("col"), *(F.round(v, 6).alias(k) for k, v in zip(("xx", "yy", "zz"), xyz, strict=True)))
+
+
+_LIGHT = ("2.690e0*r/255 + -1.276e0*g/255 + -0.414e0*b/255", "-1.022e0*r/255 + 1.978e0*g/255 + 0.044e0*b/255", "0.061e0*r/255 + -0.224e0*g/255 + 1.163e0*b/255")
+
+
+@query("xyz_to_rgb24", f"{X.RGB} == SELECT y, x, " + ", ".join(f"CASE WHEN {e} <= 0 THEN 0 WHEN {e} >= 1 THEN 255 ELSE floor(256*sqrt(greatest({e}, 0))) END AS {n}" for e, n in zip(_LIGHT, ("r2", "g2", "b2"), strict=True)) + " FROM (SELECT y, x, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM rgb)", "y x r2 g2 b2")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.xyz_to_rgb24(c("r") / 255, c("g") / 255, c("b") / 255), strict=True)))
+
+
+@query("logl10_to_y", f"{X.GRAY} == SELECT y, x, CASE WHEN v = 0 THEN 0.0 ELSE round(exp(0.693147180559945309417/64.0*(v*4 + 0.5) - 0.693147180559945309417*12.0), 9) END AS lum FROM gray", "y x", "lum")
+def _(s, d):
+    return X.gray8(s, d).select("y", "x", F.round(C.logl10_to_y(c("v") * 4), 9).alias("lum"))
+
+
+@query("logl16_from_y", f"{X.GRAY} == SELECT y, x, CASE WHEN v = 0 THEN 0 ELSE floor(256.0e0*(log2(v + 0.3e0) + 64.0e0)) END AS code FROM gray", "y x code")
+def _(s, d):
+    return X.gray8(s, d).select("y", "x", C.logl16_from_y(F.when(c("v") == 0, 0.0).otherwise(c("v") + 0.3)).alias("code"))
+
+
+@query("transfer_curve", "== SELECT i, CASE WHEN i = 0 THEN 0 ELSE floor(65535.0e0*pow(i/255.0e0, 2.2e0) + 0.5e0) END AS v FROM range(256) t(i)", "i v")
+def _(s, d):
+    return s.range(1).select(F.posexplode(C.transfer_curve(8)).alias("i", "v"))
+
+
+@query("checked_multiply", "== SELECT l_orderkey AS k, l_linenumber AS n, TRY_CAST(CAST(l_orderkey + 1 AS HUGEINT) * 9000000000000000 AS BIGINT) AS product FROM lineitem", "k n product")
+def _(s, d):
+    product = F.try_multiply((c("l_orderkey") + 1).cast("bigint"), F.lit(9000000000000000))
+    return X.table(s, d, "lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").alias("n"), product.alias("product"))
+
+
+# files: rasters are encoded, and read back from their bytes
+BLOCK = 256
+
+
+def _files(s: SparkSession, d: str, **how) -> DataFrame:
+    """A file for each 256 rows of gray, its pages the labels modulo 3."""
+    px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), F.lit(0).alias("plane"), "y", "x", "v")
+    return raster.encode_rasters(px, **how)
+
+
+_FILED = f"{X.GRAY}, p AS (SELECT y // {BLOCK} AS block, page % 3 AS third, y, x, v FROM gray), pages AS (SELECT block, third, row_number() OVER (PARTITION BY block ORDER BY third) - 1 AS dir_index, count(*)//64 AS h FROM p GROUP BY 1, 2), f AS (SELECT block, dir_index, h, dense_rank() OVER (PARTITION BY block, third ORDER BY y) - 1 AS y, x, v FROM p JOIN pages USING (block, third))"
+_HOW = {
+    "lzw_strips": {"compression": codecs.LZW, "rows": 5}, "zstd_tiles": {"compression": codecs.ZSTD, "tile": (16, 32)}, "deflate_predictor": {"compression": codecs.DEFLATE_ADOBE, "predictor": 2, "order": ">"},
+    "packbits_big": {"compression": codecs.PACKBITS, "big": True}, "lzma": {"compression": codecs.LZMA},
+}
+for _name, _how in _HOW.items():
+
+    @query(f"file_pixels_{_name}", f"{_FILED} == SELECT block, dir_index, y, x, v FROM f", "block dir_index y x v")
+    def _(s, d, how=_how):
+        return raster.pixels(raster.scanlines(_files(s, d, **how))).withColumnRenamed("path", "block")
+
+
+@query("file_window", f"{_FILED} == SELECT block, dir_index, y, x, v FROM f WHERE x BETWEEN 20 AND 29 AND y BETWEEN 8 AND 12 AND dir_index = 1", "block dir_index y x v")
+def _(s, d):
+    lines = raster.scanlines(_files(s, d, tile=(16, 16)), pages=[1], window=(20, 8, 29, 12))
+    return raster.pixels(lines).where("x BETWEEN 20 AND 29 AND y BETWEEN 8 AND 12").withColumnRenamed("path", "block")
+
+
+@query("file_directories", f"{_FILED} == SELECT block, dir_index, 64 AS width, h AS length, 8 AS bits, (h + 15)//16 AS n_chunks FROM pages", "block dir_index width length bits n_chunks")
+def _(s, d):
+    return raster.directories(_files(s, d, rows=16)).withColumnRenamed("path", "block")
+
+
+@query("file_tags", f"{_FILED} == SELECT block, dir_index, unnest([256, 257, 259]) AS tag, unnest([64, h, 5]) AS value FROM pages", "block dir_index tag value")
+def _(s, d):
+    return raster.tags(_files(s, d, compression=codecs.LZW)).where("tag IN (256, 257, 259)").select(c("path").alias("block"), "dir_index", "tag", F.get_json_object("value", "$[0]").alias("value"))
+
+
+@query("file_chunks", f"{_FILED} == SELECT block, dir_index, k AS chunk, k*16 AS y0, least(16, h - k*16) AS rows, least(16, h - k*16)*64 AS bytecount FROM (SELECT *, unnest(range((h + 15)//16)) AS k FROM pages)", "block dir_index chunk y0 rows bytecount")
+def _(s, d):
+    return raster.chunks(_files(s, d, rows=16), raw=False).withColumnsRenamed({"path": "block", "h": "rows"})
+
+
+@query("file_recode", f"{_FILED} == SELECT block, dir_index, count(*) AS n, sum(v) AS total, sum(v*(y*64 + x)) AS placed FROM f GROUP BY 1, 2", "block dir_index n total placed")
+def _(s, d):
+    px = raster.pixels(raster.scanlines(raster.recode(_files(s, d), compression=codecs.DEFLATE_ADOBE, tile=(32, 16), big=True)))
+    return px.groupBy(c("path").alias("block"), "dir_index").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(c("v") * (c("y") * 64 + c("x"))).alias("placed"))
+
+
+@query("file_split", f"{_FILED} == SELECT block || '-aa' || chr(CAST(97 + dir_index AS INTEGER)) || '.tif' AS path, count(*) AS n, sum(v) AS total FROM f GROUP BY 1", "n total", "path")
+def _(s, d):
+    px = raster.pixels(raster.scanlines(raster.split_pages(_files(s, d))))
+    return px.groupBy("path").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("file_unlink", f"{_FILED} == SELECT block, dir_index - 1 AS dir_index, count(*) AS n, sum(v) AS total FROM f WHERE dir_index > 0 GROUP BY 1, 2", "block dir_index n total")
+def _(s, d):
+    px = raster.pixels(raster.scanlines(edits.edit(_files(s, d), lambda b: edits.unlink_page(b, 0))))
+    return px.groupBy(c("path").alias("block"), "dir_index").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("file_set_tags", f"{_FILED} == SELECT block, dir_index, CASE WHEN dir_index = 0 THEN 6 ELSE 1 END AS orientation FROM pages", "block dir_index orientation")
+def _(s, d):
+    return raster.directories(edits.edit(_files(s, d), lambda b: edits.set_tags(b, 0, {274: (3, [6])}))).withColumnRenamed("path", "block")
+
+
+@query("file_chop_strips", f"{_FILED} == SELECT block, dir_index, CASE WHEN dir_index = 0 THEN (h + 15)//16 ELSE 1 END AS n_chunks FROM pages", "block dir_index n_chunks")
+def _(s, d):
+    return raster.directories(edits.edit(_files(s, d, rows=1 << 20), lambda b: edits.chop_strips(b, 0, 1024))).withColumnRenamed("path", "block")
+
+
+@query("file_to_pdf", f"{_FILED} == SELECT block, count(*) AS pages FROM pages GROUP BY 1", "block pages")
+def _(s, d):
+    made = export.to_pdf(_files(s, d))
+    return made.select(F.regexp_replace("path", r"\.pdf$", "").alias("block"), F.regexp_extract(c("content").cast("string"), r"/Type /Pages /Count (\d+)", 1).alias("pages"))
+
+
+@query("file_to_postscript", f"{_FILED} == SELECT block, count(*) AS pages FROM pages GROUP BY 1", "block pages")
+def _(s, d):
+    made = export.to_postscript(_files(s, d))
+    return made.select(F.regexp_replace("path", r"\.ps$", "").alias("block"), F.regexp_extract(c("content").cast("string"), r"%%Pages: (\d+)", 1).alias("pages"))
+
+
 # sequential algorithms and codecs: beyond SQL
 @query("dither_fs")
 def _(s, d):

@@ -51,74 +51,74 @@ def _table(files: DataFrame, schema: str, rows) -> DataFrame:
     return files.select("path", "content").mapInArrow(work, schema)
 
 
-def directories(files: DataFrame, max_alloc: int = 1 << 28) -> DataFrame:
-    """A row per directory; a file that can't be read has one row with `error`."""
+def directory_rows(path: str, content: bytes, max_alloc: int = 1 << 28) -> Iterator[tuple]:
+    try:
+        r = container.parse(content, max_alloc)
+    except container.FormatError as e:
+        yield (path, *[None] * 21, str(e))
+        return
+    for d in r.directories:
+        first = lambda n: (lambda v: int(v[0] if isinstance(v, (list, tuple)) else v) if v is not None and v != [] else None)(d.get(n))  # noqa: B023, E731
+        yield (path, d.index, d.offset, d.parent, d.kind, r.order, r.big, *(first(n) for n in ("width", "length", "bits", "samples", "compression", "photometric", "planar", "orientation", "sample_format", "predictor", "rows_per_strip", "tile_width", "tile_length")), len(container.layout(d)), r.warnings, None)
+
+
+def tag_rows(path: str, content: bytes, max_alloc: int = 1 << 28) -> Iterator[tuple]:
+    try:
+        r = container.parse(content, max_alloc)
+    except container.FormatError:
+        return
+    for d in r.directories:
+        for tag, (typ, count, value) in sorted(d.tags.items()):
+            yield path, d.offset, d.index, d.kind, tag, container.tag_name(tag), container.TYPES[typ][0], count, json.dumps(value.hex() if isinstance(value, bytes) else value)
+
+
+def chunk_rows(path: str, content: bytes, pages=None, raw: bool = True) -> Iterator[tuple]:
+    try:
+        r = container.parse(content)
+    except container.FormatError:
+        return
+    for d in r.directories:
+        if d.kind == "main" and (pages is None or d.index in pages):
+            for c in container.layout(d):
+                yield path, d.index, c.plane, c.number, c.x0, c.y0, c.w, c.h, c.offset, c.bytecount, r.data[c.offset : c.offset + c.bytecount] if raw else None
 
-    def rows(path, content):
-        try:
-            r = container.parse(content, max_alloc)
-        except container.FormatError as e:
-            yield (path, *[None] * 21, str(e))
-            return
-        for d in r.directories:
-            first = lambda n: (lambda v: int(v[0] if isinstance(v, (list, tuple)) else v) if v is not None and v != [] else None)(d.get(n))  # noqa: B023, E731
-            yield (path, d.index, d.offset, d.parent, d.kind, r.order, r.big, *(first(n) for n in ("width", "length", "bits", "samples", "compression", "photometric", "planar", "orientation", "sample_format", "predictor", "rows_per_strip", "tile_width", "tile_length")), len(container.layout(d)), r.warnings, None)
 
-    return _table(files, DIRECTORIES, rows)
+def scanline_rows(path: str, content: bytes, pages=None, window: tuple[int, int, int, int] | None = None) -> Iterator[tuple]:
+    try:
+        r = container.parse(content)
+    except container.FormatError:
+        return
+    for d in r.directories:
+        if d.kind != "main" or pages is not None and d.index not in pages:
+            continue
+        w, h = d.get("width"), d.get("length")
+        for c in container.layout(d):
+            if window and (c.x0 > window[2] or c.y0 > window[3] or c.x0 + c.w <= window[0] or c.y0 + c.h <= window[1]):
+                continue
+            x = container.decode_chunk(r, d, c)
+            for k in range(min(c.h, h - c.y0)):
+                for s in range(x.shape[2]):
+                    yield path, d.index, c.plane if d.get("planar") == 2 else s, c.y0 + k, c.x0, x[k, : min(c.w, w - c.x0), s].astype(float).tolist()
 
 
-def tags(files: DataFrame, max_alloc: int = 1 << 28) -> DataFrame:
-    """A row per tag; the value as JSON, bytes as hexadecimal digits."""
+def directories(files: DataFrame, max_alloc: int = 1 << 28) -> DataFrame:
+    """A row per directory; a file that can't be read has one row with `error`."""
+    return _table(files, DIRECTORIES, lambda path, content: directory_rows(path, content, max_alloc))
 
-    def rows(path, content):
-        try:
-            r = container.parse(content, max_alloc)
-        except container.FormatError:
-            return
-        for d in r.directories:
-            for tag, (typ, count, value) in sorted(d.tags.items()):
-                yield path, d.offset, d.index, d.kind, tag, container.tag_name(tag), container.TYPES[typ][0], count, json.dumps(value.hex() if isinstance(value, bytes) else value)
 
-    return _table(files, TAGS, rows)
+def tags(files: DataFrame, max_alloc: int = 1 << 28) -> DataFrame:
+    """A row per tag; the value as JSON, bytes as hexadecimal digits."""
+    return _table(files, TAGS, lambda path, content: tag_rows(path, content, max_alloc))
 
 
 def chunks(files: DataFrame, pages: list[int] | None = None, raw: bool = True) -> DataFrame:
     """A row per strip or tile, with its encoded bytes unless raw is False."""
-
-    def rows(path, content):
-        try:
-            r = container.parse(content)
-        except container.FormatError:
-            return
-        for d in r.directories:
-            if d.kind == "main" and (pages is None or d.index in pages):
-                for c in container.layout(d):
-                    yield path, d.index, c.plane, c.number, c.x0, c.y0, c.w, c.h, c.offset, c.bytecount, r.data[c.offset : c.offset + c.bytecount] if raw else None
-
-    return _table(files, CHUNKS, rows)
+    return _table(files, CHUNKS, lambda path, content: chunk_rows(path, content, pages, raw))
 
 
 def scanlines(files: DataFrame, pages: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Decoded rows of each chunk and sample plane. window (x0, y0, x1, y1): chunks outside it aren't decoded."""
-
-    def rows(path, content):
-        try:
-            r = container.parse(content)
-        except container.FormatError:
-            return
-        for d in r.directories:
-            if d.kind != "main" or pages is not None and d.index not in pages:
-                continue
-            w, h = d.get("width"), d.get("length")
-            for c in container.layout(d):
-                if window and (c.x0 > window[2] or c.y0 > window[3] or c.x0 + c.w <= window[0] or c.y0 + c.h <= window[1]):
-                    continue
-                x = container.decode_chunk(r, d, c)
-                for k in range(min(c.h, h - c.y0)):
-                    for s in range(x.shape[2]):
-                        yield path, d.index, c.plane if d.get("planar") == 2 else s, c.y0 + k, c.x0, x[k, : min(c.w, w - c.x0), s].astype(float).tolist()
-
-    return _table(files, SCANLINES, rows)
+    return _table(files, SCANLINES, lambda path, content: scanline_rows(path, content, pages, window))
 
 
 def pixels(lines: DataFrame) -> DataFrame:
