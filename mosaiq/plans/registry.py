@@ -552,5 +552,28 @@ def _near_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
 for _scheme, (_name, _dec, _enc) in list(codecs.CODECS.items()):
     if _scheme in (codecs.SGILOG, codecs.PIXARLOG):
         query(f"codec_near_{_name}", "== SELECT vec_id AS y, len(embedding) AS n, true AS near FROM embeddings", "y n", "near")(_near_trip(_scheme))
-    elif _dec and _enc:
+    elif _dec and _enc and _scheme != codecs.JPEG:
         query(f"codec_roundtrip_{_name.replace('-', '_')}", "== SELECT vec_id AS y, len(embedding) AS n, true AS same FROM embeddings", "y n", "same")(_round_trip(_scheme))
+
+
+@query("codec_near_jpeg", f"{X.GRAY} == SELECT y, 64 AS n, true AS near FROM gray GROUP BY y", "y n", "near")
+def _(s, d):
+    @F.pandas_udf("boolean")
+    def near(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            x = np.asarray(row, np.uint8)
+            how = {"width": len(x), "rows": 1, "samples": 1, "quality": 100}
+            back = np.frombuffer(codecs.decode(codecs.JPEG, codecs.encode(codecs.JPEG, x.tobytes(), **how), **how), np.uint8)
+            out.append(bool(np.abs(back.astype(int) - x).max() <= 2))
+        return pd.Series(out)
+
+    return R.scanlines(X.gray8(s, d)).select("y", F.size("samples").alias("n"), near("samples").alias("near"))
+
+
+@query("file_rgba", f"{_FILED} == SELECT block, y, x, v + (255 - v)*256 + (v*7 % 256)*65536 + 4278190080 AS abgr FROM f WHERE dir_index = 0", "block y x abgr")
+def _(s, d):
+    planes = F.posexplode(F.array(c("v"), 255 - c("v"), c("v") * 7 % 256)).alias("plane", "v")
+    px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), "y", "x", planes)
+    rows = export.rgba(raster.encode_rasters(px, compression=codecs.LZW), pages=[0])
+    return rows.select(c("path").alias("block"), "y", F.posexplode("abgr").alias("x", "abgr"))

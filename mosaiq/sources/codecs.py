@@ -9,7 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import zstandard
 
-from mosaiq.sources import fax, logs
+from mosaiq.sources import fax, jpeg, logs
 
 #: Compression scheme numbers of the container format.
 NONE, CCITT_RLE, CCITT_G3, CCITT_G4, LZW, JPEG_OLD, JPEG, DEFLATE_ADOBE = 1, 2, 3, 4, 5, 6, 7, 8
@@ -220,6 +220,7 @@ CODECS: dict[int, tuple[str, Decoder | None, Encoder | None]] = {
     CCITT_G3: ("ccitt-g3", *_fax("g3")),
     CCITT_G4: ("ccitt-g4", *_fax("g4")),
     SGILOG: ("sgilog", logs.decode_sgilog, logs.encode_sgilog),
+    JPEG: ("jpeg", jpeg.decode_chunk, jpeg.encode_chunk),
     PIXARLOG: ("pixarlog", logs.decode_film, logs.encode_film),
 }
 

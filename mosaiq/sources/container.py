@@ -213,7 +213,7 @@ def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) ->
         row = c.w * per * 4
         size = row * c.h
     options = d.get("g3_options", 0) if scheme == codecs.CCITT_G3 else 0
-    data = codecs.decode(scheme, raw, size=size, row=row, width=c.w, rows=c.h, samples=per, bits=bits, order=r.order, photometric=d.get("photometric"), options=options)[:size].ljust(size, b"\0")
+    data = codecs.decode(scheme, raw, size=size, row=row, width=c.w, rows=c.h, samples=per, bits=bits, order=r.order, photometric=d.get("photometric"), options=options, tables=(d.tags.get(347) or (0, 0, None))[2])[:size].ljust(size, b"\0")
     if (kind := d.get("predictor")) != 1:
         data = codecs.undo_predictor(kind, data, row, bits, per, r.order)
     if bits < 8:

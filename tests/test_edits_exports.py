@@ -69,6 +69,17 @@ def test_colors():
     assert np.array_equal(draw(ink, photometric=5), (255 - ink[:, :, 3:].astype(int)) * (255 - ink[:, :, :3].astype(int)) // 255)
 
 
+def test_rgba_pages():
+    x = RNG.integers(0, 255, (5, 7, 4)).astype("u1")
+    y, z = np.mgrid[:5, :7]
+    made = lambda o, **how: export.rgba_page(r := container.parse(container.encode_pages([x], photometric=2, extra={274: (3, [o]), 338: (3, [2])})), r.directories[0], **how)
+    one = made(1)
+    assert np.array_equal(one & 255, (x[:, :, 0].astype(int) * x[:, :, 3] + 127) // 255) and np.array_equal(one >> 24, x[:, :, 3])
+    seen = {2: one[:, ::-1], 3: one[::-1, ::-1], 4: one[::-1], 5: one.T, 6: np.rot90(one, -1), 7: one[::-1, ::-1].T, 8: np.rot90(one)}
+    assert all(np.array_equal(made(o), w) for o, w in seen.items())
+    assert np.array_equal(made(1, origin="bottom"), one[::-1])
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(container.encode_pages(PAGES))
     (tmp_path / "b.tif").write_bytes(b"broken")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mosaiq.sources import codecs, container, fax, logs, raster
+from mosaiq.sources import codecs, container, fax, jpeg, logs, raster
 from mosaiq.streaming import arrivals
 
 RNG = np.random.default_rng(7)
@@ -84,6 +84,41 @@ def test_film_logarithms(order):
     assert np.array_equal(logs.film_codes(logs.film_samples(np.arange(2048), "f4").astype("f8")), np.arange(2048))
 
 
+def smooth(h, w, n):
+    y, x = np.mgrid[:h, :w]
+    return np.clip(np.stack([128 + 90 * np.sin(y / 9 + i) * np.cos(x / (11 + i)) for i in range(n)], -1), 0, 255).astype("u1")
+
+
+@pytest.mark.parametrize("n", [1, 3, 4])
+@pytest.mark.parametrize("subsampling", [(1, 1), (2, 1), (2, 2)])
+def test_jpeg_streams(n, subsampling):
+    x = smooth(61, 83, n)
+    near = [np.abs(jpeg.decode(jpeg.encode(x, q, subsampling)).astype(int) - x) for q in (30, 95)]
+    assert near[1].mean() <= near[0].mean() < 6 and near[1].max() < 16
+    noise = RNG.integers(0, 256, (17, 30, n)).astype("u1")
+    assert np.abs(jpeg.decode(jpeg.encode(noise, 100)).astype(int) - noise).max() <= 2
+
+
+def test_jpeg_tables_apart_and_damage():
+    x = smooth(24, 40, 3)
+    whole = jpeg.encode(x, 90)
+    kept = [(m, whole[whole.index(b"\xff" + bytes([m]) + (len(b) + 2).to_bytes(2, "big") + b) :][: len(b) + 4]) for m, b, _ in jpeg._segments(whole)]
+    tables = b"\xff\xd8" + b"".join(s for m, s in kept if m in (0xDB, 0xC4)) + b"\xff\xd9"
+    part = next(p for m, _, p in jpeg._segments(whole) if m == 0xDA)
+    rest = b"\xff\xd8" + b"".join(s for m, s in kept if m in (0xC0, 0xDA)) + part + b"\xff\xd9"
+    assert np.array_equal(jpeg.decode(rest, tables), jpeg.decode(whole))
+    for bad in (b"", b"\xff\xd8\xff\xd9", rest, whole.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(jpeg.JpegError):
+            jpeg.decode(bad)
+
+
+@pytest.mark.parametrize("how", [{}, {"tile": (16, 32)}, {"planar": True}])
+def test_jpeg_pages(how):
+    x = smooth(50, 70, 3)
+    r = container.parse(container.encode_pages([x], compression=codecs.JPEG, **how))
+    assert np.abs(container.decode_page(r, r.directories[0]).astype(int) - x).mean() < 5
+
+
 def test_thunder_and_next_rows():
     assert codecs.thunder_decode(bytes([0xC5, 0x03]), 4) == b"\x55\x55"
     assert codecs.next_decode(b"\x00ab", 2, 2) == b"ab"
@@ -100,7 +135,7 @@ def test_loops_and_damage_end():
         container.parse(b"no raster at all")
     assert container.parse(bytes(data[:20])).warnings
     with pytest.raises(codecs.CodecError):
-        codecs.decode(codecs.JPEG, b"")
+        codecs.decode(34887, b"")
 
 
 def test_user_codec_and_tag():
