@@ -27,6 +27,10 @@ PLAIN = re.compile(r"[!-~¡¿«»À-ÖØ-öø-ÿ]+")
 #: Fixed value: the rule by which the tokenizer file parts lower-cased text, for such words.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
+#: A letter and the signs after it at the end of a word: the tokenizer parts them there, so words are told apart
+#: without their signs. Quotation marks may belong to a part of their own kind and stay.
+SIGNS = r"([A-Za-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)([\x09-\x0D ]|$)"
+
 
 class Encoder:
     """Ids of whole texts by the tokenizer file, each distinct word of which is encoded once.
@@ -90,7 +94,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an END after each text's, and where each text's ids end."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        apart = pc.replace_substring_regex(texts, SIGNS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, apart))
         words = lists.flatten().dictionary_encode()
         if len(self.place) > REMEMBERED:
             self.reset()
