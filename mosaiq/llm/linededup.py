@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -23,35 +25,62 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{SPACE}]*[0-9][^{SPACE}]*", FIELD)).otherwise(line)
 
 
-def generalise(lines: list[list[bytes]], similar: float) -> list[int]:
-    """Template number of each line of a leaf; all have one token count.
+class Templates:
+    """The templates of a leaf, whose lines all have one token count and come in sorted order.
 
-    Lines come in sorted order; a line joins the template that agrees with it in most places, if those are at least
-    `similar` of all (ties: the first), and places where they differ become fields, which agree with nothing but
-    fields; else it founds a template.
+    A line joins the template that agrees with it in most places, if those are at least `similar` of all (ties: the
+    first), and places where they differ become fields, which agree with nothing but fields; else it founds a
+    template. A template that agrees in enough places agrees in one of the line's rarest, so only those that were
+    seen there are compared; the result is that of comparing all.
     """
-    number = {FIELD.encode(): 0}
-    rows = np.array([[number.setdefault(w, len(number)) for w in x] for x in lines], np.int32).reshape(len(lines), -1)
-    made = np.empty_like(rows)
-    out, n, width = [], 0, max(1, rows.shape[1])
-    for row in rows:
-        agree = (made[:n] == row).sum(axis=1) if n else np.zeros(0)
-        if n and agree.max() >= similar * width:
-            k = int(agree.argmax())
-            made[k][made[k] != row] = 0
+
+    def __init__(self, width: int, similar: float):
+        self.number = {FIELD.encode(): 0}
+        self.made = np.empty((4, width), np.int32)
+        self.n = 0
+        self.need = math.ceil(similar * max(1, width))
+        self.probes = max(0, width - self.need + 1)
+        self.seen: list[dict[int, list[int]]] = [{} for _ in range(width)]
+
+    def add(self, line: list[bytes]) -> int:
+        """Template number of the next line."""
+        row = np.array([self.number.setdefault(w, len(self.number)) for w in line], np.int32)
+        words = row.tolist()
+        if self.need > 0:
+            near = sorted((self.seen[i].get(w, ()) for i, w in enumerate(words)), key=len)[: self.probes]
+            at = np.array(sorted(set().union(*near)), np.int64)
         else:
-            k, n = n, n + 1
-            made[k] = row
-        out.append(k)
-    return out
+            at = np.arange(self.n)
+        if len(at):
+            agree = (self.made[at] == row).sum(axis=1)
+            best = int(agree.argmax())
+            if agree[best] >= self.need:
+                k = int(at[best])
+                for i in np.flatnonzero((self.made[k] != row) & (self.made[k] != 0)).tolist():
+                    self.made[k, i] = 0
+                    self.seen[i].setdefault(0, []).append(k)
+                return k
+        if self.n == len(self.made):
+            self.made = np.concatenate([self.made, np.empty_like(self.made)])
+        self.made[self.n] = row
+        for i, w in enumerate(words):
+            self.seen[i].setdefault(w, []).append(self.n)
+        self.n += 1
+        return self.n - 1
+
+
+def generalise(lines: list[list[bytes]], similar: float) -> list[int]:
+    """Template number of each line of a leaf; all have one token count and come in sorted order."""
+    templates = Templates(len(lines[0]) if lines else 0, similar)
+    return [templates.add(x) for x in lines]
 
 
-def tree(docs: DataFrame, depth: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+def tree(docs: DataFrame, depth: int, leaf: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(all lines that have a word, by hashes only; the leaves that hold several kinds of line).
 
-    A leaf of the tree is a token count with the first `depth` tokens. A leaf with over `leaf` different lines is
-    parted by twice the leading tokens, and what then still is too large by all of them: equal lines only. So a
-    leaf's work is bounded and no line is left out. Null texts have no lines.
+    A leaf of the tree is a token count with the first `depth` tokens, whatever its size. Only where the caller sets
+    `leaf`, one with over `leaf` different lines is parted by twice the leading tokens, and what then still is too
+    large by all of them: equal lines only. Null texts have no lines.
     """
     rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("place", "line"))
     rows = rows.where(F.col("line").rlike(f"[^{SPACE}]")).select("doc_id", "rid", "place", masked(F.col("line")).alias("line"))
@@ -61,13 +90,15 @@ def tree(docs: DataFrame, depth: int, leaf: int) -> tuple[DataFrame, DataFrame]:
     distinct = narrow.groupBy("l1", "l2", "same").agg(F.count(F.lit(1)).alias("n"))
     sizes = distinct.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
     tops = sizes.groupBy("l1").agg(F.sum("kinds").alias("kinds1"), F.sum("n").alias("n1"))
-    # leaves with one kind of line need no tree, nor do those too large at twice the depth
+    # leaves with one kind of line need no tree
     plan = sizes.join(tops, "l1").where("kinds1 > 1")
+    if leaf is None:
+        return narrow, plan.select("l1", "l2", F.col("l1").alias("leaf"))
     plan = plan.select("l1", "l2", F.when(F.col("kinds1") <= leaf, F.col("l1")).when((F.col("kinds") <= leaf) & (F.col("kinds") > 1), F.col("l2")).alias("leaf")).where("leaf is not null")
     return narrow, plan
 
 
-def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int = 512) -> DataFrame:
+def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int | None = None) -> DataFrame:
     """(doc_id, rid, place, same, template) of each line with a word; template: the smallest `same` of its cluster."""
     narrow, plan = tree(docs, depth, leaf)
     plan = write_table(plan, "leaves")
@@ -79,29 +110,38 @@ def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int = 51
     kinds = texts.join(wanted, "rid").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
     kinds = kinds.select("w.leaf", "w.same", masked(F.get("lines", F.col("w.place"))).alias("masked")).dropDuplicates(["leaf", "same"])
 
-    def settle(rows: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int]]:
-        """(same, template) of the lines of one leaf that aren't their template's smallest."""
-        rows.sort(key=lambda x: x[1:])
-        split = [x[1].split() for x in rows]
-        for size in {len(x) for x in split}:  # one size, unless two hashes are equal
-            own = [i for i, x in enumerate(split) if len(x) == size]
-            least: dict[int, int] = {}
-            found = generalise([split[i] for i in own], similar)
-            for i, k in zip(own, found, strict=True):
-                least[k] = min(least.get(k, rows[i][2]), rows[i][2])
-            yield from ((rows[i][2], least[k]) for i, k in zip(own, found, strict=True) if rows[i][2] != least[k])
+    def settle(rows: Iterator[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        """(same, template) of the lines of one leaf that aren't their template's smallest; keeps templates and numbers only."""
+        templates, same, of = None, array("q"), array("q")
+        least: dict[int, int] = {}
+        for _, _, line, key in rows:
+            words = line.split()
+            templates = templates or Templates(len(words), similar)
+            k = templates.add(words)
+            same.append(key)
+            of.append(k)
+            least[k] = min(least.get(k, key), key)
+        same, of = np.frombuffer(same, np.int64), np.frombuffer(of, np.int64)
+        tops = np.array([least[k] for k in range(len(least))], np.int64)[of]
+        for at in range(0, len(same), 65536):
+            part = slice(at, at + 65536)
+            moved = same[part] != tops[part]
+            if moved.any():
+                yield pa.RecordBatch.from_arrays([pa.array(same[part][moved]), pa.array(tops[part][moved])], names=["same", "template"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, bytes, int]]:
+        def rows() -> Iterator[tuple[int, int, bytes, int]]:
             for batch in batches:
-                yield from zip(batch.column("leaf").to_pylist(), batch.column("masked").cast(pa.binary()).to_pylist(), batch.column("same").to_pylist(), strict=True)
+                lines = batch.column("masked").cast(pa.binary()).to_pylist()
+                yield from zip(batch.column("leaf").to_pylist(), [len(x.split()) for x in lines], lines, batch.column("same").to_pylist(), strict=True)
 
-        for _, leaf_rows in groupby(rows(), key=lambda x: x[0]):  # sorted by leaf; a leaf is bounded
-            if out := list(settle(list(leaf_rows))):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["same", "template"])
+        # one size in a leaf, unless two hashes are equal
+        for _, leaf_rows in groupby(rows(), key=lambda x: x[:2]):
+            yield from settle(leaf_rows)
 
-    sorted_rows = kinds.repartition("leaf").sortWithinPartitions("leaf")
-    found = sorted_rows.mapInArrow(work, "same long, template long").dropDuplicates(["same"])
+    size = F.size(F.array_remove(F.split("masked", f"[{SPACE}]+"), ""))
+    sorted_rows = kinds.repartition("leaf").withColumn("size", size).sortWithinPartitions("leaf", "size", "masked", "same")
+    found = sorted_rows.drop("size").mapInArrow(work, "same long, template long").dropDuplicates(["same"])
     return salted_left_join(narrow.drop("l1", "l2"), found, ["same"], F.struct("rid", "place")).withColumn("template", F.coalesce("template", "same"))
 
 

@@ -171,6 +171,40 @@ def test_line_leaves(spark):
     assert {r["n_dropped"] for r in apart.collect()} == {0}
 
 
+def brute_templates(lines, similar):
+    made, out = [], []
+    for x in lines:
+        agree = [sum(a == b for a, b in zip(t, x, strict=True)) for t in made]
+        if made and max(agree) >= similar * len(x):
+            k = agree.index(max(agree))
+            made[k] = [a if a == b else b"<*>" for a, b in zip(made[k], x, strict=True)]
+        else:
+            k = len(made)
+            made.append(x)
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("similar", [0.0, 0.3, 0.6, 1.0])
+def test_templates_compare_all(similar):
+    rng = random.Random(4)
+    for width in (1, 4, 9):
+        words = [[rng.choice([b"<*>", *(b"%c%d" % (97 + i, k) for k in range(1 + 3 * i))]) for i in range(width)] for _ in range(700)]
+        lines = sorted(words, key=b" ".join)
+        assert linededup.generalise(lines, similar) == brute_templates(lines, similar)
+
+
+def test_large_leaf(spark):
+    names = [a + b + c for a in "bdfgklmnpr" for b in "aeiou" for c in "bdfgklmnprst"]  # 600
+    frame = "we saw the {} near the old {} mill"
+    for n in (500, 600):
+        lines = [frame.format(x, x[::-1]) for x in names[:n]]
+        df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        assert {r["n_dropped"] for r in linededup.dedup_lines(df).collect()} == {1}
+        found = {r["doc_id"]: r["template"] for r in linededup.assign(df).collect()}
+        assert len(set(found.values())) == len(set(brute_templates([x.encode().split() for x in sorted(lines)], 0.6))) == 1
+
+
 def test_lines_odd(odd, empty, docs):
     assert linededup.dedup_lines(odd).count() == 5 and linededup.dedup_lines(empty).count() == 0
     assert linededup.dedup_lines(docs).count() == docs.count()
