@@ -27,6 +27,10 @@ def rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(idiv(k, RGB_WIDTH).alias("y"), (k % RGB_WIDTH).alias("x"), (F.col("o_custkey") % 256).alias("r"), (F.floor("o_totalprice") % 256).alias("g"), (k * 7 % 256).alias("b"))
 
 
+def rows_of_rgb(spark: SparkSession, sf_dir: str) -> int:
+    return (rgb8(spark, sf_dir).agg(F.max("y")).first()[0] or 0) + 1
+
+
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").where(k < PALETTE_SIZE).select(k.alias("idx"), (F.col("p_size").cast("bigint") * 5 % 256).alias("r"), (k * 4).alias("g"), (F.floor("p_retailprice").cast("bigint") % 256).alias("b"))

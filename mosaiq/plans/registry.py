@@ -197,6 +197,12 @@ def _(s, d):
     return G.sections(X.rgb8(s, d).where("y < 300"), X.RGB_WIDTH, 300, 3, 3).groupBy("section").agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
 
 
+@query("sections_whole", f"{X.RGB}, h AS (SELECT (max(y) + 3) // 3 AS sh FROM rgb) == SELECT (y // sh)*3 + x // 17 AS section, count(*) AS n, sum(x % 17) AS sx, sum(y % sh) AS sy FROM rgb, h GROUP BY 1", "section n sx sy")
+def _(s, d):
+    px = G.sections(X.rgb8(s, d), X.RGB_WIDTH, X.rows_of_rgb(s, d), 3, 3)
+    return px.groupBy("section").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
 @query("channel_extract", f"{X.RGB} == SELECT y, x, g AS v FROM rgb", "y x v")
 def _(s, d):
     return X.rgb8(s, d).select("y", "x", F.element_at(F.array("r", "g", "b"), 2).alias("v"))

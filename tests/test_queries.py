@@ -39,6 +39,12 @@ def test_gives_rows(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_sections_whole_tall(spark, tmp_path):
+    spark.range(40_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "id * 1.5 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["section"]: r["n"] for r in registry.QUERIES["sections_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(9)) and sum(got.values()) == 40_000
+
+
 def test_entry(spark):
     import __spark_entry__
 
