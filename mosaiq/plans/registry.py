@@ -276,6 +276,12 @@ def _(s, d):
     return J.compare(X.gray8(s, d).where("y < 400"), X.bias(s, d).where("y >= 50")).withColumnsRenamed({"left": "lhs", "right": "rhs"})
 
 
+@query("image_diff_whole", f"{X.GRAY}, low AS (SELECT y + 50 AS y, x, v FROM gray) == SELECT coalesce(g.y, b.y) AS y, coalesce(g.x, b.x) AS x, g.v AS lhs, b.v AS rhs FROM gray g FULL JOIN low b ON g.y = b.y AND g.x = b.x WHERE g.v IS DISTINCT FROM b.v", "y x lhs rhs")
+def _(s, d):
+    gray = X.gray8(s, d)
+    return J.compare(gray, gray.select((c("y") + 50).alias("y"), "x", "v")).withColumnsRenamed({"left": "lhs", "right": "rhs"})
+
+
 @query("image_diff_limit", f"{X.BIAS} == SELECT g.y, g.x, g.v AS lhs, b.v AS rhs FROM gray g JOIN bias b ON g.y = b.y AND g.x = b.x WHERE g.v <> b.v ORDER BY 1, 2 LIMIT 100", "y x lhs rhs")
 def _(s, d):
     return J.compare(X.gray8(s, d), X.bias(s, d), limit=100).withColumnsRenamed({"left": "lhs", "right": "rhs"})

@@ -45,6 +45,13 @@ def test_sections_whole_tall(spark, tmp_path):
     assert set(got) == set(range(9)) and sum(got.values()) == 40_000
 
 
+def test_image_diff_whole_rows(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = registry.QUERIES["image_diff_whole"](spark, sf_dir).selectExpr("y", "lhs IS NULL AS l", "rhs IS NULL AS r").distinct().collect()
+    assert {r["y"] for r in got if r["r"]} == set(range(50)) and {r["y"] for r in got if r["l"]} == set(range(n, n + 50))
+    assert {r["y"] for r in got if not r["l"] and not r["r"]} == set(range(50, n))
+
+
 def test_entry(spark):
     import __spark_entry__
 
