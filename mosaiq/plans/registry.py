@@ -589,3 +589,11 @@ def _(s, d):
     px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), "y", "x", planes)
     rows = export.rgba(raster.encode_rasters(px, compression=codecs.LZW), pages=[0])
     return rows.select(c("path").alias("block"), "y", F.posexplode("abgr").alias("x", "abgr"))
+
+
+@query("file_rgba_pages", f"{_FILED} == SELECT block, dir_index, y, x, v + (255 - v)*256 + (v*7 % 256)*65536 + 4278190080 AS abgr FROM f", "block dir_index y x abgr")
+def _(s, d):
+    planes = F.posexplode(F.array(c("v"), 255 - c("v"), c("v") * 7 % 256)).alias("plane", "v")
+    px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), "y", "x", planes)
+    rows = export.rgba(raster.encode_rasters(px, compression=codecs.LZW))
+    return rows.select(c("path").alias("block"), "dir_index", "y", F.posexplode("abgr").alias("x", "abgr"))

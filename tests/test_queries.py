@@ -52,6 +52,12 @@ def test_image_diff_whole_rows(spark, sf_dir):
     assert {r["y"] for r in got if not r["l"] and not r["r"]} == set(range(50, n))
 
 
+def test_file_rgba_draws_all_pages(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = registry.QUERIES["file_rgba_pages"](spark, sf_dir)
+    assert got.count() == 64 * n and {r["dir_index"] for r in got.select("dir_index").distinct().collect()} == {0, 1, 2}
+
+
 def test_entry(spark):
     import __spark_entry__
 
