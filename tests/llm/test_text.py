@@ -249,6 +249,15 @@ def test_toxicity(spark, docs, odd, empty):
     assert toxicity.toxicity(docs, none).count() == docs.count()
 
 
+def test_quality_many_languages(spark, docs):
+    rows = [(i, words(random.Random(i), 60), f"x{i}", "s", 1) for i in range(1100)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert len(got) == 1100 and all(r["char_distance"] < 1e-3 for r in got.values())  # each text is its language's reference
+    measured = quality.counts(docs)
+    near = lambda most: sorted(map(repr, quality._distances(measured, measured, most).collect()))
+    assert near(0) == near(1000)
+
+
 def test_sentencepiece(docs, texts, empty, odd):
     import sentencepiece
 
