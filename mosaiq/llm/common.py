@@ -69,6 +69,19 @@ def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
+def fitting(sizes: DataFrame, most: int) -> list:
+    """Ids of the rows (h, doc_id, bytes) taken in order of h and doc_id while their bytes fit into `most`; one beyond it is passed over.
+
+    sizes is a bounded sample of ids; texts that share an id count together.
+    """
+    out, left = [], most
+    for r in sizes.groupBy("doc_id").agg(F.min("h").alias("h"), F.sum("bytes").alias("bytes")).orderBy("h", "doc_id").collect():
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            out.append(r["doc_id"])
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII strings take the byte-wise path of lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

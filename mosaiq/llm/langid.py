@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import trimmed
+from mosaiq.llm.common import fitting, trimmed
 
 SCHEMA = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
@@ -139,11 +139,13 @@ def train_row(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, rows: int = 2400, chars: int = 8000) -> PpmModel:
-    """Fit on a bounded sample: the `rows` labelled training rows of smallest hash, at most `chars` of each."""
+    """Fit on a bounded sample: the `rows` labelled training rows of smallest hash, whole, of rows * chars bytes at most."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & train_row(F.col("doc_id"))).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
     most = (1 << 30) * 4 * rows // max(1, known.count()) + 1  # about 4 * rows ids are left, however many tasks there are
     picked = known.where(F.col("h") < most).orderBy("h", "doc_id").limit(rows).distinct()  # ids only
-    texts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", 1, chars).alias("text"))
+    texts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    ids = fitting(texts.join(F.broadcast(picked), "doc_id").select("h", "doc_id", F.octet_length("text").cast("long").alias("bytes")), rows * chars)
+    picked = picked.where(F.col("doc_id").isin(ids))
     picked = texts.join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "lang", "text").limit(rows).collect()
     return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import trimmed
+from mosaiq.llm.common import fitting, trimmed
 
 SCHEMA = "doc_id long, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+(?:['’*@$!1034]+[^\W_]+)*|[^\W_]+", re.UNICODE)
@@ -196,10 +196,14 @@ def train_row(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 20_000) -> ToxicModel:
-    """Fit on a bounded sample: the `rows` labelled training rows of smallest hash, at most `chars` of each."""
+    """Fit on a bounded sample: the `rows` labelled training rows of smallest hash, whole, of rows * chars bytes at most."""
     known = labels.where(F.col("toxic").isNotNull() & train_row(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id", "toxic"), "doc_id").limit(rows)  # ids and labels only
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(picked), "doc_id").collect()
+    all_texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = all_texts.join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id", "toxic").alias("h"), "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    ids = fitting(sizes, rows * chars)
+    picked = picked.where(F.col("doc_id").isin(ids))
+    texts = all_texts.join(F.broadcast(picked), "doc_id").collect()
     texts.sort(key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
     return fit([r["text"] for r in texts], [int(r["toxic"] > 0) for r in texts])
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from mosaiq.llm import langid, packing, quality, queries, spiece, toxicity, warc
+from mosaiq.llm.common import fitting
 from tests.llm.conftest import words
 
 
@@ -258,6 +259,20 @@ def test_quality_many_languages(spark, docs):
     assert near(0) == near(1000)
 
 
+def test_training_texts_are_whole(spark):
+    calm = "the river ran past the old mill and on to the sea " * 450  # over 20,000 characters
+    rows = [(i, calm + ("you vermin" if i % 2 else "the end") + " żółw", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert "vermin" in toxicity.train(df, lab).terms
+    assert all(langid.train(df).symbol[b] for b in "ż".encode())
+
+
+def test_training_sample_is_bounded(spark):
+    sizes = spark.createDataFrame([(3, 30, 5), (1, 10, 4), (2, 20, 90), (4, 40, 3), (1, 10, 2)], "h long, doc_id long, bytes long")
+    assert fitting(sizes, 12) == [10, 30] and fitting(sizes, 1) == [] and fitting(sizes, 1000) == [10, 20, 30, 40]
+
+
 def test_sentencepiece(docs, texts, empty, odd):
     import sentencepiece
 
