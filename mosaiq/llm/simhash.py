@@ -37,14 +37,15 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; whole texts."""
+    """doc_id, fp (the fingerprint as a signed long), same (a hash of the text) of every row; whole texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "same"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(trimmed(work), "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(trimmed(work), "doc_id long, fp long, same long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -131,13 +132,8 @@ def link_fingerprints(distinct: DataFrame, radius: int, chunk: int | None = None
     return numbered.join(F.broadcast(deal), ["p", "c"]).select("pair", "side", "fp").groupBy("pair").applyInPandas(compare, "src long, dst long")
 
 
-def near_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links of radius bits or fewer reach.
-
-    Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one node.
-    Rows with a null doc_id take part; they get the component's smallest id, null if it has none. Rows repeated
-    whole get one result each. Empty table: no rows.
-    """
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, same, component_id of every row."""
     marks = write_table(fingerprints(docs), "simhash")
     nodes = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     links = write_table(link_fingerprints(nodes.select("fp"), radius), "links")
@@ -147,10 +143,24 @@ def near_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
     linked = member.join(tops, "label", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n", "label")
     lookup = linked.where("n > 1 or label is not null").select("fp", "component_id")
     out = salted_left_join(marks, lookup, ["fp"], F.col("doc_id"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "fp", "same", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links of radius bits or fewer reach.
+
+    Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one node.
+    Rows with a null doc_id take part; they get the component's smallest id, null if it has none. Rows repeated
+    whole get one result each. Empty table: no rows.
+    """
+    return _grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of docs, all columns, that are their component's smallest doc_id."""
-    gone = near_groups(docs, radius).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, all columns, that are their component's smallest doc_id.
+
+    A row goes by its doc_id and text, so another row of its doc_id stays unless it is a near copy itself.
+    """
+    gone = _grouped(docs, radius).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
+    hit = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_same"))
+    return docs.join(gone, hit, "left_anti").select(docs.columns)

@@ -144,6 +144,12 @@ def test_simhash_odd(odd, empty):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_simhash_keeps_clean_row_of_shared_id(spark):
+    copied, clean = " ".join(f"word{i}" for i in range(80)), " ".join(f"other{i * 7}" for i in range(80))
+    df = spark.createDataFrame([(1, copied), (2, copied.upper()), (2, clean), (2, clean)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == [(1, copied), (2, clean), (2, clean)]
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 100), (50, 50)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
