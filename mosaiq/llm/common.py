@@ -8,7 +8,6 @@ import ctypes
 import gc
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,20 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage.
+class Scratch:
+    """Tables of one operator in the shared folder. `clear` frees those that no later step reads."""
 
-    The cleaner works beside the driver's garbage collector, hence two rounds with a pause.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *names: str) -> None:
+        """Write an empty table over the named ones (all: no name), which any store that Spark writes to can do."""
+        for name in names or tuple(self.paths):
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(self.paths.pop(name))
 
 
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -109,15 +112,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Minimum labels travel along edges and then jump to the label of the label, so rounds grow with the logarithm
     of a component's diameter. Each round is written to the shared folder; the driver sees counts only.
     """
+    spark = edges.sparkSession
+    tables = Scratch(spark)
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = write_table(both.union(both.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    both = tables.write(both.union(both.select("b", "a")).where("a <> b").distinct(), "edges")
+    old = Scratch(spark)
+    labels = old.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
+        now = Scratch(spark)
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = write_table(step, "labels")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        done = write_table(step.join(jump, "label", "left").select("node", "old", F.least("label", "top").alias("label")), "labels")
+        step = now.write(step, "steps")
+        # a label that many nodes hold is looked up once and told to salted parts of them
+        jump = step.select("label").distinct().join(step.select(F.col("node").alias("label"), F.col("label").alias("top")), "label")
+        done = now.write(salted_left_join(step, jump, ["label"], F.col("node")).select("node", "old", F.least("label", "top").alias("label")), "labels")
         labels = done.select("node", "label")
+        old.clear()
+        now.clear("steps")
         if done.where("label <> old").isEmpty():
+            tables.clear()
             return labels
+        old = now

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import lower_ascii, release, salt, salted_left_join, write_table
+from mosaiq.llm.common import lower_ascii, salt, salted_left_join, write_table
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -42,12 +42,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns: the row itself where its text is alone, else the winner's."""
+    """The rows of docs that stay, all columns: the row itself where its text is alone, else the winner's.
+
+    Nulls, ids and rows repeated whole are as in exact_dedup: a winner that is there twice stays twice. Columns may have
+    any names. Empty table: no rows.
+    """
     key = ["text_sha256", "size", "fold"]
     norm = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), norm.alias("norm"))  # a struct, so that no name clashes
     rows = rows.select("row", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("size"), F.xxhash64("norm").alias("fold"))
     groups = write_table(winners(docs).where("group_size > 1"), "copies").withColumn("hit", F.lit(True))
-    release(docs.sparkSession)  # both shuffles of the texts are done with before the rows are shuffled
     out = salted_left_join(rows, groups, key, F.col("row.doc_id"))
     return out.where(F.col("hit").isNull() | F.col("keep_id").eqNullSafe(F.col("row.doc_id"))).select("row.*")

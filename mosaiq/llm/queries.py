@@ -43,7 +43,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removals(_table(spark, sf_dir, "documents"))
+    """Bytes of 400-byte repeats, removed; n_passage tells of repeated passages shorter than that."""
+    return suffix.removals(_table(spark, sf_dir, "documents"), passage=suffix.PASSAGE)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,15 +19,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import salted_left_join, trimmed, write_table
+from mosaiq.llm.common import salted_left_join, Scratch, trimmed
 
 LENGTH, ANCHOR = 400, 64
+#: Bytes of a repeated passage: 50 words of three letters and a space.
+PASSAGE = 200
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that are hashed at once; contexts in a new batch of an index family.
 CHUNK, BATCH = 1 << 20, 8192
 
-ANCHORS = "rid long, key long, ctx long, at int, dmin int, dmax int"
+#: A row: its doc_id and a hash of its text, so that only texts of one doc_id could be taken for each other.
+RID = "rid struct<d:long,h:long>"
+ANCHORS = RID + ", key long, ctx long, at int, dmin int, dmax int"
 
 
 class Roller:
@@ -114,8 +118,7 @@ def find_anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
             which = np.searchsorted(begins, at, "right") - 1
             dmax, dmin = at - lo, at - hi
             ctx = np.fromiter((xxhash.xxh3_64_intdigest(joined[a : b + length], d) for a, b, d in zip(lo.tolist(), hi.tolist(), dmax.tolist(), strict=True)), np.uint64, len(at))
-            rid = part.column(0).to_numpy(zero_copy_only=False)
-            cols = [pa.array(rid[which], pa.int64()), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at - begins[which], dmin, dmax))]
+            cols = [part.column(0).take(pa.array(which)), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at - begins[which], dmin, dmax))]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "key", "ctx", "at", "dmin", "dmax"])
 
     return rows.select("rid", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(work), ANCHORS)
@@ -214,6 +217,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR, cap: int = 2
     of over `cap` different contexts would make one bucket large; its windows are grouped by their 128-bit hashes
     instead, each window alone, which spreads them over all tasks.
     """
+    tables, last = Scratch(rows.sparkSession), Scratch(rows.sparkSession)
+    write_table = tables.write
     found = write_table(find_anchors(rows, length, k), "anchors")
     # written, so that the join below has an exchange of its own on either side and a hot key can be split
     again = write_table(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").drop("n"), "keys")
@@ -228,54 +233,60 @@ def repeats(rows: DataFrame, length: int = LENGTH, k: int = ANCHOR, cap: int = 2
     listed = listed.groupBy("rid").agg(F.collect_list(F.struct("key", "alone", "hot", "at", "dmin", "dmax")).alias("want"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["key", "alone", "hot", "at", "dmin", "dmax", "bytes"], [pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for part, texts in _texts(batches):
-            out = []
-            for rid, raw, want in zip(part.column("rid").to_pylist(), texts, part.column("want").to_pylist(), strict=True):
-                out += [(x["key"], x["alone"], x["hot"], rid, x["at"], x["dmin"], x["dmax"], raw[x["at"] - x["dmax"] : x["at"] - x["dmin"] + length]) for x in want or ()]
+            out, of = [], []
+            for i, (raw, want) in enumerate(zip(texts, part.column("want").to_pylist(), strict=True)):
+                out += [(x["key"], x["alone"], x["hot"], x["at"], x["dmin"], x["dmax"], raw[x["at"] - x["dmax"] : x["at"] - x["dmin"] + length]) for x in want or ()]
+                of += [i] * len(want or ())
             if out:
-                types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "alone", "hot", "rid", "at", "dmin", "dmax", "bytes"])
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("rid").take(pa.array(of)), *cols], names=["rid", *names])
 
-    held = rows.join(listed, "rid", "left").mapInArrow(trimmed(contexts), "key long, alone boolean, hot boolean, rid long, at int, dmin int, dmax int, bytes binary")
+    held = rows.join(listed, "rid", "left").mapInArrow(trimmed(contexts), RID + ", key long, alone boolean, hot boolean, at int, dmin int, dmax int, bytes binary")
     n_classes = classes.count()
     if n_classes:
         held = write_table(held, "contexts")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, own, wait = Family(length, k), [], []
+        family, own, rids, wait = Family(length, k), [], [], []
         def enter() -> None:
             family.add(*map(list, zip(*wait, strict=True)))
             wait.clear()
         for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in ("alone", "rid", "at", "dmin", "dmax", "bytes")}
-            own += zip(cols["alone"], cols["rid"], cols["at"], strict=True)
+            cols = {n: batch.column(n).to_pylist() for n in ("alone", "at", "dmin", "dmax", "bytes")}
+            rids.append(batch.column("rid"))
+            own += zip(cols["alone"], cols["at"], strict=True)
             wait += zip(cols["bytes"], cols["dmin"], cols["dmax"], strict=True)
             if len(wait) >= BATCH:
                 enter()
         if wait:
             enter()
-        out = [(rid, at - b, at - a + length) for i, (alone, rid, at) in enumerate(own) if alone for a, b in family.runs(i)]
+        out = [(i, at - b, at - a + length) for i, (alone, at) in enumerate(own) if alone for a, b in family.runs(i)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["rid", "s", "e"])
+            of, s, e = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(rids).take(pa.array(of)), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["rid", "s", "e"])
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, at, dmin, dmax, raw in zip(*(batch.column(n).to_pylist() for n in ("rid", "at", "dmin", "dmax", "bytes")), strict=True):
-                found = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(dmax - dmin + 1)]
+            for i, (at, dmin, dmax, raw) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("at", "dmin", "dmax", "bytes")), strict=True)):
+                found = [xxhash.xxh3_128_digest(raw[j : j + length]) for j in range(dmax - dmin + 1)]
                 s = np.arange(at - dmax, at - dmin + 1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rid)), pa.array(s), pa.array(found, pa.binary())], names=["rid", "s", "h"])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(np.full(len(s), i))), pa.array(s), pa.array(found, pa.binary())], names=["rid", "s", "h"])
 
     if n_classes:
         buckets = max(1, math.ceil(n_classes / bucket))
-        parts.append(held.where("not hot").repartition(buckets, "key").mapInArrow(trimmed(index), "rid long, s int, e int"))
+        parts.append(held.where("not hot").repartition(buckets, "key").mapInArrow(trimmed(index), RID + ", s int, e int"))
         if not hot.isEmpty():
-            windows = write_table(held.where("hot").mapInArrow(trimmed(each_window), "rid long, s int, h binary"), "windows")
+            windows = write_table(held.where("hot").mapInArrow(trimmed(each_window), RID + ", s int, h binary"), "windows")
             twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").withColumn("hit", F.lit(True))
             parts.append(salted_left_join(windows, twice, ["h"], F.struct("rid", "s")).where("hit").select("rid", "s", (F.col("s") + length).alias("e")))
     spans = parts[0]
     for x in parts[1:]:
         spans = spans.union(x)
-    return write_table(spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    out = last.write(spans.distinct().groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    tables.clear()
+    return out
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -294,41 +305,51 @@ def _left(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with rid, a hash of doc_id and text, under which spans come back to them."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", F.col("text").cast("string")))
+def row_id(doc_id, text):
+    """What spans come back to a row by; rows that are equal in both share it. Null ids go by a second hash."""
+    d = doc_id.cast("long")
+    return F.struct(F.coalesce(d, F.lit(0).cast("long")).alias("d"), F.when(d.isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(text)).alias("h"))
 
 
-def removals(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def removals(docs: DataFrame, length: int = LENGTH, passage: int | None = None, **how) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `passage`, n_passage too: the bytes that
+    strings of that many bytes cover which also start elsewhere (nothing is cut for them).
 
-    Null texts are empty. Texts under `length` bytes keep all. Strings that repeat inside one text, overlapping or
-    not, count. Rows repeated whole are each other's copies. Other columns are ignored. Empty table: no rows.
+    Null texts are empty. Texts under `length` bytes keep all; texts of any length are read whole. Strings that repeat
+    inside one text, overlapping or not, count. Rows repeated whole are each other's copies. Other columns are ignored,
+    whatever their names. Empty table: no rows.
     """
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    joined = rows.join(repeats(rows, length, **how), "rid", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", row_id(F.col("doc_id"), F.col("text")))
+    spans = repeats(rows, length, **how)
+    if passage:
+        spans = spans.join(repeats(rows, passage, **how).withColumnRenamed("spans", "passages"), "rid", "full")
+    joined = rows.join(spans, "rid", "left")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage"] * bool(passage)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covered = lambda cuts: pa.array([sum(e - s for s, e in c) for c in cuts], pa.int64())
         for part, texts in _texts(batches):
             cuts = [merged(x) for x in part.column("spans").to_pylist()]
-            gone = [sum(e - s for s, e in c) for c in cuts]
             sha = [hashlib.sha256(_left(raw, c)).hexdigest() for raw, c in zip(texts, cuts, strict=True)]
-            cols = [part.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = [part.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), covered(cuts), pa.array([len(c) for c in cuts], pa.int64()), pa.array(sha, pa.string())]
+            if passage:
+                cols.append(covered([merged(x) for x in part.column("passages").to_pylist()]))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(trimmed(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(trimmed(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passage long" * bool(passage))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """The rows of docs with repeats cut from text (n_chars follows, where it is a column).
 
-    Halves of a character that a cut parts go too. Rows whose whole text went are dropped; rows that were empty stay.
+    Halves of a character that a cut parts go too. Rows whose whole text went are dropped; rows with null or empty texts
+    stay as they are. Rows repeated whole are each other's copies. Columns may have any names. Empty table: no rows.
     """
     names, schema = docs.columns, docs.schema
     count = names.index("n_chars") if "n_chars" in names else None
     own = ["text" if n == "text" else f"_c{i}" for i, n in enumerate(names)]  # no name clashes
     renamed = docs.select(*(F.col(f"`{n}`").cast("string").alias(o) if n == "text" else F.col(f"`{n}`").alias(o) for n, o in zip(names, own, strict=True)))
-    rows = renamed.withColumn("rid", F.xxhash64(F.col(own[names.index("doc_id")]), F.col("text")))
+    rows = renamed.withColumn("rid", row_id(F.col(own[names.index("doc_id")]), F.col("text")))
     joined = rows.join(repeats(rows, length, **how), "rid", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,33 @@ def test_suffix(docs, how):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix.removals(docs, **how).collect()} == expected
 
 
+def test_suffix_passages(docs):
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    long, short = brute_removals([r for _, r in rows], 400), brute_removals([r for _, r in rows], 200)
+    expected = {d: (*a, b[1]) for (d, _), a, b in zip(rows, long, short, strict=True)}
+    got = suffix.removals(docs, passage=200)
+    assert got.columns[-1] == "n_passage" and {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == expected
+
+
+def test_suffix_thousands_with_a_hot_anchor(spark):
+    """Passages of 51 to 120 words, and one string of 70 bytes in every text, at several thousand documents."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 8)))
+    passages = [" ".join(word() for _ in range(rng.randint(51, 120))) for _ in range(40)]
+    hot = "".join(rng.choice("xyz") for _ in range(70))
+    texts = []
+    for i in range(3000):
+        middle = rng.choice(passages) if i % 3 == 0 else ""
+        texts.append(" ".join([*(word() for _ in range(rng.randint(5, 60))), middle, hot, *(word() for _ in range(rng.randint(5, 60)))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    raws = [t.encode() for t in texts]
+    long, short = brute_removals(raws, 400), brute_removals(raws, 200)
+    for cap in (20_000, 500):
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix.removals(df, passage=200, cap=cap).collect()}
+        assert got == {i: (*a, b[1]) for i, (a, b) in enumerate(zip(long, short, strict=True))}
+    assert sum(b[1] >= 200 for b in short) >= 990
+
+
 def test_suffix_short_windows(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["ab" * 90, "a" * 100, "é" * 70]

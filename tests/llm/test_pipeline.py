@@ -21,7 +21,7 @@ def test_pipeline(spark, docs, tmp_path):
         elif name == "simhash":
             expected = {r["component_id"] for r in simhash.near_groups(step).collect()}
         elif name == "suffix_dedup":
-            expected = {r["doc_id"] for r in suffix.removals(step).where("n_removed < n_bytes or n_bytes = 0").collect()}
+            expected = {r["doc_id"] for r in suffix.removals(step, suffix.PASSAGE).where("n_removed < n_bytes or n_bytes = 0").collect()}
         else:
             expected = None
         out = stage(spark, step, str(tmp_path))
