@@ -29,8 +29,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that starts elsewhere too are cut; wholly cut documents go."""
-    return suffix.cut_repeats(docs)
+    """Bytes covered by a string of suffix.PASSAGE bytes that starts elsewhere too are cut; wholly cut documents go.
+
+    The length is that of a passage of 50 short words, so that repeated passages of over 50 words go.
+    """
+    return suffix.cut_repeats(docs, suffix.PASSAGE)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
