@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import salted_left_join, write_table
+from mosaiq.llm.common import salted_left_join, Scratch
 
 FIELD = "<*>"
 
@@ -69,87 +69,127 @@ class Templates:
         return self.n - 1
 
 
+    def texts(self) -> list[bytes]:
+        """The templates, their fields as FIELD."""
+        words = list(self.number)
+        return [b" ".join([words[i] for i in row]) for row in self.made[: self.n].tolist()]
+
+
 def generalise(lines: list[list[bytes]], similar: float) -> list[int]:
     """Template number of each line of a leaf; all have one token count and come in sorted order."""
     templates = Templates(len(lines[0]) if lines else 0, similar)
     return [templates.add(x) for x in lines]
 
 
-def tree(docs: DataFrame, depth: int, leaf: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all lines that have a word, by hashes only; the leaves that hold several kinds of line).
+def row_id() -> Column:
+    """doc_id and a hash of the text: rows that are equal in both are one document."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("d"), F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias("h"))
+
+
+def all_lines(docs: DataFrame, depth: int) -> DataFrame:
+    """(rid, place, same, leaf) of each line with a word, by hashes only. Null texts have no lines.
 
-    A leaf of the tree is a token count with the first `depth` tokens, whatever its size. Only where the caller sets
-    `leaf`, one with over `leaf` different lines is parted by twice the leading tokens, and what then still is too
-    large by all of them: equal lines only. Null texts have no lines.
+    A leaf of the tree is a token count with the first `depth` tokens.
     """
-    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("place", "line"))
-    rows = rows.where(F.col("line").rlike(f"[^{SPACE}]")).select("doc_id", "rid", "place", masked(F.col("line")).alias("line"))
+    rows = docs.select(row_id().alias("rid"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("place", "line"))
+    rows = rows.where(F.col("line").rlike(f"[^{SPACE}]")).select("rid", "place", masked(F.col("line")).alias("line"))
     words = rows.withColumn("words", F.array_remove(F.split("line", f"[{SPACE}]+"), ""))
-    lead = lambda k: F.xxhash64(F.size("words"), F.slice("words", 1, k))
-    narrow = write_table(words.select("doc_id", "rid", "place", F.xxhash64("line").alias("same"), lead(depth).alias("l1"), lead(2 * depth).alias("l2")), "lines")
-    distinct = narrow.groupBy("l1", "l2", "same").agg(F.count(F.lit(1)).alias("n"))
-    sizes = distinct.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-    tops = sizes.groupBy("l1").agg(F.sum("kinds").alias("kinds1"), F.sum("n").alias("n1"))
-    # leaves with one kind of line need no tree
-    plan = sizes.join(tops, "l1").where("kinds1 > 1")
-    if leaf is None:
-        return narrow, plan.select("l1", "l2", F.col("l1").alias("leaf"))
-    plan = plan.select("l1", "l2", F.when(F.col("kinds1") <= leaf, F.col("l1")).when((F.col("kinds") <= leaf) & (F.col("kinds") > 1), F.col("l2")).alias("leaf")).where("leaf is not null")
-    return narrow, plan
-
-
-def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, leaf: int | None = None) -> DataFrame:
-    """(doc_id, rid, place, same, template) of each line with a word; template: the smallest `same` of its cluster."""
-    narrow, plan = tree(docs, depth, leaf)
-    plan = write_table(plan, "leaves")
-    # a place for each kind of line in a leaf; only these lines' texts are fetched
-    kinds = narrow.groupBy("l1", "l2", "same").agg(F.min(F.struct("rid", "place")).alias("at"))
-    kinds = salted_left_join(kinds, plan, ["l1", "l2"], F.col("same")).where("leaf is not null").select("leaf", "same", "at.*")
-    wanted = kinds.dropDuplicates(["leaf", "same"]).groupBy("rid").agg(F.collect_list(F.struct("leaf", "same", "place")).alias("want"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
-    kinds = texts.join(wanted, "rid").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
-    kinds = kinds.select("w.leaf", "w.same", masked(F.get("lines", F.col("w.place"))).alias("masked")).dropDuplicates(["leaf", "same"])
-
-    def settle(rows: Iterator[tuple[int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
-        """(same, template) of the lines of one leaf that aren't their template's smallest; keeps templates and numbers only."""
-        templates, same, of = None, array("q"), array("q")
+    return words.select("rid", "place", F.xxhash64("line").alias("same"), F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"))
+
+
+def settled(lines: DataFrame, similar: float) -> DataFrame:
+    """(leaf, same, template, made) of lines (leaf, shard, same, masked), each shard generalised by one task that streams it.
+
+    A row for each line that isn't its template's smallest (made: null), and one for each template with its text.
+    """
+
+    def settle(rows: Iterator[tuple[int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        templates, leaf, same, of, last = None, 0, array("q"), array("q"), None
         least: dict[int, int] = {}
-        for _, _, line, key in rows:
-            words = line.split()
-            templates = templates or Templates(len(words), similar)
-            k = templates.add(words)
+        for leaf, line, key in rows:
+            if (line, key) == last:
+                continue  # the same line of a row that is there twice
+            last = line, key
+            found = line.split()
+            templates = templates or Templates(len(found), similar)
+            k = templates.add(found)
             same.append(key)
             of.append(k)
             least[k] = min(least.get(k, key), key)
         same, of = np.frombuffer(same, np.int64), np.frombuffer(of, np.int64)
-        tops = np.array([least[k] for k in range(len(least))], np.int64)[of]
+        tops = np.array([least[k] for k in range(len(least))], np.int64)
+        made = templates.texts()
+        names = ["leaf", "same", "template", "made"]
+        for at in range(0, len(tops), 65536):
+            part = pa.array(tops[at : at + 65536])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), leaf)), part, part, pa.array(made[at : at + 65536], pa.binary())], names=names)
         for at in range(0, len(same), 65536):
-            part = slice(at, at + 65536)
-            moved = same[part] != tops[part]
+            own, top = same[at : at + 65536], tops[of[at : at + 65536]]
+            moved = own != top
             if moved.any():
-                yield pa.RecordBatch.from_arrays([pa.array(same[part][moved]), pa.array(tops[part][moved])], names=["same", "template"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(moved.sum(), leaf)), pa.array(own[moved]), pa.array(top[moved]), pa.nulls(int(moved.sum()), pa.binary())], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int, bytes, int]]:
+        def rows() -> Iterator[tuple]:
             for batch in batches:
-                lines = batch.column("masked").cast(pa.binary()).to_pylist()
-                yield from zip(batch.column("leaf").to_pylist(), [len(x.split()) for x in lines], lines, batch.column("same").to_pylist(), strict=True)
+                found = batch.column("masked").cast(pa.binary()).to_pylist()
+                yield from zip(batch.column("leaf").to_pylist(), batch.column("shard").to_pylist(), batch.column("size").to_pylist(), found, batch.column("same").to_pylist(), strict=True)
 
         # one size in a leaf, unless two hashes are equal
-        for _, leaf_rows in groupby(rows(), key=lambda x: x[:2]):
-            yield from settle(leaf_rows)
+        for _, own in groupby(rows(), key=lambda x: x[:3]):
+            yield from settle((leaf, line, key) for leaf, _, _, line, key in own)
 
     size = F.size(F.array_remove(F.split("masked", f"[{SPACE}]+"), ""))
-    sorted_rows = kinds.repartition("leaf").withColumn("size", size).sortWithinPartitions("leaf", "size", "masked", "same")
-    found = sorted_rows.drop("size").mapInArrow(work, "same long, template long").dropDuplicates(["same"])
-    return salted_left_join(narrow.drop("l1", "l2"), found, ["same"], F.struct("rid", "place")).withColumn("template", F.coalesce("template", "same"))
+    ordered = lines.select("leaf", "shard", "same", "masked").repartition("leaf", "shard").withColumn("size", size).sortWithinPartitions("leaf", "shard", "size", "masked", "same")
+    return ordered.mapInArrow(work, "leaf long, same long, template long, made binary")
+
+
+def assign(docs: DataFrame, depth: int = 3, similar: float = 0.6, shard: int = 20_000, tables: Scratch | None = None) -> DataFrame:
+    """(rid, place, same, template) of each line with a word; template: the smallest `same` of its cluster.
+
+    A leaf of over `shard` different lines is generalised in several shards at once; their templates, fields and all,
+    are then lines of a smaller leaf, and so on until a round no longer halves them, when one task takes what is left.
+    """
+    tables = tables or Scratch(docs.sparkSession)
+    narrow = tables.write(all_lines(docs, depth), "lines")
+    kinds = tables.write(narrow.groupBy("leaf", "same").agg(F.min(F.struct("rid", "place")).alias("at")), "kinds")
+    # leaves with one kind of line need no tree
+    sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    wanted = salted_left_join(kinds, sizes, ["leaf"], F.col("same")).where("kinds is not null").select("leaf", "same", "kinds", "at.*")
+    wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("leaf", "same", "kinds", "place")).alias("want"))
+    texts = docs.select(row_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    lines = texts.join(wanted, "rid").select(F.split("text", "\n").alias("lines"), F.explode("want").alias("w"))
+    lines = lines.select("w.leaf", "w.same", "w.kinds", masked(F.get("lines", F.col("w.place"))).alias("masked"))
+    shards = F.ceil(F.col("kinds") / shard)
+    moves, i = None, 0
+    lines = lines.withColumn("shard", F.pmod(F.xxhash64("same"), shards))
+    while True:
+        found = tables.write(settled(lines, similar), f"settled{i}")
+        step = found.where("made is null").select("same", "template").groupBy("same").agg(F.min("template").alias("template"))
+        if moves is None:
+            moves = step
+        else:  # what a line was told before is told anew
+            over = salted_left_join(moves, step.select(F.col("same").alias("template"), F.col("template").alias("top")), ["template"], F.col("same"))
+            moves = tables.write(over.select("same", F.coalesce("top", "template").alias("template")).unionByName(step), f"moves{i}")
+        again = sizes.where(shards > 1)
+        if again.isEmpty():
+            break
+        left = found.where("made is not null").select("leaf", "same", F.col("made").cast("string").alias("masked"))
+        now = left.join(again.withColumnRenamed("kinds", "was"), "leaf").groupBy("leaf", "was").agg(F.count(F.lit(1)).alias("kinds"))
+        # one shard takes the rest of a leaf that no longer shrinks; it is in no further round
+        sizes = tables.write(now.select("leaf", F.when(F.col("kinds") * 2 > F.col("was"), F.least("kinds", F.lit(shard))).otherwise(F.col("kinds")).alias("kinds")), f"sizes{i}")
+        lines = salted_left_join(left, sizes, ["leaf"], F.col("same")).where("kinds is not null").withColumn("shard", F.pmod(F.xxhash64("same"), shards))
+        i += 1
+    return salted_left_join(narrow.drop("leaf"), moves, ["same"], F.struct("rid", "place")).withColumn("template", F.coalesce("template", "same"))
 
 
 def recurring(docs: DataFrame, min_docs: int = 8, **how) -> DataFrame:
     """(rid, n_lines, dropped): the places of lines whose template min_docs different documents or more hold."""
-    lines = write_table(assign(docs, **how), "templates")
-    common = lines.groupBy("template", "rid").agg(F.first("doc_id").alias("_")).groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("template", F.lit(True).alias("hit"))
-    told = salted_left_join(lines.select("rid", "place", "template"), common, ["template"], F.struct("rid", "place"))
+    tables = Scratch(docs.sparkSession)
+    lines = Scratch(docs.sparkSession).write(assign(docs, tables=tables, **how).select("rid", "place", "template"), "templates")
+    tables.clear()
+    common = lines.groupBy("template", "rid").agg(F.lit(1).alias("_")).groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("template", F.lit(True).alias("hit"))
+    told = salted_left_join(lines, common, ["template"], F.struct("rid", "place"))
     told = told.groupBy("rid", "place").agg(F.max("hit").alias("hit"))  # rows repeated whole
     return told.groupBy("rid").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("place")))).alias("dropped"))
 
@@ -158,9 +198,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 8, **how) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept: whole texts without lines of recurring templates.
 
     Lines are parted by \\n; those without a word stay. Documents are counted by (doc_id, text), so rows repeated
-    whole count once and share one result. Null text: no lines, kept null. Empty table: no rows.
+    whole count once and share one result, and rows of one null or repeated id with other texts are documents of their
+    own. A line that agrees equally with several templates joins the first. Texts of any length are read whole; their
+    lines travel one by one. Other columns are ignored, whatever their names. Null text: no lines, kept null. Empty
+    table: no rows.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rid", row_id())
     out = rows.join(recurring(rows, min_docs, **how), "rid", "left")
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
 
