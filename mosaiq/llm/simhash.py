@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import connected_components, LOWER, salted_left_join, trimmed, UPPER, write_table
+from mosaiq.llm.common import connected_components, LOWER, salted_left_join, Scratch, trimmed, UPPER, write_table
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Rows and columns of a tile.
@@ -110,40 +111,42 @@ def link_fingerprints(distinct: DataFrame, radius: int, chunk: int | None = None
     Fingerprints are dealt into chunks by population count, large counts into several chunks of about `chunk`;
     a task compares one pair of chunks whose counts are within radius. So no task holds more than two chunks, and
     each fingerprint is sent as often as its chunk has partners, about the square root of what all pairs would need.
+    Chunks are numbered in order of their counts, so a chunk's partners are a range that each row works out itself;
+    the driver holds 65 sizes.
     """
-    spark = distinct.sparkSession
     counted = distinct.withColumn("p", F.bit_count("fp"))
     sizes = {r["p"]: r["count"] for r in counted.groupBy("p").count().collect()}  # 65 rows at most
     chunk = chunk or max(4096, min(1 << 20, sum(sizes.values()) // 24))
-    parts = {p: max(1, math.ceil(n / chunk)) for p, n in sizes.items()}
-    chunks = [(p, c) for p in sorted(parts) for c in range(parts[p])]
-    pairs = [(x, y) for i, x in enumerate(chunks) for y in chunks[i:] if abs(x[0] - y[0]) <= radius]
-    sent = [(x[0], x[1], k, 0) for k, (x, _) in enumerate(pairs)] + [(y[0], y[1], k, 1) for k, (x, y) in enumerate(pairs) if x != y]
-    deal = spark.createDataFrame(sent or [(-1, 0, 0, 0)], "p int, c int, pair long, side int")
-    of = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else None
-    numbered = counted.withColumn("c", F.pmod(F.xxhash64("fp"), of[F.col("p")]).cast("int") if of is not None else F.lit(0))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = rows["fp"].to_numpy().view(np.uint64)
-        one = (rows["side"] == 0).to_numpy()
-        src, dst = near_links(fp[one], None if one.all() else fp[~one], radius)
+    parts = [math.ceil(sizes.get(p, 0) / chunk) for p in range(65)]
+    first = [0, *accumulate(parts)]
+    by_count = lambda values: F.get(F.array(*map(F.lit, values)), F.col("p"))
+    own = by_count(first[:65]) + F.pmod(F.xxhash64("fp"), by_count([max(1, n) for n in parts]))
+    low, high = by_count([first[max(0, p - radius)] for p in range(65)]), by_count([first[min(65, p + radius + 1)] for p in range(65)])
+    sent = counted.select("fp", own.cast("int").alias("i"), F.explode(F.sequence(low, high - 1)).alias("j"))
+    sent = sent.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") <= F.col("j")).alias("one"), "fp")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        fp, one = rows["fp"].to_numpy().view(np.uint64), rows["one"].to_numpy()
+        src, dst = near_links(fp[one], None if key[0] == key[1] else fp[~one], radius)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    return numbered.join(F.broadcast(deal), ["p", "c"]).select("pair", "side", "fp").groupBy("pair").applyInPandas(compare, "src long, dst long")
+    return sent.groupBy("a", "b").applyInPandas(compare, "src long, dst long")
 
 
 def _grouped(docs: DataFrame, radius: int) -> DataFrame:
     """doc_id, fp, same, component_id of every row."""
+    tables = Scratch(docs.sparkSession)
     marks = write_table(fingerprints(docs), "simhash")
-    nodes = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    links = write_table(link_fingerprints(nodes.select("fp"), radius), "links")
-    labels = connected_components(links)
-    member = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    tops = member.where("label is not null").groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = member.join(tops, "label", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n", "label")
-    lookup = linked.where("n > 1 or label is not null").select("fp", "component_id")
-    out = salted_left_join(marks, lookup, ["fp"], F.col("doc_id"))
-    return out.select("doc_id", "fp", "same", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = tables.write(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    links = tables.write(link_fingerprints(nodes.select("fp"), radius), "links")
+    labels = connected_components(links).withColumnRenamed("node", "fp")
+    tops = labels.join(nodes, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
+    linked = salted_left_join(labels, tops, ["label"], F.col("fp")).select("fp", "component_id", F.lit(True).alias("linked"))
+    lookup = nodes.join(linked, "fp", "left").where("n > 1 or linked").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), F.lit(True).alias("known"))
+    lookup = write_table(lookup, "lookup")
+    tables.clear()
+    out = salted_left_join(marks, lookup, ["fp"], F.struct("doc_id", "same"))
+    return out.select("doc_id", "fp", "same", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -159,7 +162,9 @@ def near_groups(docs: DataFrame, radius: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of docs, all columns, that are their component's smallest doc_id.
 
-    A row goes by its doc_id and text, so another row of its doc_id stays unless it is a near copy itself.
+    A row goes by its doc_id and text, so another row of its doc_id stays unless it is a near copy itself. Rows repeated
+    whole share one fate, and rows with a null doc_id stay. Null and empty texts are near copies of each other. Columns
+    may have any names. Empty table: no rows.
     """
     gone = _grouped(docs, radius).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
     hit = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_same"))
