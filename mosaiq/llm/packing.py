@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,7 +21,7 @@ from mosaiq.llm.common import trimmed
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 1
 #: Distinct words whose ids a worker remembers before it starts anew; a bound on memory, not on results.
-REMEMBERED, REMEMBERED_PARTS = 500_000, 150_000
+REMEMBERED, REMEMBERED_PARTS = 200_000, 100_000
 #: Words whose parting the tokenizer's own rule fixes and that need no Unicode tables: printable ASCII and the letters
 #: of Latin-1. Others, and those that could hold a special token, go through the tokenizer whole.
 PLAIN = re.compile(r"[!-~¡¿«»À-ÖØ-öø-ÿ]+")
@@ -140,88 +141,119 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cut(tokens: int, capacity: int, least: int) -> list[int]:
-    """Lengths of a document's pieces: whole sequences, then capacity/2, capacity/4, ..., and a rest under `least`."""
-    out, size = [capacity] * (tokens // capacity), capacity
-    tokens %= capacity
-    while tokens >= least and size > 1:
-        size //= 2
-        if tokens >= size:
-            out.append(size)
-            tokens -= size
-    return out + [tokens] * (tokens > 0)
-
-
 class HarmonicPacker:
-    """A piece of a length in (capacity/(j+1), capacity/j] is of class j; a bin of class j takes j pieces.
-
-    `cut` makes lengths that divide the capacity, which fill their bins without a gap, and short rests, whose
-    bins miss less than one piece. What is left in open bins at the end is cut once more into whole sequences
-    and, for the last one, powers of two, which need no padding.
+    """A document of a length in (capacity/(j+1), capacity/j] is of class j; a bin of class j takes j whole documents.
+
+    Those of capacity/classes or fewer are of the last class, whose bins take as many as fit. A document of more than
+    the capacity fills sequences of its own; what is over goes to the stock. A bin with all its documents misses less
+    than one document of its class; pieces cut from the stock close that gap. While the stock can't, bins wait; with
+    `waiting` of them, the next document goes to the stock instead of its class. So nearly all documents stay whole,
+    and no bin is padded. At the end, open bins' documents go to the stock too; when the waiting bins are closed, the
+    rest is laid end to end in whole sequences and, for the last one, powers of two, which need no padding.
     """
 
-    def __init__(self, base: int, capacity: int = 2048, least: int = 16):
-        self.capacity, self.least, self.next, self.bins, self.rows = capacity, least, base, {}, []
+    def __init__(self, base: int, capacity: int = 2048, classes: int = 16, waiting: int = 8):
+        self.capacity, self.classes, self.waiting, self.next = capacity, classes, waiting, base
+        self.bins: dict[int, list[tuple]] = {}
+        self.room: dict[int, int] = {}
+        self.short: deque[tuple[int, list[tuple]]] = deque()  # (gap, pieces) of waiting bins
+        self.stock: deque[tuple] = deque()
+        self.held, self.rows = 0, []
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        at = 0
-        for size in cut(len(ids), self.capacity, self.least):
-            piece = (doc, at, size, zlib.crc32(ids[at : at + size].astype("<u4").tobytes()), len(ids))
-            at += size
-            if size == self.capacity:
-                self.rows.append((*piece, self.next, 0))
-                self.next += 1
-                continue
-            # the ids stay with an open bin's pieces, as they may be cut again
-            own = self.bins.setdefault(self.capacity // size, [])
-            own.append((piece, ids[at - size : at]))
-            if len(own) == self.capacity // size:
-                self.fill([x for x, _ in own])
-                own.clear()
-
-    def fill(self, pieces: list[tuple]) -> None:
+        """ids: the whole document. What is kept is copied, so the caller's array isn't held."""
+        total, at = len(ids), 0
+        if total > self.capacity:
+            while total - at >= self.capacity:
+                self.emit([(doc, at, ids[at : at + self.capacity], total)])
+                at += self.capacity
+            if at < total:
+                self.put_by((doc, at, ids[at:].copy(), total))
+        elif len(self.short) >= self.waiting:
+            self.put_by((doc, 0, ids.copy(), total))
+        else:
+            self.place((doc, 0, ids.copy(), total))
+        while self.short and self.held >= self.short[0][0]:
+            gap, pieces = self.short.popleft()
+            self.emit(pieces + self.take_stock(gap))
+
+    def place(self, piece: tuple) -> None:
+        n = len(piece[2])
+        j = min(self.capacity // n, self.classes)
+        own, room = self.bins.setdefault(j, []), self.room.get(j, self.capacity)
+        if n > room:  # the last class only
+            self.short.append((room, own))
+            own = self.bins[j] = []
+            room = self.capacity
+        own.append(piece)
+        room -= n
+        if not room:
+            self.emit(own)
+        elif j < self.classes and len(own) == j:
+            self.short.append((room, own))
+        else:
+            self.room[j] = room
+            return
+        self.bins[j], self.room[j] = [], self.capacity
+
+    def put_by(self, piece: tuple) -> None:
+        self.stock.append(piece)
+        self.held += len(piece[2])
+
+    def take_stock(self, tokens: int) -> list[tuple]:
+        """Pieces of the stock of so many tokens in all."""
+        out, self.held = [], self.held - tokens
+        while tokens:
+            doc, at, ids, total = self.stock.popleft()
+            if len(ids) > tokens:
+                self.stock.appendleft((doc, at + tokens, ids[tokens:], total))
+                ids = ids[:tokens]
+            out.append((doc, at, ids, total))
+            tokens -= len(ids)
+        return out
+
+    def emit(self, pieces: list[tuple]) -> None:
+        """A finished sequence."""
         offset = 0
-        for piece in pieces:
-            self.rows.append((*piece, self.next, offset))
-            offset += piece[2]
+        for doc, at, ids, total in pieces:
+            self.rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), total, self.next, offset))
+            offset += len(ids)
         self.next += 1
 
     def finish(self) -> None:
-        """Lay open bins end to end and cut them into sequences that need no padding."""
-        rest = [x for j in sorted(self.bins) for x in self.bins[j]]
-        left, room, now = sum(len(ids) for _, ids in rest), 0, []
-        for (doc, start, _, _, total), ids in rest:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    room = min(self.capacity, 1 << (left.bit_length() - 1))
-                    left -= room
-                size = min(room, len(ids) - at)
-                now.append((doc, start + at, size, zlib.crc32(ids[at : at + size].astype("<u4").tobytes()), total))
-                at, room = at + size, room - size
-                if not room:
-                    self.fill(now)
-                    now = []
-        self.bins = {}
+        for j in sorted(self.bins):
+            for piece in self.bins[j]:
+                self.put_by(piece)
+        self.bins, self.room = {}, {}
+        for gap, pieces in sorted(self.short, key=lambda x: x[0]):
+            if gap <= self.held:
+                self.emit(pieces + self.take_stock(gap))
+            else:
+                for piece in pieces:
+                    self.put_by(piece)
+        self.short.clear()
+        while self.held:
+            self.emit(self.take_stock(min(self.capacity, 1 << (self.held.bit_length() - 1))))
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, least: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, classes: int = 16) -> DataFrame:
     """A row per piece (PIECES); capacity is a power of two. No shuffle: each task packs its own input partition.
 
     Null and empty texts are one END. Sequence numbers are unique: partition number, then a count. Rows are what
     the same partition always gives, so a lost task's sequences come back under the same numbers. Null or repeated
-    doc_ids are packed row by row. Empty table: no rows.
+    doc_ids and rows repeated whole are packed row by row. Texts of any length are packed whole. Other columns are
+    ignored, whatever their names. Empty table: no rows.
     """
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, packer = encoder(tokenizer), HarmonicPacker(TaskContext.get().partitionId() << 40, capacity, least)
+        own, packer = encoder(tokenizer), HarmonicPacker(TaskContext.get().partitionId() << 40, capacity, classes)
 
         def rows() -> Iterator[pa.RecordBatch]:
             if found := packer.take():
@@ -232,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, least: int = 16)
                 ids, ends = own.encode(part.column(1))
                 begin = 0
                 for doc, end in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
-                    packer.add(doc, ids[begin:end].copy() if end - begin < capacity else ids[begin:end])
+                    packer.add(doc, ids[begin:end])
                     begin = end
                 yield from rows()
         packer.finish()
