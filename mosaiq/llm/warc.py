@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import salt, salted_left_join, trimmed, write_table
+from mosaiq.llm.common import salted_left_join, SALTS, Scratch, trimmed, write_table
 
 #: Fixed values of the seekable format: a skippable frame holds the table; its last four bytes name the format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -107,13 +107,29 @@ def read_record(data: bytes, frame: int, offset: int) -> tuple[dict[str, str], b
     return parse(read_frame(data, seek_table(data), frame), offset)[:2]
 
 
-def classified(pages: DataFrame) -> DataFrame:
-    """(page_id, uri, payload, revisit, refers_to): equal payloads refer to the smallest page_id that has them."""
+def classified(pages: DataFrame, min_payload: int = 0) -> DataFrame:
+    """(page_id, uri, payload, refers_to): equal payloads refer to the smallest page_id that has them; null: a response.
+
+    Where rows share that page_id, that of the smallest uri is the response (one of them if those are equal too).
+    """
+    tables = Scratch(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("uri"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    salted = rows.groupBy("key", salt(F.col("page_id")).alias("salt")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = salted.groupBy("key").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    return salted_left_join(rows, groups, ["key"], F.col("page_id")).select("page_id", "uri", "payload", "first")
+    each = rows.where(F.octet_length("payload") >= min_payload).groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = each.groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n"))).alias("m"), F.sum("n").alias("n"))
+    groups = write_table(groups.where("n > 1 and m is not null").select("key", F.col("m.page_id").alias("first"), (F.col("m.n") > 1).alias("shared")), "groups")
+    told = salted_left_join(rows, groups, ["key"], F.struct("page_id", "uri"))
+    own = F.col("page_id").eqNullSafe(F.col("first"))
+    plain = told.where(~(own & F.coalesce("shared", F.lit(False)))).select("page_id", "uri", "payload", F.when(~own, F.col("first")).alias("refers_to"))
+    if groups.where("shared").isEmpty():
+        return plain
+    # rows that share the least page_id: one in all is the response; equal rows are counted, then dealt out again
+    twins = told.where(own & F.col("shared")).withColumn("part", F.spark_partition_id() % SALTS)
+    twins = tables.write(twins.groupBy("key", "page_id", "uri", "part").agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload")), "twins")
+    top = twins.groupBy("key").agg(F.min(F.struct("uri", "part")).alias("top"))
+    twins = salted_left_join(twins, top, ["key"], F.struct("uri", "part")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    chosen = F.struct("uri", "part").eqNullSafe(F.col("top")) & (F.col("i") == 1)
+    return plain.unionByName(twins.select("page_id", "uri", "payload", F.when(~chosen, F.col("page_id")).alias("refers_to")))
 
 
 def write_bundles(pages: DataFrame, min_payload: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 16 << 20) -> DataFrame:
@@ -121,7 +137,10 @@ def write_bundles(pages: DataFrame, min_payload: int = 0, frame_bytes: int = 1 <
 
     Each row is one bundle of about bundle_bytes: the seekable archive in `data`, and the map from record
     identifiers (`ids`) to `frames` and frame-relative `offsets`. Null html: empty payload. Payloads under
-    min_payload bytes are never revisits. Null page_id: identifier without a number, never referred to.
+    min_payload bytes are never revisits. Null page_id: identifier without a number, never referred to; such rows are
+    all responses where no other has their payload. Rows repeated whole, or rows that share a page_id, are records of
+    their own, one of each payload the response. Payloads of any length are whole, in one frame. Other columns are
+    ignored, whatever their names. Empty table: no bundle.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +154,46 @@ def write_bundles(pages: DataFrame, min_payload: int = 0, frame_bytes: int = 1 <
 
         for batch in batches:
             for page, uri, payload, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                revisit = first is not None and len(payload) >= min_payload and page is not None and page != first
-                now.add(f"<urn:page:{'' if page is None else page}>", record(page, uri, payload, first, revisit))
+                now.add(f"<urn:page:{'' if page is None else page}>", record(page, uri, payload, first, first is not None))
                 if len(now.out) >= bundle_bytes:
                     yield closed()
                     count, now = count + 1, Bundle(frame_bytes)
         if now.ids:
             yield closed()
 
-    return write_table(classified(pages).mapInArrow(trimmed(pack), BUNDLES), "warc")
+    return write_table(classified(pages, min_payload).mapInArrow(trimmed(pack), BUNDLES), "warc")
+
+
+def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(RECORDS) of the records that `wanted` (record_id) names, by the bundles' maps: only their frames are unpacked.
+
+    An identifier that several records bear gives all of them; unknown and null ones give none.
+    """
+    spots = bundles.select("bundle_id", F.explode(F.arrays_zip("ids", "frames", "offsets")).alias("at")).select("bundle_id", F.col("at.ids").alias("record_id"), "at.frames", "at.offsets")
+    spots = spots.join(wanted.select("record_id").distinct(), "record_id").groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("frames", "offsets"))).alias("at"))
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, at in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                data, now, frame = data.as_py(), -1, b""
+                table = seek_table(data)
+                for spot in at:
+                    if spot["frames"] != now:
+                        now, frame = spot["frames"], read_frame(data, table, spot["frames"])
+                    yield _records([parse(frame, spot["offsets"])[:2]], True)
+
+    return bundles.join(spots, "bundle_id").select("data", "at").mapInArrow(trimmed(seek), RECORDS)
+
+
+def _records(found: list[tuple[dict[str, str], bytes]], payloads: bool) -> pa.RecordBatch:
+    names = ["record_id", "page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "intact"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+    number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
+    rows = []
+    for head, block in found:
+        full, kind = head["WARC-Payload-Digest"][5:], head["WARC-Type"]
+        rows.append((head["WARC-Record-ID"], number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, number(head.get("WARC-Refers-To")), int(head["X-Payload-Length"]), full, block if payloads else None, None if kind == "revisit" else digest(block) == full))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
@@ -153,18 +203,14 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "intact"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
-        number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
         for batch in batches:
             for data in (x.as_py() for x in batch.column(0)):
                 table = seek_table(data)
                 for i in range(len(table)):
-                    frame, at, rows = read_frame(data, table, i), 0, []
+                    frame, at, found = read_frame(data, table, i), 0, []
                     while at < len(frame):
                         head, block, at = parse(frame, at)
-                        full, kind = head["WARC-Payload-Digest"][5:], head["WARC-Type"]
-                        rows.append((head["WARC-Record-ID"], number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, number(head.get("WARC-Refers-To")), int(head["X-Payload-Length"]), full, block if payloads else None, None if kind == "revisit" else digest(block) == full))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        found.append((head, block))
+                    yield _records(found, payloads)
 
     return bundles.select("data").mapInArrow(trimmed(unpack), RECORDS)

@@ -10,6 +10,7 @@ import xxhash
 
 from mosaiq.llm import exact, linededup, simhash, suffix
 from mosaiq.llm.common import connected_components
+from tests.llm.conftest import words
 
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 norm = lambda t: (t or "").encode().translate(LOW)
@@ -158,6 +159,7 @@ def test_tiles_lose_no_link(spark):
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(12)]))
     values = [int(x) for x in fps]
     expected = components(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
+    assert simhash.link_fingerprints(spark.createDataFrame([], "fp long"), 4).count() == 0
     src, dst = simhash.near_links(fps, None, 4, tile=16)
     assert components(values, zip(map(int, src), map(int, dst), strict=True)) == expected
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
@@ -167,8 +169,13 @@ def test_tiles_lose_no_link(spark):
 
 
 def test_simhash_odd(odd, empty):
-    assert simhash.near_groups(odd).count() == 5 and simhash.near_groups(empty).count() == 0
-    assert simhash.keep_one(odd).columns == odd.columns
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_groups(odd).collect())
+    fp = {r["text"]: f"{brute_fingerprint(r['text']):016x}" for r in odd.collect()}
+    one, two = [x for x in fp.values()][0], fp[odd.where("doc_id = 2").first()["text"]]
+    assert got == Counter([(None, one, 1), (1, one, 1), (1, one, 1), (2, two, 2), (None, "0" * 16, None)])
+    assert simhash.near_groups(empty).count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == ["1", "1", "2", "None", "None"]
 
 
 def test_simhash_keeps_clean_row_of_shared_id(spark):
@@ -200,8 +207,6 @@ def test_line_leaves(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     whole = linededup.dedup_lines(df, min_docs=9)
     assert {r["n_dropped"] for r in whole.collect()} == {1}
-    apart = linededup.dedup_lines(df, min_docs=9, leaf=1)  # leaves too large at either depth hold equal lines only
-    assert {r["n_dropped"] for r in apart.collect()} == {0}
 
 
 def brute_templates(lines, similar):
@@ -234,10 +239,56 @@ def test_large_leaf(spark):
         lines = [frame.format(x, x[::-1]) for x in names[:n]]
         df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
         assert {r["n_dropped"] for r in linededup.dedup_lines(df).collect()} == {1}
-        found = {r["doc_id"]: r["template"] for r in linededup.assign(df).collect()}
+        found = {r["rid"]["d"]: r["template"] for r in linededup.assign(df).collect()}
         assert len(set(found.values())) == len(set(brute_templates([x.encode().split() for x in sorted(lines)], 0.6))) == 1
 
 
+@pytest.mark.parametrize("n", [500, 1000, 4000])
+def test_shards_of_a_leaf(spark, n):
+    """One template of many variants drops whatever its size and however it is sharded; others beside it stay."""
+    lines = [f"we saw the {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} near the old mill" for i in range(n)]
+    lines += [f"we saw the {'xyz'[i]}end of it all {'abc'[i] * 5}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for shard in (20_000, 300, 40):
+        got = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(df, shard=shard).collect()}
+        assert all(got[i] == 1 for i in range(n)) and not any(got[n + i] for i in range(3)), shard
+
+
+def test_line_query_equals_brute_force(spark):
+    rng = random.Random(8)
+    frames = ["copyright {} by {} press all rights reserved", "page {} of {}", "posted by {} in {} on day 7", "{} {} {}"]
+    texts = []
+    for _ in range(120):
+        own = [f.format(*(rng.choice(["ann", "bob", "cy", "dee", "eve1", "77"]) for _ in range(3))) for f in rng.choices(frames, k=3)]
+        texts.append("\n".join([*own, words(rng, 8), " \t", own[0]]))
+    texts += [texts[0], None, "", "\n\n"]
+    df = spark.createDataFrame([(i % 121, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    hide = lambda x: b" ".join(b"<*>" if any(48 <= c <= 57 for c in w) else w for w in x.split())
+    of, leaves = {}, {}
+    for i, t in enumerate(texts):
+        for x in (t or "").encode().split(b"\n"):
+            if x.split():
+                leaves.setdefault((len(x.split()), *hide(x).split()[:3]), set()).add(hide(x))
+    for leaf, kinds in leaves.items():
+        own = sorted(kinds)
+        of |= {x: (leaf, k) for x, k in zip(own, brute_templates([x.split() for x in own], 0.6), strict=True)}
+    held = {}
+    for i, t in enumerate(texts):
+        for x in (t or "").encode().split(b"\n"):
+            if x.split():
+                held.setdefault(of[hide(x)], set()).add((i % 121, t))
+    expected = []
+    for i, t in enumerate(texts):
+        if t is None:
+            expected.append((i % 121, 0, 0, None))
+            continue
+        own = t.split("\n")
+        drop = [bool(x.split()) and len(held[of[hide(x.encode())]]) >= 8 for x in own]
+        expected.append((i % 121, sum(bool(x.split()) for x in own), sum(drop), "\n".join(x for x, d in zip(own, drop, strict=True) if not d)))
+    assert sum(x[2] for x in expected) > 100
+    assert sorted(map(repr, expected)) == sorted(repr(tuple(r)) for r in linededup.dedup_lines(df).collect())
+
+
 def test_lines_odd(odd, empty, docs):
     assert linededup.dedup_lines(odd).count() == 5 and linededup.dedup_lines(empty).count() == 0
     assert linededup.dedup_lines(docs).count() == docs.count()
