@@ -17,10 +17,19 @@ from mosaiq.llm.common import fitting, trimmed
 
 SCHEMA = "doc_id long, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+(?:['’*@$!1034]+[^\W_]+)*|[^\W_]+", re.UNICODE)
-#: Words of reported or quoted speech, and of address.
-REPORT = frozenset("said says quote quoted quotes wrote writes called reported reports according term word slur".split())
+#: Words of reported or quoted speech, and of address, in English, German, French and Spanish.
+REPORT = frozenset("""
+said says quote quoted quotes wrote writes called reported reports according term word slur
+sagte sagt schrieb nannte zitat zitiert wort begriff laut
+dit écrit écrivait appelé citation cité mot terme selon
+dijo dice escribió llamó cita citado palabra término según
+""".split())
 ADDRESS = frozenset("you your you're are is he she they tu du sie vous eres usted".split())
-QUOTES = frozenset("\"'“”„«»‘’`")
+#: Which marks close a quotation that a mark opens.
+PAIRS = {'"': '"', "'": "'", "`": "`", "“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«"}
+OPENS = re.compile(r"(?<!\w)[\"'`“„‘«»](?!\s)")
+#: What a quoted hit weighs beside one in abuse, a misspelt one beside an exact one, and one with a word of address near it.
+QUOTED, MISSPELT, ADDRESSED = 0.2, 0.5, 1.25
 #: Characters on either side of a hit that its context window holds.
 WINDOW = 48
 
@@ -110,17 +119,26 @@ class ToxicModel:
     weights: list[float]
 
 
-N_FEATURES = 7
+N_FEATURES = 6
+
+
+def in_quotation(before: str, after: str) -> bool:
+    """Whether a mark that opens before a hit, and isn't closed there, is closed after it; both are its context window."""
+    for m in OPENS.finditer(before):
+        closing = f"[{re.escape(PAIRS[m.group()])}](?!\\w)"
+        if not re.search(rf"(?<=\S){closing}", before[m.end() :]) and re.search(closing, after):
+            return True
+    return False
 
 
 def features(text: str, automaton: Automaton, memory: dict) -> list[float]:
-    """Of a whole text: weighted hits in abuse and in quotation, misspelt hits, their density, distinct terms, address.
+    """Of a whole text: its hits' scores summed, the largest, their density, misspelt hits, distinct terms, 1.
 
-    A hit's window is WINDOW characters on both sides; it is a quotation if a quote mark opens before and closes
-    after it there, or a word of reported speech stands in it.
+    A hit scores its term's weight, less if it is misspelt. Its window is WINDOW characters on both sides: it scores less
+    where it stands in quotation marks or with a word of reported speech, and more with a word of address.
     """
-    abuse = quoted = misspelt = addressed = hits = words = 0.0
-    kinds = set()
+    total = top = misspelt = words = 0.0
+    kinds: dict[str, float] = {}
     low = text.lower()
     for m in WORD.finditer(low):
         words += 1
@@ -135,17 +153,13 @@ def features(text: str, automaton: Automaton, memory: dict) -> list[float]:
         term, edits = found
         before, after = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
         near = set(WORD.findall(before)) | set(WORD.findall(after))
-        quote = any(c in QUOTES for c in before[-2:] + "") and any(c in QUOTES for c in after[:2]) or bool(near & REPORT)
-        weight = automaton.terms[term] * (0.5 if edits else 1.0)
-        hits += 1
-        kinds.add(term)
-        misspelt += edits
-        addressed += bool(near & ADDRESS)
-        if quote:
-            quoted += weight
-        else:
-            abuse += weight
-    return [math.log1p(abuse), math.log1p(quoted), math.log1p(misspelt), math.log1p(100 * hits / max(words, 1)), float(min(len(kinds), 4)), math.log1p(addressed), 1.0]
+        share = QUOTED if in_quotation(before, after) or near & REPORT else ADDRESSED if near & ADDRESS else 1.0
+        score = automaton.terms[term] * (MISSPELT if edits else 1.0) * share
+        total += score
+        top = max(top, score)
+        misspelt += share * bool(edits)
+        kinds[term] = max(kinds.get(term, 0.0), min(1.0, share))
+    return [math.log1p(total), top, math.log1p(100 * total / max(words, 1)), math.log1p(misspelt), min(sum(kinds.values()), 4.0), 1.0]
 
 
 def learn_terms(texts: list[str], toxic: list[int], least: int = 4, ratio: float = 8.0) -> dict[str, float]:
@@ -173,10 +187,16 @@ def learn_terms(texts: list[str], toxic: list[int], least: int = 4, ratio: float
 
 
 def fit(texts: list[str], toxic: list[int]) -> ToxicModel:
-    """Terms from one half of the rows, weights of the features by logistic regression on all."""
+    """Terms from all rows; weights of the features by logistic regression, each row's features from terms that were
+    learned without it (the rows are halved, and each half is measured by the other's terms).
+    """
     terms = learn_terms(texts, toxic)
-    automaton, memory = Automaton(terms), {}
-    x = np.array([features(t, automaton, memory) for t in texts]).reshape(-1, N_FEATURES)
+    x = np.zeros((len(texts), N_FEATURES))
+    for half in (0, 1):
+        other = Automaton(learn_terms(texts[1 - half :: 2], toxic[1 - half :: 2]))
+        memory: dict = {}
+        for i in range(half, len(texts), 2):
+            x[i] = features(texts[i], other, memory)
     y, w = np.array(toxic, float), np.zeros(N_FEATURES)
     for _ in range(60):  # Newton's steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -209,7 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 20_
 
 
 def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted per row; whole texts. Null counts as empty. Empty table: no rows."""
+    """doc_id, score, predicted per row; whole texts of any length. Null counts as empty. Rows repeated whole, and rows
+    of one id, get a result each; a score of exactly the threshold is 1. Only text is read; other columns may have any
+    names. A model of no terms scores all texts alike. Empty table: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

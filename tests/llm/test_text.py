@@ -206,7 +206,8 @@ def test_quality(spark, docs, odd, empty):
         assert tuple(mine[1:6]) == expected
         assert mine["base_failed"] == (expected[0] < 50 or 100 * expected[4] > 50 * expected[0])
         assert not (mine["base_failed"] and mine["kept"])
-    assert quality.quality(odd).count() == 5 and quality.quality(empty).count() == 0
+    mine = sorted(((r["doc_id"], *tuple(r)[1:6]) for r in quality.quality(odd).collect()), key=repr)
+    assert mine == sorted(((r["doc_id"], *base_counts(r["text"])) for r in odd.collect()), key=repr) and quality.quality(empty).count() == 0
     rng = random.Random(4)
     rows = [(i, words(rng, 120) + ".", "en", "s", 1) for i in range(30)] + [(99, " ".join(f"{w}###$$$" for w in words(rng, 120).split()), "en", "s", 1)]
     kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, docs.schema)).collect()}
@@ -227,6 +228,53 @@ def test_distance(spark):
     assert abs(got - plain_distance(a, b)) < 1e-12
 
 
+def plain_quality(rows):
+    """kept by (doc_id, lang, text), as quality() defines it, in plain Python."""
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counted = {}
+    for _, lang, text in rows:
+        counted.setdefault(lang, Counter()).update(w for w in split(text or "") if len(w) <= quality.LONGEST)
+    counted = {x: Counter({w: n for w, n in c.items() if n > 1}) for x, c in counted.items()}
+    top = sorted((x for x in counted if counted[x]), key=lambda x: (-sum(counted[x].values()), x is not None, x or ""))[: quality.LANGUAGES]
+    common = sorted({w for x in top for w, _ in sorted(counted[x].items(), key=lambda y: (-y[1], y[0]))[: quality.PER_LANGUAGE]})
+    found = []
+    for doc, lang, text in rows:
+        text = text or ""
+        kinds = [sum(map(text.count, k)) for k in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?\"'()-")] + [sum(ord(x) > 127 for x in text), sum(map(text.count, "\t\n\v\f\r ")), sum(map(text.count, "#*$%&|<>"))]
+        of = Counter(split(text))
+        found.append((doc, lang, base_counts(text), [*kinds, max(0, len(text) - sum(kinds))], [of[w] for w in common], len(text)))
+
+    def measure(core):
+        mean = lambda own: [np.mean([np.array(r[i], float) / r[2][0] for r in own], axis=0).tolist() for i in (3, 4)]
+        long = [r for r in core if r[2][0] >= 50]
+        refs = {x: mean([r for r in long if r[1] == x]) for x in {r[1] for r in long} - {None}}
+        every = mean(long)
+        return [[min(plain_distance(r[3 + i], ref[i]) for ref in ([refs[r[1]]] if r[1] in refs else []) + [every]) for i in (0, 1)] for r in found]
+
+    core = [r for r, d in zip(found, measure(found), strict=True) if d[0] <= 0.2]
+    out = []
+    for r, (chars, word) in zip(found, measure(core), strict=True):
+        n, again = r[2][0], r[2][4]
+        failed = n < 50 or 100 * again > 50 * n
+        far = r[5] >= 200 and chars > 0.15 or sum(r[4]) >= 20 and word > 0.75
+        out.append((r[0], common, chars, word, failed, not failed and not far))
+    return out
+
+
+def test_quality_equals_plain_version(spark, docs):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["en", "de", None, "*"]), words(rng, rng.randint(40, 160)) + rng.choice(["", " 123 456", ". Über ÉTÉ", "\n\nA b c"])) for i in range(120)]
+    rows += [(200 + i, "en", " ".join(f"{w}###$$$" for w in words(rng, 80).split())) for i in range(5)] + [(300, "fr", None), (301, None, ""), (302, "de", "9 8 7 " * 60), (303, "rare", words(rng, 90))]
+    rows += [rows[0], rows[1]]
+    df = spark.createDataFrame([(d, t, x) for d, x, t in rows], "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("words", "n", "top", "rank", "classes", "rest")})
+    plain = plain_quality(rows)
+    assert quality.common_words(df) == plain[0][1]
+    got = sorted(tuple(r) for r in quality.quality(df).select("doc_id", "char_distance", "word_distance", "base_failed", "kept").collect())
+    expected = sorted((x[0], x[2], x[3], x[4], x[5]) for x in plain)
+    assert [(g[0], g[3], g[4]) for g in got] == [(e[0], e[3], e[4]) for e in expected]
+    assert np.allclose([g[1:3] for g in got], [e[1:3] for e in expected], atol=1e-4) and {e[4] for e in expected} == {True, False}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -260,6 +308,46 @@ def test_automaton_equals_edit_distance():
     assert len(found) > 5 and a.match("grossly") == ("gross*", 0) and a.match("") is None
 
 
+def plain_features(text, terms):
+    """Features by edit distance to every term and by marks walked one by one."""
+    low, total, top, wrong, kinds = text.lower(), 0.0, 0.0, 0.0, {}
+    found = list(toxicity.WORD.finditer(low))
+    for m in found:
+        w, near = m.group(), []
+        for t in terms:
+            if t.endswith("*"):
+                near += [(0, t)] if w.startswith(t[:-1]) else []
+            elif (d := edits(w, t)) == 0 or d == 1 and len(t) >= 5:
+                near.append((d, t))
+        if not near:
+            continue
+        d, t = min(near)
+        before, after = low[max(0, m.start() - 48) : m.start()], low[m.end() : m.end() + 48]
+        around = set(toxicity.WORD.findall(before)) | set(toxicity.WORD.findall(after))
+        quoted = False
+        for i, ch in enumerate(before):
+            if ch in toxicity.PAIRS and not (i and re.match(r"\w", before[i - 1])) and not (before[i + 1 : i + 2] or "x").isspace():
+                inside = before[i + 1 :]
+                shut = any(c in toxicity.PAIRS[ch] and j and not inside[j - 1].isspace() and not re.match(r"\w", inside[j + 1 : j + 2]) for j, c in enumerate(inside))
+                quoted |= not shut and any(c in toxicity.PAIRS[ch] and not re.match(r"\w", after[j + 1 : j + 2]) for j, c in enumerate(after))
+        share = 0.2 if quoted or around & toxicity.REPORT else 1.25 if around & toxicity.ADDRESS else 1.0
+        score = terms[t] * (0.5 if d else 1.0) * share
+        total, top, wrong = total + score, max(top, score), wrong + share * (d > 0)
+        kinds[t] = max(kinds.get(t, 0), min(1.0, share))
+    return [np.log1p(total), top, np.log1p(100 * total / max(len(found), 1)), np.log1p(wrong), min(sum(kinds.values()), 4.0), 1.0]
+
+
+def test_features_equal_plain_version():
+    rng, terms = random.Random(6), {"trash": 2.0, "clown": 1.5, "bad": 1.0, "gross*": 3.0, "idiot": 2.5}
+    bits = ["trash", "trsh", "clowns", "bad", "bat", "grossly", "idiot", "you", "said", "calm", "river", "don't", '"', " „", "“", " «", "» ", "'", ".", ", ", "\n", "é"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += ['he is "trash" ok', 'the "river" trash "calm" bank', "«a clown» ran", "„bad“", "don't trash can't", "", "'trash'"]
+    a, memory = toxicity.Automaton(terms), {}
+    for t in texts:
+        assert np.allclose(toxicity.features(t, a, memory), plain_features(t, terms)), t
+    assert toxicity.in_quotation('he is "', '" ok') and not toxicity.in_quotation('the "river" ', ' "calm" bank')
+
+
 def test_toxicity(spark, docs, odd, empty):
     rng = random.Random(2)
     rows, labels = [], []
@@ -276,9 +364,11 @@ def test_toxicity(spark, docs, odd, empty):
     assert all(got[i]["predicted"] == y for i, _, y in labels) and all(0 <= r["score"] <= 1 for r in got.values())
     a, m = toxicity.Automaton(model.terms), {}
     assert toxicity.features("you are worthles", a, m)[0] > 0
-    quoted, plain = toxicity.features('the word "worthless" was quoted', a, {}), toxicity.features("you are worthless and so", a, {})
-    assert quoted[1] > 0 and quoted[0] == 0 and plain[0] > 0 and plain[1] == 0
-    assert toxicity.toxicity(odd, model).count() == 5 and toxicity.toxicity(empty, model).count() == 0
+    weigh = lambda t: toxicity.score(model, a, m, t)
+    assert weigh("you are worthless and so") > weigh('all that they "worthless" wrote on') and weigh("you are worthless and so") > weigh("the word worthless was quoted")
+    expected = Counter((r["doc_id"], round(weigh(r["text"]), 9)) for r in odd.collect())
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity(odd, model).collect()) == expected
+    assert toxicity.toxicity(empty, model).count() == 0
     none = toxicity.train(empty, lab)
     assert toxicity.toxicity(docs, none).count() == docs.count()
 
@@ -287,8 +377,9 @@ def test_quality_many_languages(spark, docs):
     rows = [(i, words(random.Random(i), 60), f"x{i}", "s", 1) for i in range(1100)]
     got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, docs.schema)).collect()}
     assert len(got) == 1100 and all(r["char_distance"] < 1e-3 for r in got.values())  # each text is its language's reference
-    measured = quality.counts(docs)
-    near = lambda most: sorted(map(repr, quality._distances(measured, measured, most).collect()))
+    common = quality.common_words(docs)
+    measured = quality.counts(docs, common)
+    near = lambda most: sorted(map(repr, quality._distances(measured, measured, len(common), most).collect()))
     assert near(0) == near(1000)
 
 
