@@ -42,8 +42,31 @@ def register_tag(number: int, name: str) -> None:
     _registered[number] = name
 
 
-def tag_name(number: int) -> str:
-    return _registered.get(number) or TAGS.get(number) or f"tag_{number}"
+#: Tag numbers of camera and of position directories.
+EXIF_TAGS = {
+    33434: "exposure_time", 33437: "f_number", 34850: "exposure_program", 34852: "spectral_sensitivity", 34855: "iso_speed_ratings", 34864: "sensitivity_type",
+    36864: "exif_version", 36867: "date_time_original", 36868: "date_time_digitized", 36880: "offset_time", 37121: "components_configuration",
+    37122: "compressed_bits_per_pixel", 37377: "shutter_speed_value", 37378: "aperture_value", 37379: "brightness_value", 37380: "exposure_bias_value",
+    37381: "max_aperture_value", 37382: "subject_distance", 37383: "metering_mode", 37384: "light_source", 37385: "flash", 37386: "focal_length",
+    37396: "subject_area", 37500: "maker_note", 37510: "user_comment", 37520: "sub_sec_time", 37521: "sub_sec_time_original", 37522: "sub_sec_time_digitized",
+    40960: "flashpix_version", 40961: "color_space", 40962: "pixel_x_dimension", 40963: "pixel_y_dimension", 40964: "related_sound_file", 41483: "flash_energy",
+    41486: "focal_plane_x_resolution", 41487: "focal_plane_y_resolution", 41488: "focal_plane_resolution_unit", 41492: "subject_location", 41493: "exposure_index",
+    41495: "sensing_method", 41728: "file_source", 41729: "scene_type", 41985: "custom_rendered", 41986: "exposure_mode", 41987: "white_balance",
+    41988: "digital_zoom_ratio", 41989: "focal_length_in_35mm_film", 41990: "scene_capture_type", 41991: "gain_control", 41992: "contrast", 41993: "saturation",
+    41994: "sharpness", 41996: "subject_distance_range", 42016: "image_unique_id", 42032: "camera_owner_name", 42033: "body_serial_number",
+    42034: "lens_specification", 42035: "lens_make", 42036: "lens_model", 42037: "lens_serial_number",
+}
+GPS_TAGS = {
+    0: "gps_version_id", 1: "gps_latitude_ref", 2: "gps_latitude", 3: "gps_longitude_ref", 4: "gps_longitude", 5: "gps_altitude_ref", 6: "gps_altitude",
+    7: "gps_time_stamp", 8: "gps_satellites", 9: "gps_status", 10: "gps_measure_mode", 11: "gps_dop", 12: "gps_speed_ref", 13: "gps_speed", 14: "gps_track_ref",
+    15: "gps_track", 16: "gps_img_direction_ref", 17: "gps_img_direction", 18: "gps_map_datum", 29: "gps_date_stamp", 30: "gps_differential",
+}
+
+
+def tag_name(number: int, kind: str = "main") -> str:
+    """Name of a tag in a directory of a kind: camera and position directories number theirs for themselves."""
+    own = {"exif": EXIF_TAGS, "gps": GPS_TAGS}.get(kind, {})
+    return own.get(number) or _registered.get(number) or TAGS.get(number) or f"tag_{number}"
 
 
 class FormatError(ValueError):
@@ -68,7 +91,7 @@ class Directory:
 
     def many(self, name: str) -> list:
         v = (self.tags.get(NUMBER[name]) or (0, 0, []))[2]
-        return v if isinstance(v, list) else [v]
+        return v if isinstance(v, (list, Deferred)) else [v]
 
 
 @dataclass
@@ -94,8 +117,31 @@ def _value(data: bytes, order: str, kind: int, count: int, at: int, limit: int):
     return [tuple(flat[i : i + 2]) for i in range(0, len(flat), 2)] if len(code) == 2 else flat
 
 
-def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False) -> Raster:
-    """Header and all directories: the main chain, then sub-directories. Loops and beyond-limit values end in warnings."""
+class Deferred:
+    """Values of a large array tag, read from the file one by one or by slice when they are asked for."""
+
+    def __init__(self, data: bytes, order: str, kind: int, count: int, at: int):
+        if at + count * TYPES[kind][1] > len(data):
+            raise FormatError("tag data beyond the file")
+        self.data, self.code, self.size, self.count, self.at = data, order + TYPES[kind][2], TYPES[kind][1], count, at
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(self.count))]
+        if not -self.count <= i < self.count:
+            raise IndexError(i)
+        return struct.unpack_from(self.code, self.data, self.at + i % self.count * self.size)[0]
+
+
+def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False, at: int | None = None, defer: bool = False) -> Raster:
+    """Header and all directories: the main chain, then sub-directories. Loops and beyond-limit values end in warnings.
+
+    at: begin with the directory at this offset in place of the first. defer: chunk offsets and byte counts stay in the
+    file until they are asked for (chunk_at reads those of one chunk).
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         raise FormatError("not a tagged raster")
@@ -103,7 +149,7 @@ def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False) -> Raster
     if magic not in (42, 43):
         raise FormatError("not a tagged raster")
     big = magic == 43
-    first = struct.unpack(order + ("Q" if big else "I"), data[8:16] if big else data[4:8])[0]
+    first = struct.unpack(order + ("Q" if big else "I"), data[8:16] if big else data[4:8])[0] if at is None else at
     out, warnings, seen = [], [], set()
 
     def one(at: int, index: int, kind: str, parent: int | None) -> tuple[Directory | None, int]:
@@ -132,7 +178,8 @@ def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False) -> Raster
             if size > inline:
                 place = struct.unpack_from(order + ("Q" if big else "I"), data, place)[0]
             try:
-                d.tags.setdefault(tag, (typ, count, _value(data, order, typ, count, place, max_alloc)))
+                late = defer and tag in (273, 279, 324, 325) and size > inline and len(TYPES[typ][2]) == 1
+                d.tags.setdefault(tag, (typ, count, Deferred(data, order, typ, count, place) if late else _value(data, order, typ, count, place, max_alloc)))
             except FormatError as e:
                 if strict:
                     raise
@@ -194,6 +241,17 @@ def layout(d: Directory) -> list[Chunk]:
     return out
 
 
+def chunk_at(d: Directory, number: int) -> Chunk:
+    """One chunk of a directory, by its number; of deferred arrays, only its own two values are read."""
+    w, h, tiled = d.get("width", 0), d.get("length", 0), NUMBER["tile_width"] in d.tags
+    offsets, counts = (d.many("tile_offsets"), d.many("tile_bytecounts")) if tiled else (d.many("strip_offsets"), d.many("strip_bytecounts"))
+    tw, th = (d.get("tile_width"), d.get("tile_length")) if tiled else (w, min(d.get("rows_per_strip", h) or h, h) or 1)
+    across, down = -(-w // tw), -(-h // th)
+    plane, k = divmod(number, across * down)
+    ty, tx = divmod(k, across)
+    return Chunk(plane, number, tx * tw, ty * th, tw, th if tiled else min(th, h - ty * th), offsets[number], counts[number])
+
+
 DTYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (1, 64): "u8", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (2, 64): "i8", (3, 16): "f2", (3, 32): "f4", (3, 64): "f8"}
 
 

@@ -90,6 +90,18 @@ def chop_strips(data: bytes, index: int = 0, target: int = 8192) -> bytes:
     return set_tags(data, index, {273: (kind, [at + y * row for y in starts]), 278: (4, [rows]), 279: (kind, [min(rows, height - y) * row for y in starts])})
 
 
-def edit(files: DataFrame, change) -> DataFrame:
-    """(path, content) of files changed by a function of bytes, such as the ones above with their settings bound."""
-    return raster._table(files, raster.FILES, lambda path, content: [(path, change(content))])
+def edit(files: DataFrame, change, broken: str = "raise") -> DataFrame:
+    """(path, content) of files changed by a function of bytes, such as the ones above with their settings bound.
+
+    A file that can't be read fails the job by its name, or with broken="keep" stays as it is, or "drop": goes.
+    """
+
+    def rows(path: str, content: bytes):
+        try:
+            return [(path, change(content))]
+        except container.FormatError as e:
+            if broken == "raise":
+                raise container.FormatError(f"{path}: {e}") from e
+            return [(path, content)] if broken == "keep" else []
+
+    return raster._table(files, raster.FILES, rows)

@@ -69,7 +69,7 @@ def tag_rows(path: str, content: bytes, max_alloc: int = 1 << 28) -> Iterator[tu
         return
     for d in r.directories:
         for tag, (typ, count, value) in sorted(d.tags.items()):
-            yield path, d.offset, d.index, d.kind, tag, container.tag_name(tag), container.TYPES[typ][0], count, json.dumps(value.hex() if isinstance(value, bytes) else value)
+            yield path, d.offset, d.index, d.kind, tag, container.tag_name(tag, d.kind), container.TYPES[typ][0], count, json.dumps(value.hex() if isinstance(value, bytes) else value)
 
 
 def chunk_rows(path: str, content: bytes, pages=None, raw: bool = True) -> Iterator[tuple]:
@@ -155,8 +155,11 @@ def encode_rasters(pixel_rows: DataFrame, dtype: str = "u1", **how) -> DataFrame
 def write_files(encoded: DataFrame, folder: str) -> int:
     """Write (path, content) rows as files under a folder, from the executors; the number written.
 
-    A file is written under a temporary name and then moved, so a task that runs twice leaves one whole file.
+    Relative paths keep their folders; of absolute ones and of addresses, the last part is the name. A file is written
+    under a temporary name and then moved, so a task that runs twice leaves one whole file. The sink `raster_files`
+    shows no file before the whole job has succeeded.
     """
+    placed = lambda path: path.rsplit("/", 1)[-1] if path.startswith("/") or "://" in path or ".." in path.split("/") else path
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -168,7 +171,8 @@ def write_files(encoded: DataFrame, folder: str) -> int:
         n = 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"{base}/{path.rsplit('/', 1)[-1]}"
+                name = f"{base}/{placed(path)}"
+                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(temp := f"{name}.{uuid.uuid4().hex}") as f:
                     f.write(content)
                 store.move(temp, name)
