@@ -76,8 +76,21 @@ def bits_of(packed: Column, bits: int) -> Column:
     return F.array(*(F.shiftright(packed, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in range(8 - bits, -1, -bits)))
 
 
-def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, luma: tuple[float, float, float] = (0.299, 0.587, 0.114)) -> tuple[Column, Column, Column]:
-    """Full-range YCbCr to RGB in 16-bit fixed point, clamped to 0..255."""
+def default_reference(photometric: int, bits: int = 8) -> tuple[float, ...]:
+    """Reference black and white of the three components where no tag tells: chroma (photometric 6) is centred."""
+    top = float((1 << bits) - 1)
+    half = float(1 << (bits - 1))
+    return (0.0, top, half, top, half, top) if photometric == 6 else (0.0, top) * 3
+
+
+def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, luma: tuple[float, float, float] = (0.299, 0.587, 0.114), reference: tuple[float, ...] | None = None) -> tuple[Column, Column, Column]:
+    """YCbCr to RGB in 16-bit fixed point, clamped to 0..255; full range, unless a reference of black and white is given.
+
+    With a reference, luma is spread from its black and white to 0..255 and chroma to -127..127 about 128, truncated.
+    """
+    if reference is not None:
+        spread = lambda c, i, top: ((c - reference[2 * i]) * top / max(reference[2 * i + 1] - reference[2 * i], 1.0)).cast("int")
+        y, cb, cr = spread(y, 0, 255.0), spread(cb, 1, 127.0) + 128, spread(cr, 2, 127.0) + 128
     lr, lg, lb = luma
     fix = lambda x: int(x * 65536 + 0.5)
     d1, d2, d3, d4 = fix(2 - 2 * lr), fix(lr * (2 - 2 * lr) / lg), fix(2 - 2 * lb), fix(lb * (2 - 2 * lb) / lg)
@@ -117,6 +130,20 @@ def xyz_to_rgb24(x: Column, y: Column, z: Column) -> tuple[Column, Column, Colum
     return tuple(out)
 
 
+#: A display of standard primaries: XYZ to light, white, brightest code, darkest light and gamma.
+DISPLAY = {"matrix": ((3.2410, -1.5374, -0.4986), (-0.9692, 1.8760, 0.0416), (0.0556, -0.2040, 1.0570)), "white": 100.0, "top": 255, "dark": 1.0, "gamma": 2.4}
+
+
+def xyz_to_rgb_display(x: Column, y: Column, z: Column, display: dict = DISPLAY, steps: int = 1500) -> tuple[Column, Column, Column]:
+    """RGB codes of XYZ (Y of white: 100) on a display: light within its range, in `steps` steps, to codes by its gamma."""
+    out, step = [], (display["white"] - display["dark"]) / steps
+    for p, q, s in display["matrix"]:
+        light = clamp(x * p + y * q + z * s, display["dark"], display["white"])
+        at = F.least(F.floor((light - display["dark"]) / step), F.lit(steps))
+        out.append(F.floor(display["top"] * F.pow(at / float(steps), F.lit(1 / display["gamma"])) + 0.5).cast("int"))
+    return tuple(out)
+
+
 def logl16_to_y(p: Column) -> Column:
     """Sign and 15-bit log luminance to Y."""
     e = p.bitwiseAND(F.lit(0x7FFF))

@@ -67,7 +67,7 @@ def sections(pixels: DataFrame, w: int, h: int, cols: int, rows: int) -> DataFra
 
 def tile_index(x: Column, y: Column, w: int, h: int, tw: int, th: int, plane: Column | int = 0, z: Column | int = 0, depth: int = 1) -> Column:
     """Number of the tile that holds a sample, in a raster of planes of depth layers."""
-    across, down = -(-w // tw), -(-h // th)
+    across, down = ((idiv(n + (t - 1), t) if isinstance(n, Column) else -(-n // t)) for n, t in ((w, tw), (h, th)))
     return idiv(y, th) * across + idiv(x, tw) + _c(z) * (across * down) + _c(plane) * (across * down * depth)
 
 

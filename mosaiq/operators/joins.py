@@ -25,8 +25,9 @@ def with_palette(indexed: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def gray_from_palette(indexed: DataFrame, palette: DataFrame) -> DataFrame:
-    out = indexed.join(small(palette.select("idx", gray_from_rgb(F.col("r"), F.col("g"), F.col("b")).alias("v"))), "idx")
-    return out.drop("idx")
+    """Grey levels of indexed pixels, of palettes of 8 or 16 bits (as with_palette tells them apart)."""
+    out = with_palette(indexed, palette)
+    return out.withColumn("v", gray_from_rgb(F.col("r"), F.col("g"), F.col("b"))).drop("idx", "r", "g", "b")
 
 
 def bias_subtract(image: DataFrame, bias: DataFrame, keys: tuple[str, ...] = ("y", "x"), value: str = "v") -> DataFrame:
@@ -72,6 +73,8 @@ def nearest_palette(colors: DataFrame, palette: DataFrame) -> DataFrame:
     Ties go to the smallest index. Distinct colours come first, so that a pixel is never paired with the palette;
     a colour has 24 bits and the palette's size is checked, so the work is bounded however many pixels there are.
     """
+    if len(palette.select(F.lit(1)).take(PALETTE_LIMIT + 1)) > PALETTE_LIMIT:
+        raise ValueError(f"a palette has {PALETTE_LIMIT} entries at most")
     kinds = colors.select("r", "g", "b").distinct()
     entries = palette.agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("entries"))  # PALETTE_LIMIT at most
     square = lambda a, b: (a - b) * (a - b)

@@ -32,8 +32,10 @@ def rows_of_rgb(spark: SparkSession, sf_dir: str) -> int:
 
 
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where(k < PALETTE_SIZE).select(k.alias("idx"), (F.col("p_size").cast("bigint") * 5 % 256).alias("r"), (k * 4).alias("g"), (F.floor("p_retailprice").cast("bigint") % 256).alias("b"))
+    """64 entries, each gathered from all parts whose key leaves it over."""
+    k = F.col("p_partkey") % PALETTE_SIZE
+    each = table(spark, sf_dir, "part").groupBy(k.alias("idx")).agg(F.max("p_size").cast("bigint").alias("s"), F.max(F.floor("p_retailprice")).cast("bigint").alias("p"))
+    return each.select("idx", (F.col("s") * 5 % 256).alias("r"), (F.col("idx") * 4).alias("g"), (F.col("p") * 7 % 256).alias("b"))
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRAY = "gray AS (SELECT y, i - 1 AS x, CAST(greatest(0, least(255, floor((CAST(e AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS v, page FROM (SELECT CAST(vec_id AS BIGINT) AS y, CAST(label AS BIGINT) AS page, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))"
 RGB = "rgb AS (SELECT o_orderkey // 50 AS y, o_orderkey % 50 AS x, o_custkey % 256 AS r, CAST(floor(o_totalprice) AS BIGINT) % 256 AS g, o_orderkey * 7 % 256 AS b FROM orders)"
-PALETTE = "pal AS (SELECT p_partkey AS idx, CAST(p_size AS BIGINT) * 5 % 256 AS r, p_partkey * 4 AS g, CAST(floor(p_retailprice) AS BIGINT) % 256 AS b FROM part WHERE p_partkey < 64)"
+PALETTE = "pal AS (SELECT p_partkey % 64 AS idx, CAST(max(p_size) AS BIGINT) * 5 % 256 AS r, p_partkey % 64 * 4 AS g, CAST(max(floor(p_retailprice)) AS BIGINT) * 7 % 256 AS b FROM part GROUP BY p_partkey % 64)"
 INDEXED = f"{RGB}, ind AS (SELECT y, x, r % 64 AS idx FROM rgb)"
 BIAS = f"{GRAY}, n AS (SELECT count(*) AS n FROM embeddings), bias AS (SELECT (y + 1) % n AS y, x, v FROM gray, n)"
 EDGE = "edge AS (SELECT count(*) AS h FROM embeddings)"

@@ -16,7 +16,7 @@ from mosaiq.operators import joins as J
 from mosaiq.operators import reshape as R
 from mosaiq.operators import sequential as S
 from mosaiq.plans import fixtures as X
-from mosaiq.sources import codecs, edits, export, raster
+from mosaiq.sources import codecs, container, edits, export, raster, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -192,12 +192,7 @@ def _(s, d):
     return J.composite(X.gray8(s, d), _regions(s))
 
 
-@query("sections", f"{X.RGB} == SELECT (y // 100)*3 + x // 17 AS section, count(*) AS n, sum(x % 17) AS sx FROM rgb WHERE y < 300 GROUP BY 1", "section n sx")
-def _(s, d):
-    return G.sections(X.rgb8(s, d).where("y < 300"), X.RGB_WIDTH, 300, 3, 3).groupBy("section").agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
-
-
-@query("sections_whole", f"{X.RGB}, h AS (SELECT (max(y) + 3) // 3 AS sh FROM rgb) == SELECT (y // sh)*3 + x // 17 AS section, count(*) AS n, sum(x % 17) AS sx, sum(y % sh) AS sy FROM rgb, h GROUP BY 1", "section n sx sy")
+@query("sections", f"{X.RGB}, h AS (SELECT (max(y) + 3) // 3 AS sh FROM rgb) == SELECT (y // sh)*3 + x // 17 AS section, count(*) AS n, sum(x % 17) AS sx, sum(y % sh) AS sy FROM rgb, h GROUP BY 1", "section n sx sy")
 def _(s, d):
     px = G.sections(X.rgb8(s, d), X.RGB_WIDTH, X.rows_of_rgb(s, d), 3, 3)
     return px.groupBy("section").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
@@ -205,7 +200,7 @@ def _(s, d):
 
 @query("channel_extract", f"{X.RGB} == SELECT y, x, g AS v FROM rgb", "y x v")
 def _(s, d):
-    return X.rgb8(s, d).select("y", "x", F.element_at(F.array("r", "g", "b"), 2).alias("v"))
+    return R.extract_channel(X.rgb8(s, d), 1)
 
 
 @query("tile_address", f"{X.GRAY} == SELECT (y // 16)*3 + x // 24 AS tile, count(*) AS n, sum(v) AS total FROM gray GROUP BY 1", "tile n total")
@@ -271,12 +266,7 @@ def _(s, d):
     return J.bias_subtract(X.gray8(s, d), X.bias(s, d))
 
 
-@query("image_diff", f"{X.BIAS} == SELECT coalesce(g.y, b.y) AS y, coalesce(g.x, b.x) AS x, g.v AS \"left\", b.v AS \"right\" FROM (SELECT * FROM gray WHERE y < 400) g FULL JOIN (SELECT * FROM bias WHERE y >= 50) b ON g.y = b.y AND g.x = b.x WHERE g.v IS DISTINCT FROM b.v".replace('"left"', "lhs").replace('"right"', "rhs"), "y x lhs rhs")
-def _(s, d):
-    return J.compare(X.gray8(s, d).where("y < 400"), X.bias(s, d).where("y >= 50")).withColumnsRenamed({"left": "lhs", "right": "rhs"})
-
-
-@query("image_diff_whole", f"{X.GRAY}, low AS (SELECT y + 50 AS y, x, v FROM gray) == SELECT coalesce(g.y, b.y) AS y, coalesce(g.x, b.x) AS x, g.v AS lhs, b.v AS rhs FROM gray g FULL JOIN low b ON g.y = b.y AND g.x = b.x WHERE g.v IS DISTINCT FROM b.v", "y x lhs rhs")
+@query("image_diff", f"{X.GRAY}, low AS (SELECT y + 50 AS y, x, v FROM gray) == SELECT coalesce(g.y, b.y) AS y, coalesce(g.x, b.x) AS x, g.v AS lhs, b.v AS rhs FROM gray g FULL JOIN low b ON g.y = b.y AND g.x = b.x WHERE g.v IS DISTINCT FROM b.v", "y x lhs rhs")
 def _(s, d):
     gray = X.gray8(s, d)
     return J.compare(gray, gray.select((c("y") + 50).alias("y"), "x", "v")).withColumnsRenamed({"left": "lhs", "right": "rhs"})
@@ -517,27 +507,39 @@ def _(s, d):
     return J.quantise(X.rgb8(s, d), S.palette_frame(s, S.median_cut(A.rgb_histogram(X.rgb8(s, d)), 64))).select("y", "x", "idx")
 
 
-@query("rational", "== SELECT p_partkey AS part, true AS near FROM part", "part", "near")
+@query("rational", "== SELECT p_partkey AS part, round(p_retailprice / 7, 6) AS v FROM part", "part", "v")
 def _(s, d):
     p = X.table(s, d, "part").select(c("p_partkey").alias("part"), (c("p_retailprice") / 7).alias("v")).withColumn("q", S.to_rational("v"))
-    return p.select("part", (F.abs(c("q.num") / c("q.den") - c("v")) <= c("v") * 1e-9).alias("near"))
+    return p.select("part", F.round(c("q.num") / c("q.den"), 6).alias("v"))
+
+
+STRIP = 16
+
+
+def _strips(s: SparkSession, d: str) -> DataFrame:
+    """(strip, rows): STRIP rows of gray as one chunk, (y, samples) in order."""
+    lines = R.scanlines(X.gray8(s, d))
+    return lines.groupBy(C.idiv(c("y"), STRIP).alias("strip")).agg(F.array_sort(F.collect_list(F.struct("y", "samples"))).alias("lines"))
 
 
 def _round_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
+    """Whole strips of many rows encoded and decoded: the decoded samples, pixel by pixel. Facsimile codecs take the bytes as bits."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        lines = R.scanlines(X.gray8(s, d))
+        bilevel = scheme in (codecs.CCITT_RLE, codecs.CCITT_RLEW, codecs.CCITT_G3, codecs.CCITT_G4)
 
-        @F.pandas_udf("struct<packed:bigint,same:boolean>")
-        def pack(rows: pd.Series) -> pd.DataFrame:
+        @F.pandas_udf("array<array<int>>")
+        def decoded(strips: pd.Series) -> pd.Series:
             out = []
-            for row in rows:
-                raw = np.asarray(row, np.uint8).tobytes()
-                how = {"size": len(raw), "row": len(raw), "width": len(raw) * 8, "rows": 1, "samples": 1, "bits": 1}
-                coded = codecs.encode(scheme, raw, **how)
-                out.append((len(coded), codecs.decode(scheme, coded, **how) == raw))
-            return pd.DataFrame(out, columns=["packed", "same"])
+            for lines in strips:
+                x = np.stack([np.asarray(line["samples"], np.uint8) for line in lines])
+                how = {"size": x.size, "row": x.shape[1], "width": x.shape[1] * (8 if bilevel else 1), "rows": len(x), "samples": 1, "bits": 1 if bilevel else 8, "options": 1}
+                back = codecs.decode(scheme, codecs.encode(scheme, x.tobytes(), **how), **how)
+                out.append(np.frombuffer(back, np.uint8).reshape(x.shape).astype(np.int32).tolist())
+            return pd.Series(out)
 
-        return lines.select("y", F.size("samples").cast("bigint").alias("n"), pack("samples").alias("p")).select("y", "n", c("p.same").alias("same"))
+        made = _strips(s, d).select(F.arrays_zip(c("lines.y").alias("y"), decoded("lines").alias("samples")).alias("z"))
+        return made.select(F.inline("z")).select("y", F.posexplode("samples").alias("x", "v"))
 
     return run
 
@@ -565,7 +567,7 @@ for _scheme, (_name, _dec, _enc) in list(codecs.CODECS.items()):
     if _scheme in (codecs.SGILOG, codecs.PIXARLOG):
         query(f"codec_near_{_name}", "== SELECT vec_id AS y, len(embedding) AS n, true AS near FROM embeddings", "y n", "near")(_near_trip(_scheme))
     elif _dec and _enc and _scheme != codecs.JPEG:
-        query(f"codec_roundtrip_{_name.replace('-', '_')}", "== SELECT vec_id AS y, len(embedding) AS n, true AS same FROM embeddings", "y n", "same")(_round_trip(_scheme))
+        query(f"codec_roundtrip_{_name.replace('-', '_')}", f"{X.GRAY} == SELECT y, x, v FROM gray", "y x v")(_round_trip(_scheme))
 
 
 @query("codec_near_jpeg", f"{X.GRAY} == SELECT y, 64 AS n, true AS near FROM gray GROUP BY y", "y n", "near")
@@ -583,17 +585,194 @@ def _(s, d):
     return R.scanlines(X.gray8(s, d)).select("y", F.size("samples").alias("n"), near("samples").alias("near"))
 
 
-@query("file_rgba", f"{_FILED} == SELECT block, y, x, v + (255 - v)*256 + (v*7 % 256)*65536 + 4278190080 AS abgr FROM f WHERE dir_index = 0", "block y x abgr")
+@query("file_rgba", f"{_FILED} == SELECT block, dir_index, y, x, v + (255 - v)*256 + (v*7 % 256)*65536 + 4278190080 AS abgr FROM f", "block dir_index y x abgr")
 def _(s, d):
     planes = F.posexplode(F.array(c("v"), 255 - c("v"), c("v") * 7 % 256)).alias("plane", "v")
     px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), "y", "x", planes)
-    rows = export.rgba(raster.encode_rasters(px, compression=codecs.LZW), pages=[0])
-    return rows.select(c("path").alias("block"), "y", F.posexplode("abgr").alias("x", "abgr"))
+    rows = export.rgba(raster.encode_rasters(px, compression=codecs.LZW))
+    return rows.select(c("path").alias("block"), "dir_index", "y", F.posexplode("abgr").alias("x", "abgr"))
+
+
+# two images in one table: operators keep them apart by their key
+def _images(s: SparkSession, d: str) -> DataFrame:
+    gray = X.gray8(s, d).select("y", "x", "v")
+    return gray.select(F.lit(0).alias("image"), "y", "x", "v").union(gray.select(F.lit(1), "y", "x", (255 - c("v")) * c("x") % 256))
+
+
+def _colors(s: SparkSession, d: str) -> DataFrame:
+    rgb = X.rgb8(s, d)
+    return rgb.select(F.lit(0).alias("image"), "y", "x", "r", "g", "b").union(rgb.select(F.lit(1), "y", "x", "b", "r", 255 - c("g")))
+
+
+_IMG = f"{X.GRAY}, img AS (SELECT 0 AS image, y, x, v FROM gray UNION ALL SELECT 1, y, x, (255 - v)*x % 256 FROM gray)"
+_COL = f"{X.RGB}, col AS (SELECT 0 AS image, y, x, r, g, b FROM rgb UNION ALL SELECT 1, y, x, b, r, 255 - g FROM rgb)"
+_KEY = ("image",)
 
 
-@query("file_rgba_pages", f"{_FILED} == SELECT block, dir_index, y, x, v + (255 - v)*256 + (v*7 % 256)*65536 + 4278190080 AS abgr FROM f", "block dir_index y x abgr")
+@query("images_overview", f"{_IMG} == SELECT image, y//2 AS y, x//2 AS x, sum(v)//count(*) AS v FROM img GROUP BY image, y//2, x//2", "image y x v")
 def _(s, d):
-    planes = F.posexplode(F.array(c("v"), 255 - c("v"), c("v") * 7 % 256)).alias("plane", "v")
-    px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), "y", "x", planes)
-    rows = export.rgba(raster.encode_rasters(px, compression=codecs.LZW))
-    return rows.select(c("path").alias("block"), "dir_index", "y", F.posexplode("abgr").alias("x", "abgr"))
+    return A.overview(_images(s, d), 2, "average", _KEY)
+
+
+@query("images_pyramid", f"{_IMG} == " + " UNION ALL ".join(f"SELECT image, {n} AS level, y//{n} AS y, x//{n} AS x, sum(v)//count(*) AS v FROM img GROUP BY image, y//{n}, x//{n}" for n in (2, 4, 8)), "image level y x v")
+def _(s, d):
+    return A.pyramid(_images(s, d), keys=_KEY)
+
+
+@query("images_box_thumbnail", f"{_IMG} == SELECT image, y//8 AS y, x//8 AS x, 255*sum(CASE WHEN v > 128 THEN 1 ELSE 0 END)//count(*) AS v FROM img GROUP BY image, y//8, x//8", "image y x v")
+def _(s, d):
+    return A.box_thumbnail(_images(s, d).select("image", "y", "x", C.threshold(c("v")).alias("bit")), 8, 8, _KEY)
+
+
+@query("images_rechunk", f"{_IMG} == SELECT image, (y // 16)*3 + x // 24 AS tile, array_to_string(list(v ORDER BY y, x), ',') AS samples FROM img GROUP BY 1, 2", "image tile", "samples")
+def _(s, d):
+    sized = _images(s, d).withColumns({"w": F.lit(X.WIDTH), "h": F.lit(X.rows_of_gray(s, d))})
+    return R.rechunk(sized, c("w"), c("h"), 24, 16, _KEY).withColumn("samples", F.array_join(F.transform("samples", lambda v: v.cast("string")), ","))
+
+
+@query("images_unchunk", f"{_IMG} == SELECT image, y, x, v FROM img", "image y x v")
+def _(s, d):
+    tiles = R.rechunk(_images(s, d), X.WIDTH, X.rows_of_gray(s, d), 24, 16, _KEY)
+    return R.unchunk(tiles.withColumn("w", F.lit(X.WIDTH)), c("w"), 24, 16, _KEY)
+
+
+@query("images_band_split", f"{_COL} == SELECT image, y, x, plane, v FROM (SELECT image, y, x, unnest([0, 1, 2]) AS plane, unnest([r, g, b]) AS v FROM col)", "image y x plane v")
+def _(s, d):
+    return R.band_split(_colors(s, d), keys=_KEY)
+
+
+@query("images_band_merge", f"{_COL} == SELECT image, y, x, r, g, b FROM col", "image y x r g b")
+def _(s, d):
+    return R.band_merge(R.band_split(_colors(s, d), keys=_KEY), keys=_KEY)
+
+
+@query("images_histogram", f"{_COL} == SELECT image, r//8 AS r5, g//8 AS g5, b//8 AS b5, count(*) AS n FROM col GROUP BY ALL", "image r5 g5 b5 n")
+def _(s, d):
+    return A.rgb_histogram(_colors(s, d), keys=_KEY)
+
+
+@query("images_color_range", f"{_COL} == SELECT image, min(r) AS min_r, max(r) AS max_r, min(g) AS min_g, max(g) AS max_g, min(b) AS min_b, max(b) AS max_b FROM col GROUP BY image", "image min_r max_r min_g max_g min_b max_b")
+def _(s, d):
+    return A.color_range(_colors(s, d), _KEY)
+
+
+@query("images_ycbcr_2x2", f"""{_COL}, p AS (SELECT image, y, x, r*0.299e0 + g*0.587e0 + b*0.114e0 AS luma, r, b FROM col),
+ q AS (SELECT *, (b - luma)/(2 - 2*0.114e0) + 128 AS cb, (r - luma)/(2 - 2*0.299e0) + 128 AS cr FROM p) ==
+ SELECT image, y//2 AS cy, x//2 AS cx, greatest(0, least(255, floor(round(avg(cb), 6) + 0.5))) AS cb, greatest(0, least(255, floor(round(avg(cr), 6) + 0.5))) AS cr,
+ array_to_string(list(CAST(greatest(0, least(255, floor(round(luma, 6) + 0.5))) AS BIGINT) ORDER BY y, x), ',') AS luma FROM q GROUP BY image, y//2, x//2""", "image cy cx cb cr", "luma")
+def _(s, d):
+    return A.ycbcr_clumps(_colors(s, d), keys=_KEY).withColumn("luma", F.array_join(F.transform("luma", lambda v: v.cast("bigint").cast("string")), ","))
+
+
+@query("images_row_correlation", f"{_IMG} == SELECT a.image, a.y, round(corr(a.v, b.v), 9) AS corr FROM img a JOIN img b ON b.image = a.image AND b.y = a.y + 1 AND b.x = a.x GROUP BY a.image, a.y", "image y", "corr")
+def _(s, d):
+    return A.row_correlation(_images(s, d), _KEY).withColumn("corr", F.round("corr", 9))
+
+
+@query("images_predictor", f"{_IMG} == SELECT image, y, x, (v - coalesce(lag(v) OVER (PARTITION BY image, y ORDER BY x), 0) + 256) % 256 AS v FROM img", "image y x v")
+def _(s, d):
+    return A.predictor_encode(_images(s, d), keys=_KEY)
+
+
+@query("images_predictor_undone", f"{_IMG} == SELECT image, y, x, v FROM img", "image y x v")
+def _(s, d):
+    return A.predictor_decode(A.predictor_encode(_images(s, d), keys=_KEY), keys=_KEY)
+
+
+@query("images_scanlines", f"{_IMG} == SELECT image, y, array_to_string(list(v ORDER BY x), ',') AS samples FROM img GROUP BY 1, 2", "image y", "samples")
+def _(s, d):
+    return R.scanlines(_images(s, d), ("image", "y")).withColumn("samples", F.array_join(F.transform("samples", lambda v: v.cast("string")), ","))
+
+
+# regions dealt out to files and pages, by each way of export
+_EXPORT = {
+    "combined": ("0", "dense_rank() OVER (ORDER BY image) - 1"), "divided": ("0", "dense_rank() OVER (ORDER BY image, region) - 1"), "image": ("dense_rank() OVER (ORDER BY image) - 1", "0"),
+    "multiple": ("dense_rank() OVER (ORDER BY image) - 1", "dense_rank() OVER (PARTITION BY image ORDER BY region) - 1"), "separated": ("dense_rank() OVER (ORDER BY image, region) - 1", "0"),
+}
+for _how, (_file, _page) in _EXPORT.items():
+
+    @query(f"export_{_how}", f"== SELECT n_regionkey AS image, n_nationkey AS region, {_file} AS file, {_page} AS page FROM nation", "image region file page")
+    def _(s, d, how=_how):
+        return R.export_groups(X.table(s, d, "nation").select(c("n_regionkey").alias("image"), c("n_nationkey").alias("region")), how)
+
+
+# colour with a reference of black and white, and on a display
+_REF = (16.0, 235.0, 128.0, 240.0, 128.0, 240.0)
+_SPREAD = "SELECT y, x, CAST(trunc((r - 16)*255e0/219e0) AS BIGINT) AS l, CAST(trunc((g - 128)*127e0/112e0) AS BIGINT) AS cb, CAST(trunc((b - 128)*127e0/112e0) AS BIGINT) AS cr FROM rgb"
+
+
+@query("ycbcr_reference", f"""{X.RGB}, s AS ({_SPREAD}) == SELECT y, x, greatest(0, least(255, l + CAST(floor((cr*91881 + 32768)/65536.0) AS BIGINT))) AS r2,
+ greatest(0, least(255, l + CAST(floor((-(cr*46802) - cb*22553 + 32768)/65536.0) AS BIGINT))) AS g2, greatest(0, least(255, l + CAST(floor((cb*116130 + 32768)/65536.0) AS BIGINT))) AS b2 FROM s""", "y x r2 g2 b2")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.ycbcr_to_rgb(c("r"), c("g"), c("b"), reference=_REF), strict=True)))
+
+
+@query("default_reference", "== SELECT * FROM (VALUES (2, 8, '0,255,0,255,0,255'), (6, 8, '0,255,128,255,128,255'), (2, 4, '0,15,0,15,0,15'), (6, 16, '0,65535,32768,65535,32768,65535')) t(photometric, bits, v)", "photometric bits", "v")
+def _(s, d):
+    rows = [(p, b, ",".join(str(int(v)) for v in C.default_reference(p, b))) for p, b in ((2, 8), (6, 8), (2, 4), (6, 16))]
+    return s.createDataFrame(rows, "photometric int, bits int, v string")
+
+
+_SHOWN = [f"floor(255*pow(least(floor((greatest(least({e}, 100e0), 1e0) - 1e0)/0.066e0), 1500)/1500e0, 1/2.4e0) + 0.5)" for e in ("u*3.2410e0 + v*(-1.5374e0) + w*(-0.4986e0)", "u*(-0.9692e0) + v*1.8760e0 + w*0.0416e0", "u*0.0556e0 + v*(-0.2040e0) + w*1.0570e0")]
+
+
+@query("xyz_to_display", f"{X.RGB}, p AS (SELECT y, x, r/2.5e0 AS u, g/2.5e0 AS v, b/2.5e0 AS w FROM rgb) == SELECT y, x, {', '.join(f'{e} AS {n}' for e, n in zip(_SHOWN, ('r2', 'g2', 'b2'), strict=True))} FROM p", "y x r2 g2 b2")
+def _(s, d):
+    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.xyz_to_rgb_display(c("r") / 2.5, c("g") / 2.5, c("b") / 2.5), strict=True)))
+
+
+@query("clamp", f"{X.GRAY} == SELECT y, x, greatest(least(v, 200), 40) AS v FROM gray", "y x v")
+def _(s, d):
+    return X.gray8(s, d).select("y", "x", C.clamp(c("v"), 40, 200).alias("v"))
+
+
+@query("contrast_curve", "== SELECT i, 255 - floor(255*(1 - exp(-(i/255e0)/0.5e0))/(1 - exp(-1/0.5e0)) + 0.5) AS v FROM range(256) t(i)", "i v")
+def _(s, d):
+    return s.range(1).select(F.posexplode(C.contrast_curve(50.0)).alias("i", "v"))
+
+
+# writers
+@query("file_concat", f"{_FILED}, p AS (SELECT block, dir_index, h, row_number() OVER (PARTITION BY block % 2 ORDER BY CAST(block AS VARCHAR), dir_index) - 1 AS page FROM pages) == SELECT block % 2 AS target, page AS dir_index, count(*) AS n, sum(v) AS total, sum(v*(y*64 + x)) AS placed FROM f JOIN p USING (block, dir_index) GROUP BY 1, 2".replace("p AS (SELECT block, dir_index", "q AS (SELECT block, dir_index").replace("JOIN p USING", "JOIN q USING"), "target dir_index n total placed")
+def _(s, d):
+    joined = writers.concat_files(_files(s, d, compression=codecs.DEFLATE_ADOBE), c("path").cast("int") % 2, order=">", big=True)
+    px = raster.pixels(raster.scanlines(joined))
+    return px.groupBy(c("path").alias("target"), "dir_index").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(c("v") * (c("y") * 64 + c("x"))).alias("placed"))
+
+
+@query("file_grow", f"{_FILED} == SELECT block, dir_index, CASE WHEN dir_index = 0 THEN h + 5 ELSE h END AS length, (CASE WHEN dir_index = 0 THEN h + 5 ELSE h END + 15)//16 AS n_chunks FROM pages", "block dir_index length n_chunks")
+def _(s, d):
+    more = np.arange(5 * X.WIDTH, dtype=np.uint8).reshape(5, X.WIDTH, 1)
+    return raster.directories(edits.edit(_files(s, d, rows=16, compression=codecs.ZSTD), lambda b: writers.grow(b, 0, more))).withColumnRenamed("path", "block")
+
+
+@query("file_write_scanlines", f"{_FILED} == SELECT block, dir_index, y, x, CASE WHEN dir_index = 0 AND y BETWEEN 3 AND 21 THEN (y - 3)*3 + x ELSE v END AS v FROM f", "block dir_index y x v")
+def _(s, d):
+    rows = (np.arange(19)[:, None] * 3 + np.arange(X.WIDTH)[None, :]).astype(np.uint8)[:, :, None]
+
+    def change(content: bytes) -> bytes:
+        height = container.parse(content).directories[0].get("length")
+        return writers.write_scanlines(content, 0, 3, rows[: max(0, height - 3)])
+
+    return raster.pixels(raster.scanlines(edits.edit(_files(s, d, rows=16, compression=codecs.LZW), change))).withColumnRenamed("path", "block")
+
+
+@query("file_custom_directories", f"{_FILED} == SELECT block, unnest(['exposure_time', 'iso_speed_ratings', 'gps_latitude_ref']) AS name, unnest(['[[1, 250]]', '[400]', '\"N\"']) AS value FROM (SELECT DISTINCT block FROM pages)", "block", "name value")
+def _(s, d):
+    def change(content: bytes) -> bytes:
+        content = writers.write_sub_directory(content, 0, "exif", {33434: (5, [(1, 250)]), 34855: (3, [400])})
+        return writers.write_sub_directory(content, 0, "gps", {1: (2, "N")})
+
+    return raster.tags(edits.edit(_files(s, d), change)).where("kind IN ('exif', 'gps')").select(c("path").alias("block"), "name", "value")
+
+
+@query("file_dump", f"{_FILED} == SELECT block, count(*) AS n, 256*count(*) AS widths FROM pages GROUP BY 1", "block n widths")
+def _(s, d):
+    one = writers.dump(_files(s, d)).where("tag = 256")
+    return one.withColumn("w", F.when(F.substring(F.hex("bytes"), 1, 2) == "40", 256)).groupBy(c("path").alias("block")).agg(F.count("*").alias("n"), F.sum("w").alias("widths"))
+
+
+# sequential algorithms per image
+@query("dither_palette")
+def _(s, d):
+    images = X.rgb8(s, d).withColumn("image_id", C.idiv(c("y"), 50))
+    return S.dither_palette(images, S.median_cut(A.rgb_histogram(X.rgb8(s, d)), 16))

@@ -20,87 +20,104 @@ class CodecError(ValueError):
     pass
 
 
+#: Codes that are read at once after a clear code; a table is full before.
+BURST = 4200
+
+
+def _widths(n: int, early: int) -> np.ndarray:
+    """Bits of the j-th code after a clear: as many as the table's size then needs, which grows by one a code."""
+    size = 257 + np.arange(n) + early
+    return np.clip(np.ceil(np.log2(size + 1)), 9, 12).astype(np.int64)
+
+
 def lzw_decode(data: bytes, limit: int | None = None) -> bytes:
-    """LZW of 9 to 12 bits, most significant bit first, widening one code early; old streams are least bit first."""
+    """LZW of 9 to 12 bits, most significant bit first, widening one code early; old streams are least bit first.
+
+    Where codes lie follows from their count since the last clear code, so they are cut out many at once.
+    """
     old = len(data) > 1 and data[0] == 0 and data[1] & 1
-    out, table, prev = bytearray(), [], None
+    raw = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
     fresh = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, at, bits = fresh.copy(), 9, 0, len(data) * 8
-    early = 0 if old else 1
-    acc = held = pos = 0
-    while at + width <= bits:
+    bits, at, out, size, burst = len(data) * 8, 0, [], 0, BURST
+    while at + 9 <= bits and (limit is None or size < limit):
+        n = min(burst, (bits - at) // 9 + 1)
+        width = _widths(n, 0 if old else 1)
+        place = at + np.cumsum(width) - width
+        inside = place + width <= bits
+        place, width = place[inside], width[inside]
+        byte, shift = place >> 3, place & 7
         if old:
-            while held < width:
-                acc |= data[pos] << held
-                pos, held = pos + 1, held + 8
-            code, acc = acc & ((1 << width) - 1), acc >> width
+            codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> shift
         else:
-            while held < width:
-                acc = (acc << 8 | data[pos]) & 0xFFFFFFFF
-                pos, held = pos + 1, held + 8
-            code = acc >> (held - width) & ((1 << width) - 1)
-        held -= width
-        at += width
-        if code == 257:
-            break
-        if code == 256:
-            table, width, prev = fresh.copy(), 9, None
+            codes = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - shift - width)
+        codes &= (1 << width) - 1
+        special = np.flatnonzero((codes == 256) | (codes == 257))
+        if not len(special) and len(codes) == burst:
+            burst = bits  # no clear code comes: all that is left belongs together
             continue
-        if prev is None:
-            entry = table[code] if code < 256 else None
-        elif code < len(table):
-            entry = table[code]
-        else:
-            entry = prev + prev[:1] if code == len(table) else None
-        if entry is None:
-            raise CodecError("corrupt LZW stream")
-        out += entry
-        if prev is not None and len(table) < 4096:
-            table.append(prev + entry[:1])
-        prev = entry
-        if len(table) + early >= 1 << width and width < 12:
-            width += 1
-        if limit is not None and len(out) >= limit:
+        stop = int(special[0]) if len(special) else len(codes)
+        burst, found = BURST, codes[:stop].tolist()
+        if found:
+            if found[0] > 255:
+                raise CodecError("corrupt LZW stream")
+            table = fresh.copy()
+            prev, add, put = table[found[0]], table.append, out.append
+            put(prev)
+            size += 1
+            for code in found[1:]:
+                n = len(table)
+                if code < n:
+                    entry = table[code]
+                elif code == n:
+                    entry = prev + prev[:1]
+                else:
+                    raise CodecError("corrupt LZW stream")
+                if n < 4096:
+                    add(prev + entry[:1])
+                put(entry)
+                prev = entry
+                size += len(entry)
+        if stop == len(codes) or codes[stop] == 257:
             break
-    return bytes(out if limit is None else out[:limit])
+        at = int(place[stop] + width[stop])
+    whole = b"".join(out)
+    return whole if limit is None else whole[:limit]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, acc, held = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, held
-        acc, held = acc << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(acc >> held & 255)
-        acc &= (1 << held) - 1
-
-    fresh = {bytes([i]): i for i in range(256)}
-    table, width, now = dict(fresh), 9, b""
-    put(256, 9)
-    n = 258
-    for i in range(len(data)):
-        longer = now + data[i : i + 1]
-        if longer in table:
-            now = longer
+    codes, widths, n, width = [256], [9], 258, 9
+    table: dict[int, int] = {}
+    find, put, wide = table.get, codes.append, widths.append
+    now = data[0] if data else None
+    for byte in data[1:]:
+        key = now << 8 | byte
+        known = find(key)
+        if known is not None:
+            now = known
             continue
-        put(table[now], width)
-        table[longer], n = n, n + 1
-        now = data[i : i + 1]
+        put(now)
+        wide(width)
+        table[key] = n
+        n += 1
+        now = byte
         if n == 4095:
-            put(256, width)
-            table, width, n = dict(fresh), 9, 258
+            put(256)
+            wide(width)
+            table.clear()
+            n, width = 258, 9
         elif n > (1 << width) - 1:
             width += 1
-    if now:
-        put(table[now], width)
+    if now is not None:
+        put(now)
+        wide(width)
         if n + 1 > (1 << width) - 1 and width < 12:
             width += 1
-    put(257, width)
-    if held:
-        out.append(acc << (8 - held) & 255)
-    return bytes(out)
+    put(257)
+    wide(width)
+    c, w = np.array(codes, np.int64), np.array(widths, np.int64)
+    ends = np.cumsum(w)
+    back = np.repeat(ends, w) - 1 - np.arange(ends[-1])  # places from the end of each code
+    return np.packbits((np.repeat(c, w) >> back & 1).astype(np.uint8)).tobytes()
 
 
 def packbits_decode(data: bytes, limit: int | None = None) -> bytes:
@@ -118,20 +135,20 @@ def packbits_decode(data: bytes, limit: int | None = None) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run, data[i]])
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of three and more equal bytes are packed, what lies between them is literal; both up to 128 bytes at a time."""
+    out, x = bytearray(), np.frombuffer(data, np.uint8)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+    long = np.flatnonzero(np.diff(edges) >= 3)
+    at = 0
+    for begin, end in [*zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True), (len(x), len(x))]:
+        for i in range(at, begin, 128):
+            part = data[i : min(i + 128, begin)]
+            out.append(len(part) - 1)
+            out += part
+        for i in range(begin, end, 128):
+            n = min(128, end - i)
+            out += bytes([257 - n if n > 1 else 0, data[i]])
+        at = end
     return bytes(out)
 
 
@@ -165,6 +182,7 @@ def next_decode(data: bytes, limit: int, row: int) -> bytes:
 
 def thunder_decode(data: bytes, width: int) -> bytes:
     """One row of four-bit samples: raw samples, runs, and deltas of two or three bits."""
+    #: What the codes of a delta stand for.
     two, three, last, out = (0, 1, 0, -1), (0, 1, 2, 3, 0, -3, -2, -1), 0, []
     for b in data:
         if len(out) >= width:

@@ -159,7 +159,7 @@ def write_files(encoded: DataFrame, folder: str) -> int:
     under a temporary name and then moved, so a task that runs twice leaves one whole file. The sink `raster_files`
     shows no file before the whole job has succeeded.
     """
-    placed = lambda path: path.rsplit("/", 1)[-1] if path.startswith("/") or "://" in path or ".." in path.split("/") else path
+    placed = lambda path: path.rsplit("/", 1)[-1] if path.startswith("/") or ":/" in path or ".." in path.split("/") else path
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid

@@ -38,6 +38,33 @@ def test_rational():
     assert abs(n / d - 3.14159265358979) < 1e-12
 
 
+def test_rational_batches(spark):
+    values = [0.0, 0.5, 3.0, 3.14159265358979, 1e-9, 123456789.125, 4294967295.0, 5e9, 1 / 3, 0.1, 299.99]
+    df = spark.createDataFrame([(v,) for v in [*values, -1.0, None]], "v double").select("v", sequential.to_rational("v").alias("q"))
+    got = {r["v"]: r["q"] for r in df.collect()}
+    assert all(tuple(got[v]) == sequential.rational(v) for v in values)
+    assert all(got[v] is None or tuple(got[v]) == (None, None) for v in (-1.0, None))
+
+
+def test_dithered_quantising(spark):
+    rng = np.random.default_rng(0)
+    palette = [(0, 0, 0), (255, 255, 255), (255, 0, 0)]
+    one = sequential.diffuse_palette(np.full((32, 32, 3), 100), np.array(palette))
+    assert abs(np.array(palette)[one].mean() - 100) < 6
+    images = rng.integers(0, 256, (2, 5, 7, 3))
+    rows = [(i, y, x, *map(int, images[i, y, x])) for i in range(2) for y in range(5) for x in range(7)]
+    got = sequential.dither_palette(spark.createDataFrame(rows, "image_id long, y long, x long, r int, g int, b int"), palette).collect()
+    for i in range(2):
+        want = sequential.diffuse_palette(images[i], np.array(palette))
+        assert {(r["y"], r["x"]): r["idx"] for r in got if r["image_id"] == i} == {(y, x): int(want[y, x]) for y in range(5) for x in range(7)}
+    assert np.array_equal(sequential.diffuse_palette(np.array([[[255, 0, 0], [0, 0, 0]]]), np.array(palette)), [[2, 0]])
+
+
+def test_median_cut_refuses_more_buckets_than_there_are(spark):
+    with pytest.raises(ValueError):
+        sequential.median_cut(spark.range(33000).selectExpr("id AS r5", "0 AS g5", "0 AS b5", "1 AS n"))
+
+
 def test_palette_ties_go_to_the_first(spark):
     palette = spark.createDataFrame([(0, 0, 0, 0), (1, 2, 0, 0)], "idx int, r int, g int, b int")
     px = spark.createDataFrame([(1, 0, 0)], "r int, g int, b int")

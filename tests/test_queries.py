@@ -41,20 +41,20 @@ def test_gives_rows(spark, sf_dir, name):
 
 def test_sections_whole_tall(spark, tmp_path):
     spark.range(40_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "id * 1.5 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r["section"]: r["n"] for r in registry.QUERIES["sections_whole"](spark, str(tmp_path)).collect()}
+    got = {r["section"]: r["n"] for r in registry.QUERIES["sections"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(9)) and sum(got.values()) == 40_000
 
 
 def test_image_diff_whole_rows(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    got = registry.QUERIES["image_diff_whole"](spark, sf_dir).selectExpr("y", "lhs IS NULL AS l", "rhs IS NULL AS r").distinct().collect()
+    got = registry.QUERIES["image_diff"](spark, sf_dir).selectExpr("y", "lhs IS NULL AS l", "rhs IS NULL AS r").distinct().collect()
     assert {r["y"] for r in got if r["r"]} == set(range(50)) and {r["y"] for r in got if r["l"]} == set(range(n, n + 50))
     assert {r["y"] for r in got if not r["l"] and not r["r"]} == set(range(50, n))
 
 
 def test_file_rgba_draws_all_pages(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    got = registry.QUERIES["file_rgba_pages"](spark, sf_dir)
+    got = registry.QUERIES["file_rgba"](spark, sf_dir)
     assert got.count() == 64 * n and {r["dir_index"] for r in got.select("dir_index").distinct().collect()} == {0, 1, 2}
 
 
