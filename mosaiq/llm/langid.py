@@ -153,7 +153,9 @@ def train(docs: DataFrame, rows: int = 2400, chars: int = 8000) -> PpmModel:
 def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
     """doc_id, lang_pred, score per row. Null texts and texts without a letter are `und` with score 0.
 
-    Only text is read. A model of no languages predicts `und`. Empty table: no rows.
+    Only text is read, whole, whatever its length; other columns may have any names. Rows repeated whole, and rows of one
+    id, get a result each. Equal code lengths go to the language that sorts first. A model of no languages predicts
+    `und`. Empty table: no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -168,7 +170,8 @@ def identify(docs: DataFrame, model: PpmModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """The rows of docs, all columns, whose text is in a language that the model knows."""
+    """The rows of docs, all columns of any names, whose text is in a language that the model knows: null texts and those
+    without a letter go. Rows repeated whole share one fate. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index("text")
 

@@ -237,6 +237,8 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), n_bytes_decoded, exact: decoding gives the text.
 
     Encodes and decodes in one pass, so that ids need not leave the worker. Null text: n_ids null, exact true.
+    Empty texts have no ids. Texts of any length are encoded whole. Rows repeated whole, and rows of one id, get a result
+    each. Other columns are ignored, whatever their names. Empty table: no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

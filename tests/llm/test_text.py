@@ -102,6 +102,33 @@ def test_language(spark, docs, odd, empty):
     assert kept.columns == docs.columns and {r["text"] for r in docs.collect()} - {r["text"] for r in kept.collect()} == {None, "", "  \n\t ", "123 456 ..."}
 
 
+def test_language_query_equals_plain_version(spark, tmp_path):
+    """The query's predictions and scores, from a plain PPM of the training rows of a small table."""
+    rng = random.Random(5)
+    stems = {"de": "der die das und nicht ein zu".split(), "fr": "le la les et pas une du".split(), "en": "the of and not a to".split()}
+    rows = [(i, words(rng, rng.randint(3, 30), stems[x]), x) for i in range(90) for x in [rng.choice(list(stems))]] + [(90, None, "de"), (91, "12 !", "fr"), (92, "the der la", None), (5, "und das nicht", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in queries.QUERIES["op5_language_id"](spark, str(tmp_path)).collect())
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    train = [(t, x) for d, t, x in rows if t is not None and x is not None and not held(d)]
+    # texts of a language are told end to end in the model's own order, which its counts across texts depend on
+    model = langid.train(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert model.langs == sorted({x for _, x in train})
+    expected = Counter()
+    for d, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            expected[d, held(d), "und", 0.0] += 1
+            continue
+        data = b"\n\n\n" + t.encode()
+        bits = [sum(float(model.cost[model.context[(s[0] * model.base + s[1]) * model.base + s[2]] * model.base + s[3], k]) for s in ([int(model.symbol[b]) for b in data[i - 3 : i + 1]] for i in range(3, len(data)))) for k in range(len(model.langs))]
+        best = min(range(len(bits)), key=bits.__getitem__)
+        share = 1 / sum(2 ** (-(b - bits[best]) / np.sqrt(len(data) - 3)) for b in bits)
+        expected[d, held(d), model.langs[best], round(share, 3)] += 1
+    assert sum((got - expected).values()) <= 1  # a score may round the other way
+    right = [r for r in got if r[2] == next((x for d, _, x in rows if d == r[0]), None)]
+    assert len(right) > 80
+
+
 def check_packing(rows, ids):
     by_doc, by_seq = {}, {}
     for r in rows:
