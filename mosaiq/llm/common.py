@@ -94,16 +94,17 @@ def salt(*cols: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, shuffled: bool = False) -> DataFrame:
     """Left join of left with right, which has a row per key at most.
 
     Rows of a hot key are spread over SALTS partitions; each row of right goes to all of them, so right
-    should hold the keys that need a lookup only.
+    should hold the keys that need a lookup only. shuffled: right is never broadcast, which Spark else does by the size
+    it estimates before rows go to all parts.
     """
     n = F.lit(SALTS)
     l = left.withColumn("_salt", F.pmod(F.xxhash64(spread), n).cast("int"))
     r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
-    return l.join(r, [*keys, "_salt"], "left").drop("_salt")
+    return l.join(r.hint("merge") if shuffled else r, [*keys, "_salt"], "left").drop("_salt")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -145,7 +145,7 @@ def _grouped(docs: DataFrame, radius: int) -> DataFrame:
     lookup = nodes.join(linked, "fp", "left").where("n > 1 or linked").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), F.lit(True).alias("known"))
     lookup = write_table(lookup, "lookup")
     tables.clear()
-    out = salted_left_join(marks, lookup, ["fp"], F.struct("doc_id", "same"))
+    out = salted_left_join(marks, lookup, ["fp"], F.struct("doc_id", "same"), shuffled=True)
     return out.select("doc_id", "fp", "same", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
