@@ -274,9 +274,9 @@ def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) ->
     data = codecs.decode(scheme, raw, size=size, row=row, width=c.w, rows=c.h, samples=per, bits=bits, order=r.order, photometric=d.get("photometric"), options=options, tables=(d.tags.get(347) or (0, 0, None))[2])[:size].ljust(size, b"\0")
     if (kind := d.get("predictor")) != 1:
         data = codecs.undo_predictor(kind, data, row, bits, per, r.order)
-    if bits < 8:
+    if bits < 8 or bits in (10, 12, 14):
         x = np.unpackbits(np.frombuffer(data, np.uint8).reshape(c.h, row), axis=1)[:, : c.w * per * bits].reshape(c.h, c.w, per, bits)
-        return (x * (1 << np.arange(bits - 1, -1, -1))).sum(axis=3).astype(np.uint8)
+        return (x * (1 << np.arange(bits - 1, -1, -1))).sum(axis=3).astype(np.uint8 if bits < 8 else r.order + "u2")
     if (dt := "f4" if scheme == codecs.SGILOG else DTYPES.get((d.get("sample_format"), bits)) or DTYPES.get((1, bits))) is None:
         raise FormatError(f"samples of {bits} bits aren't supported")
     return np.frombuffer(data, r.order + dt if bits > 8 else dt).reshape(c.h, c.w, per)
@@ -310,7 +310,7 @@ def packed(order: str, kind: int, values: list | str | bytes) -> tuple[int, byte
 def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int = 1, tile: tuple[int, int] | None = None, rows: int | None = None, planar: bool = False, order: str = "<", big: bool = False, photometric: int | None = None, bits: int | None = None, extra: dict[int, tuple[int, list | str | bytes]] | None = None) -> bytes:
     """A file of one directory for each page (rows, columns[, samples]). extra: more tags, number -> (type, values).
 
-    bits 1, 2 or 4 packs small samples; strips of about 8 KiB unless `rows` or `tile` (width, length) say otherwise.
+    bits 1, 2, 4, 10, 12 or 14 packs samples; strips of about 8 KiB unless `rows` or `tile` (width, length) say otherwise.
     """
     mark, word, inline = (b"II" if order == "<" else b"MM"), ("Q" if big else "I"), (8 if big else 4)
     out = bytearray(mark + struct.pack(order + "H", 43 if big else 42) + (struct.pack(order + "HHQ", 8, 0, 0) if big else struct.pack(order + "I", 0)))
@@ -331,7 +331,7 @@ def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int =
                     if tile:
                         block = np.pad(block, ((0, th - block.shape[0]), (0, tw - block.shape[1]), (0, 0)), mode="edge")
                     row = (block.shape[1] * per * size + 7) // 8
-                    if size < 8:
+                    if size < 8 or size in (10, 12, 14):
                         b = (block[..., None] >> np.arange(size - 1, -1, -1, dtype=block.dtype)) & 1
                         data = np.packbits(b.reshape(block.shape[0], -1).astype(np.uint8), axis=1).tobytes()
                     else:

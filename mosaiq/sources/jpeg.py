@@ -1,7 +1,7 @@
-"""Baseline JPEG (ITU-T T.81): 8-bit Huffman-coded sequential scans, whole or with tables kept apart from the chunks.
+"""JPEG (ITU-T T.81): Huffman-coded sequential and progressive scans of 8 or 12 bits, whole or with tables kept apart from the chunks.
 
-Components come out at full resolution, in the colour space they are stored in. Progressive, arithmetic, lossless and
-12-bit streams raise an error.
+Components come out at full resolution, in the colour space they are stored in. Written are sequential scans. Arithmetic,
+lossless and hierarchical streams raise an error.
 """
 
 from __future__ import annotations
@@ -35,7 +35,11 @@ class JpegError(ValueError):
 def _lookup(counts: bytes, symbols: bytes) -> list[tuple[int, int] | None]:
     """(symbol, bits) by the next 16 bits."""
     out, code, k = [None] * (1 << 16), 0, 0
+    if len(symbols) < sum(counts):
+        raise JpegError("short Huffman table")
     for n, many in enumerate(counts, 1):
+        if code + many > 1 << n:
+            raise JpegError("damaged Huffman table")
         for _ in range(many):
             at = code << (16 - n)
             out[at : at + (1 << (16 - n))] = [(symbols[k], n)] * (1 << (16 - n))
@@ -57,6 +61,8 @@ class Tables:
         if marker == 0xDB:
             while i < len(body):
                 wide, n = body[i] >> 4, body[i] & 15
+                if len(body) < i + (129 if wide else 65):
+                    raise JpegError("short quantisation table")
                 self.quant[n] = np.frombuffer(body, ">u2" if wide else "u1", 64, i + 1).astype(np.int64)
                 i += 129 if wide else 65
         elif marker == 0xC4:
@@ -87,6 +93,8 @@ def _segments(data: bytes):
         if marker == 0xD9:
             return
         end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        if end > len(data) or end < at + 4:
+            raise JpegError("short JPEG segment")
         body, at, part = data[at + 4 : end], end, b""
         if marker == 0xDA:
             found = _END.search(data, end)
@@ -119,6 +127,15 @@ class _Scan:
         return v if v >> (n - 1) else v - (1 << n) + 1
 
 
+    def bits(self, n: int) -> int:
+        """n bits as they are, 16 at most."""
+        i = self.at >> 3
+        self.at += n
+        if self.at > self.end + 7:
+            raise JpegError("damaged JPEG scan")
+        return int.from_bytes(self.data[i : i + 3], "big") >> (24 - n - (self.at - n & 7)) & ((1 << n) - 1)
+
+
 def _block(scan: _Scan, dc: list, ac: list, out: np.ndarray, before: int) -> int:
     before += scan.value(scan.symbol(dc))
     out[0] = before
@@ -139,15 +156,79 @@ def _block(scan: _Scan, dc: list, ac: list, out: np.ndarray, before: int) -> int
     return before
 
 
-def _read_scan(part: bytes, header: bytes, known: Tables, frame: dict, planes: dict, grid: tuple[int, int, int, int]) -> None:
+def _first_pass(scan: _Scan, ac: list, out: np.ndarray, band: tuple[int, int], low: int, skip: int) -> int:
+    """Coefficients of a band down to bit `low`; skip: blocks without any that are left of a run, and what is left of it then."""
+    if skip:
+        return skip - 1
+    k, last = band
+    while k <= last:
+        s = scan.symbol(ac)
+        run, n = s >> 4, s & 15
+        if not n and run != 15:
+            return (1 << run) + scan.bits(run) - 1
+        k += run
+        if n:
+            if k > last:
+                raise JpegError("damaged JPEG block")
+            out[k] = scan.value(n) << low
+        k += 1
+    return 0
+
+
+def _next_pass(scan: _Scan, ac: list, out: np.ndarray, band: tuple[int, int], low: int, skip: int) -> int:
+    """One more bit, number `low`: of coefficients that are known, and of those that begin with it."""
+    k, last = band
+    bit = 1 << low
+
+    def refine(at: int) -> None:
+        if scan.bits(1):
+            out[at] += bit if out[at] > 0 else -bit
+
+    while k <= last and not skip:
+        s = scan.symbol(ac)
+        run, begins = s >> 4, s & 15
+        if not begins and run != 15:
+            skip = (1 << run) + scan.bits(run)
+            break
+        if begins > 1:
+            raise JpegError("damaged JPEG block")
+        value = (bit if scan.bits(1) else -bit) if begins else 0
+        while k <= last:  # run counts coefficients that are still zero
+            if out[k]:
+                refine(k)
+            elif run:
+                run -= 1
+            else:
+                out[k] = value
+                k += 1
+                break
+            k += 1
+    if not skip:
+        return 0
+    for at in range(k, last + 1):
+        if out[at]:
+            refine(at)
+    return skip - 1
+
+
+def _read_scan(part: bytes, header: bytes, known: Tables, frame: dict, planes: dict, grid: tuple[int, int, int, int], progressive: bool) -> None:
     """Fill the coefficient planes of a scan's components; units go row by row, restarts begin anew."""
     across, down, w, h = grid
+    band, high, low = (0, 63), 0, 0
+    if not header or not header[0] or len(header) < 4 + 2 * header[0]:
+        raise JpegError("damaged JPEG scan header")
+    if progressive:
+        k = 1 + 2 * header[0]
+        band, high, low = (header[k], header[k + 1]), header[k + 2] >> 4, header[k + 2] & 15
+        if not band[0] <= band[1] <= 63 or band[0] and header[0] != 1 or low > 13 or not band[0] and band[1]:
+            raise JpegError("damaged JPEG scan header")
     own = []
     for i in range(header[0]):
         c, t = header[1 + 2 * i], header[2 + 2 * i]
-        if c not in frame or t >> 4 not in known.huffman or 16 + (t & 15) not in known.huffman:
+        dc, ac = known.huffman.get(t >> 4), known.huffman.get(16 + (t & 15))
+        if c not in frame or dc is None and not band[0] and not high or ac is None and band[1]:
             raise JpegError("scan without its tables")
-        own.append((c, known.huffman[t >> 4], known.huffman[16 + (t & 15)]))
+        own.append((c, dc, ac))
     if len(own) == 1:  # alone, a component's blocks follow each other
         c, u, v, _ = frame[own[0][0]]
         columns, rows = -(-(-(-w * u // across)) // 8), -(-(-(-h * v // down)) // 8)
@@ -158,25 +239,37 @@ def _read_scan(part: bytes, header: bytes, known: Tables, frame: dict, planes: d
     units, every = columns * rows, known.restart or columns * rows
     parts = _RESTART.split(part)
     for first, piece in zip(range(0, units, every), parts, strict=False):
-        scan, before = _Scan(piece), dict.fromkeys(cells, 0)
+        scan, before, skip = _Scan(piece), dict.fromkeys(cells, 0), 0
         for n in range(first, min(first + every, units)):
             y, x = divmod(n, columns)
             for c, dc, ac in own:
                 u, v = cells[c]
                 for k in range(u * v):
-                    before[c] = _block(scan, dc, ac, planes[c][y * v + k // u, x * u + k % u], before[c])
+                    out = planes[c][y * v + k // u, x * u + k % u]
+                    if not progressive:
+                        before[c] = _block(scan, dc, ac, out, before[c])
+                    elif band[0]:
+                        skip = (_next_pass if high else _first_pass)(scan, ac, out, band, low, skip)
+                    elif high:
+                        out[0] |= scan.bits(1) << low
+                    else:
+                        before[c] += scan.value(scan.symbol(dc))
+                        out[0] = before[c] << low
 
 
 def decode(data: bytes, tables: bytes | None = None) -> np.ndarray:
     """(rows, columns, components) of a stream; tables: an abbreviated stream that holds tables only."""
-    known, frame, planes, grid = Tables(), {}, {}, (1, 1, 0, 0)
+    known, frame, planes, grid, depth, progressive = Tables(), {}, {}, (1, 1, 0, 0), 8, False
     for marker, body, _ in _segments(tables) if tables else ():
         known.take(marker, body)
     for marker, body, part in _segments(data):
         known.take(marker, body)
-        if marker in (0xC0, 0xC1):
-            if body[0] != 8:
-                raise JpegError(f"{body[0]}-bit JPEG isn't supported")
+        if marker in (0xC0, 0xC1, 0xC2):
+            if len(body) < 6 or len(body) < 6 + 3 * body[5] or not body[5] or any(not 1 <= n <= 4 for i in range(body[5]) for n in divmod(body[7 + 3 * i], 16)):
+                raise JpegError("damaged JPEG frame header")
+            depth, progressive = body[0], marker == 0xC2
+            if depth not in (8, 12):
+                raise JpegError(f"{depth}-bit JPEG isn't supported")
             h, w = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             each = [body[6 + 3 * i : 9 + 3 * i] for i in range(body[5])]
             frame = {c: (c, s >> 4, s & 15, q) for c, s, q in each}
@@ -184,19 +277,20 @@ def decode(data: bytes, tables: bytes | None = None) -> np.ndarray:
             grid = (across, down, w, h)
             planes = {c: np.zeros((-(-h // (8 * down)) * v, -(-w // (8 * across)) * u, 64), np.int32) for c, u, v, _ in frame.values()}
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise JpegError("only baseline JPEG is supported")
+            raise JpegError("only sequential and progressive JPEG of Huffman codes is supported")
         elif marker == 0xDA:
-            _read_scan(part, body, known, frame, planes, grid)
+            _read_scan(part, body, known, frame, planes, grid, progressive)
     if not frame:
         raise JpegError("no frame")
     across, down, w, h = grid
-    out = np.zeros((h, w, len(frame)), np.uint8)
+    kind = np.uint8 if depth == 8 else np.uint16
+    out = np.zeros((h, w, len(frame)), kind)
     for i, (c, u, v, q) in enumerate(frame.values()):
         if q not in known.quant:
             raise JpegError("no quantisation table")
         flat = np.zeros(planes[c].shape, float)
         flat[:, :, ORDER] = planes[c] * known.quant[q]
-        light = np.clip(np.round(BASIS.T @ flat.reshape(*flat.shape[:2], 8, 8) @ BASIS + 128), 0, 255).astype(np.uint8)
+        light = np.clip(np.round(BASIS.T @ flat.reshape(*flat.shape[:2], 8, 8) @ BASIS + (1 << depth - 1)), 0, (1 << depth) - 1).astype(kind)
         image = light.transpose(0, 2, 1, 3).reshape(flat.shape[0] * 8, -1)
         out[:, :, i] = image[np.arange(h)[:, None] * v // down, np.arange(w)[None, :] * u // across]
     return out
@@ -243,8 +337,12 @@ def _magnitude(v: int) -> tuple[int, str]:
 
 
 def encode(x: np.ndarray, quality: int = 75, subsampling: tuple[int, int] = (1, 1)) -> bytes:
-    """A baseline stream of (rows, columns, components); subsampling (across, down) thins all components but the first."""
+    """A sequential stream of (rows, columns, components); subsampling (across, down) thins all components but the first.
+
+    Samples of 16 bits are taken as 12-bit ones.
+    """
     h, w, n = x.shape
+    depth = 8 if x.dtype.itemsize == 1 else 12
     if not h or not w or h > 65535 or w > 65535:
         raise JpegError("JPEG holds 1 to 65535 rows and columns")
     across, down = subsampling if n > 1 else (1, 1)
@@ -258,7 +356,7 @@ def encode(x: np.ndarray, quality: int = 75, subsampling: tuple[int, int] = (1,
         u, v = (across, down) if i == 0 else (1, 1)
         if i:
             one = one.reshape(my * 8, down, mx * 8, across).mean(axis=(1, 3))
-        cut = (one - 128).reshape(my * v, 8, mx * u, 8).transpose(0, 2, 1, 3)
+        cut = (one - (1 << depth - 1)).reshape(my * v, 8, mx * u, 8).transpose(0, 2, 1, 3)
         done = np.round((BASIS @ cut @ BASIS.T).reshape(my * v, mx * u, 64)[:, :, ORDER] / quant[i > 0]).astype(int)
         blocks.append(done)
         shape.append((u, v))
@@ -290,25 +388,39 @@ def encode(x: np.ndarray, quality: int = 75, subsampling: tuple[int, int] = (1,
     body = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
     segment = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
     out = b"\xff\xd8" + b"".join(segment(0xDB, bytes([i]) + q.astype(np.uint8).tobytes()) for i, q in enumerate(quant[: 1 + (n > 1)]))
-    out += segment(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, u << 4 | v, int(i > 0)]) for i, (u, v) in enumerate(shape)))
+    out += segment(0xC0 if depth == 8 else 0xC1, bytes([depth]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, u << 4 | v, int(i > 0)]) for i, (u, v) in enumerate(shape)))
     for t in (0, 2, 1, 3)[: 2 if n == 1 else 4]:
         out += segment(0xC4, bytes([(t >= 2) << 4 | t % 2]) + made[t][0])
     out += segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0x11 * (i > 0)]) for i in range(n)) + bytes([0, 63, 0]))
     return out + body + b"\xff\xd9"
 
 
+def pack12(x: np.ndarray) -> bytes:
+    """Rows of 12-bit samples, the highest bit first; a row ends on a whole byte."""
+    bits = (x.reshape(len(x), -1, 1) >> np.arange(11, -1, -1)) & 1
+    return np.packbits(bits.reshape(len(x), -1).astype(np.uint8), axis=1).tobytes()
+
+
 def decode_chunk(data: bytes, how: dict) -> bytes:
-    """Samples of a chunk; one smaller than its stream is cut, a larger one filled with zeros."""
+    """Samples of a chunk; one smaller than its stream is cut, a larger one filled with zeros. 12-bit samples are packed."""
     x = decode(data, how.get("tables"))
     rows, width, per = how["rows"], how["width"], how.get("samples", 1)
-    out = np.zeros((rows, width, per), np.uint8)
-    h, w, n = (min(a, b) for a, b in zip(x.shape, out.shape, strict=True))
-    out[:h, :w, :n] = x[:h, :w, :n]
-    return out.tobytes()
+    y0, x0 = how.get("at", (0, 0))
+    x = x[y0 : y0 + rows, x0 : x0 + width, :per]
+    out = np.zeros((rows, width, per), x.dtype)
+    out[: x.shape[0], : x.shape[1], : x.shape[2]] = x
+    if x.dtype == np.uint8:
+        return out.tobytes()
+    return pack12(out) if how.get("bits", 12) == 12 else out.astype(how.get("order", "<") + "u2").tobytes()
 
 
 def encode_chunk(data: bytes, how: dict) -> bytes:
-    if how.get("bits", 8) != 8:
-        raise JpegError("JPEG chunks hold 8-bit samples")
-    x = np.frombuffer(data, np.uint8).reshape(-1, how["width"], how.get("samples", 1))
-    return encode(x, how.get("quality", 75))
+    """A stream of 8-bit samples, or of packed 12-bit ones."""
+    bits, width, per = how.get("bits", 8), how["width"], how.get("samples", 1)
+    if bits == 12:
+        row = (width * per * 12 + 7) // 8
+        flat = np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, row), axis=1)[:, : width * per * 12].reshape(-1, width, per, 12)
+        return encode((flat.astype(np.uint16) << np.arange(11, -1, -1, dtype=np.uint16)).sum(axis=3, dtype=np.uint16), how.get("quality", 75))
+    if bits != 8:
+        raise JpegError("JPEG chunks hold samples of 8 or 12 bits")
+    return encode(np.frombuffer(data, np.uint8).reshape(-1, width, per), how.get("quality", 75))

@@ -1,5 +1,7 @@
 """Container, codecs and tables of raster files."""
 
+import contextlib
+
 import numpy as np
 import pytest
 
@@ -197,3 +199,138 @@ def test_stream(spark, folder, tmp_path):
     seen = []
     arrivals.for_each_batch(arrivals.stream_directories(spark, str(path), "a.tif"), lambda df, n: seen.extend(df.collect()), str(tmp_path / "checkpoint"))
     assert len(seen) == 2
+
+
+def progressive(x, quality, subsampling=(1, 1), restart=0):
+    """The coefficients of jpeg.encode's stream in spectral bands and bit by bit, written from the standard's description of the code."""
+    whole = jpeg.encode(x, quality, subsampling)
+    known, frame, planes = jpeg.Tables(), {}, {}
+    for m, body, part in jpeg._segments(whole):
+        known.take(m, body)
+        if m in (0xC0, 0xC1):
+            sof, h, w = body, int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            frame = {body[6 + 3 * i]: (body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
+            across, down = max(f[1] for f in frame.values()), max(f[2] for f in frame.values())
+            mx, my = -(-w // (8 * across)), -(-h // (8 * down))
+            planes = {c: np.zeros((my * v, mx * u, 64), np.int32) for c, u, v, _ in frame.values()}
+        elif m == 0xDA:
+            jpeg._read_scan(part, body, known, frame, planes, (across, down, w, h), False)
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    # every symbol has a code of 8 bits (but 255, which no scan needs), so that the table itself can't hide an error
+    plain = bytes([0] * 7 + [255] + [0] * 8) + bytes(range(255))
+    out = b"\xff\xd8" + b"".join(seg(m, b) for m, b, _ in jpeg._segments(whole) if m == 0xDB) + seg(0xC2, sof)
+    out += seg(0xC4, b"\x00" + plain) + seg(0xC4, b"\x10" + plain) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+
+    def scan(ids, band, high, low, units, write):
+        nonlocal out
+        out += seg(0xDA, bytes([len(ids)]) + b"".join(bytes([c, 0]) for c in ids) + bytes([*band, high << 4 | low]))
+        each = restart or len(units)
+        for n, at in enumerate(range(0, len(units), each)):
+            text = write(units[at : at + each])
+            text += "1" * (-len(text) % 8)
+            out += (bytes([0xFF, 0xD0 + (n - 1) % 8]) if n else b"") + int("1" + text, 2).to_bytes(len(text) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\x00")
+
+    size = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
+    sym = lambda s: f"{s:08b}"
+    mixed = [[(c, planes[c][y * v + k // u, xx * u + k % u]) for c, u, v, _ in frame.values() for k in range(u * v)] for y in range(my) for xx in range(mx)]
+    if len(frame) == 1:
+        mixed = [[(c, planes[c][y, xx])] for c in frame for y in range(-(-h // 8)) for xx in range(-(-w // 8))]
+
+    def dc(units):
+        text, before = "", dict.fromkeys(frame, 0)
+        for unit in units:
+            for c, b in unit:
+                v = int(b[0]) >> 1
+                text += sym(abs(v - before[c]).bit_length()) + size(v - before[c])
+                before[c] = v
+        return text
+
+    def ended(run):
+        n = run.bit_length() - 1
+        return sym(n << 4) + (f"{run - (1 << n):0{n}b}" if n else "")
+
+    def first(band, low):
+        def write(blocks):
+            text, run = "", 0
+            for b in blocks:
+                at = band[0]
+                for k in range(band[0], band[1] + 1):
+                    v = int(np.sign(b[k])) * (abs(int(b[k])) >> low)
+                    if not v:
+                        continue
+                    text, run = text + (ended(run) if run else ""), 0
+                    while k - at > 15:
+                        text, at = text + sym(0xF0), at + 16
+                    text, at = text + sym((k - at) << 4 | abs(v).bit_length()) + size(v), k + 1
+                run += at <= band[1]
+            return text + (ended(run) if run else "")
+
+        return write
+
+    def then(band, low):
+        def write(blocks):
+            text, run, held = "", 0, ""
+            for b in blocks:
+                sizes = [abs(int(b[k])) >> low for k in range(band[0], band[1] + 1)]
+                last = max((i for i, v in enumerate(sizes) if v == 1), default=-1)
+                zeros, bits = 0, ""
+                for i, v in enumerate(sizes):
+                    if i > last:
+                        break
+                    if i <= last and run:
+                        text, run, held = text + ended(run) + held, 0, ""
+                    if zeros == 16:
+                        text, zeros, bits = text + sym(0xF0) + bits, 0, ""
+                    if v > 1:
+                        bits += str(v & 1)
+                    elif v == 0:
+                        zeros += 1
+                    else:
+                        text, zeros, bits = text + sym(zeros << 4 | 1) + str(int(b[band[0] + i] > 0)) + bits, 0, ""
+                if last < len(sizes) - 1:
+                    run, held = run + 1, held + "".join(str(v & 1) for v in sizes[last + 1 :] if v > 1)
+            return text + (ended(run) + held if run else "")
+
+        return write
+
+    scan(list(frame), (0, 0), 0, 1, mixed, dc)
+    for c, u, v, _ in frame.values():
+        rows, cols = -(-(-(-h * v // down)) // 8), -(-(-(-w * u // across)) // 8)
+        own = [planes[c][y, xx] for y in range(rows) for xx in range(cols)]
+        scan([c], (1, 5), 0, 2, own, first((1, 5), 2))
+        scan([c], (6, 63), 0, 2, own, first((6, 63), 2))
+        for low in (1, 0):
+            scan([c], (1, 63), low + 1, low, own, then((1, 63), low))
+    scan(list(frame), (0, 0), 1, 0, mixed, lambda units: "".join(str(int(b[0]) & 1) for unit in units for _, b in unit))
+    return out + b"\xff\xd9", whole
+
+
+@pytest.mark.parametrize("n", [1, 3])
+@pytest.mark.parametrize("subsampling", [(1, 1), (2, 1), (2, 2)])
+@pytest.mark.parametrize("restart", [0, 3])
+def test_progressive_streams(n, subsampling, restart):
+    for x, quality in ((smooth(45, 61, n), 80), (RNG.integers(0, 256, (19, 37, n)).astype("u1"), 100), (np.full((40, 300, n), 9, "u1"), 50)):
+        scans, whole = progressive(x, quality, subsampling if n > 1 else (1, 1), restart)
+        assert np.array_equal(jpeg.decode(scans), jpeg.decode(whole))
+    for cut in (0.03, 0.1, 0.3, 0.6, 0.9):  # what has come so far is a coarser image, or an error, and never hangs
+        with contextlib.suppress(jpeg.JpegError):
+            jpeg.decode(scans[: int(len(scans) * cut)])
+
+
+def test_twelve_bits():
+    y, x = np.mgrid[:37, :53]
+    deep = np.stack([(2048 + 1900 * np.sin(y / 7 + i) * np.cos(x / 9)) for i in range(3)], -1).astype("u2")
+    back = jpeg.decode(jpeg.encode(deep, 95))
+    assert back.dtype == np.uint16 and np.abs(back.astype(int) - deep).max() < 40
+    scans, whole = progressive(deep, 95)
+    assert np.array_equal(jpeg.decode(scans), jpeg.decode(whole))
+    r = container.parse(container.encode_pages([deep], compression=codecs.JPEG, bits=12, rows=16))
+    assert np.abs(container.decode_page(r, r.directories[0]).astype(int) - deep).max() < 250
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("bits", [10, 12, 14])
+def test_odd_depths(bits, order):
+    x = RNG.integers(0, 1 << bits, (9, 23, 3)).astype("u2")
+    r = container.parse(container.encode_pages([x], bits=bits, order=order, compression=codecs.DEFLATE_ADOBE))
+    assert np.array_equal(container.decode_page(r, r.directories[0]), x)
