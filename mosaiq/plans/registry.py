@@ -430,6 +430,21 @@ for _name, _how in _HOW.items():
         return raster.pixels(raster.scanlines(_files(s, d, **how))).withColumnRenamed("path", "block")
 
 
+@query("file_pixels_12bit", f"{_FILED} == SELECT block, dir_index, y, x, v*16 + x % 16 AS v FROM f", "block dir_index y x v")
+def _(s, d):
+    px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), (c("page") % 3).alias("dir_index"), F.lit(0).alias("plane"), "y", "x", (c("v") * 16 + c("x") % 16).alias("v"))
+    return raster.pixels(raster.scanlines(raster.encode_rasters(px, dtype="u2", bits=12, compression=codecs.LZW))).withColumnRenamed("path", "block")
+
+
+@query("file_ycbcr_thinned", f"""{X.GRAY} == SELECT y // {BLOCK} AS block, y % {BLOCK} AS y, x, unnest([0, 1, 2]) AS plane,
+    unnest([v, x // 2 * 3 % 256, y % {BLOCK} // 2 * 5 % 256]) AS v FROM gray""", "block y x plane v")
+def _(s, d):
+    chroma = C.idiv(c("x"), 2) * 3 % 256, C.idiv(c("y") % BLOCK, 2) * 5 % 256
+    px = X.gray8(s, d).select(C.idiv(c("y"), BLOCK).cast("string").alias("path"), F.lit(0).alias("dir_index"), "y", "x", F.posexplode(F.array("v", *chroma)).alias("plane", "v"))
+    files = raster.encode_rasters(px, photometric=6, subsampling=(2, 2), compression=codecs.DEFLATE_ADOBE)
+    return raster.pixels(raster.scanlines(files)).withColumnRenamed("path", "block")
+
+
 @query("file_window", f"{_FILED} == SELECT block, dir_index, y, x, v FROM f WHERE x BETWEEN 20 AND 29 AND y BETWEEN 8 AND 12 AND dir_index = 1", "block dir_index y x v")
 def _(s, d):
     lines = raster.scanlines(_files(s, d, tile=(16, 16)), pages=[1], window=(20, 8, 29, 12))

@@ -239,6 +239,7 @@ CODECS: dict[int, tuple[str, Decoder | None, Encoder | None]] = {
     CCITT_G4: ("ccitt-g4", *_fax("g4")),
     SGILOG: ("sgilog", logs.decode_sgilog, logs.encode_sgilog),
     JPEG: ("jpeg", jpeg.decode_chunk, jpeg.encode_chunk),
+    JPEG_OLD: ("jpeg-old", jpeg.decode_chunk, None),
     PIXARLOG: ("pixarlog", logs.decode_film, logs.encode_film),
 }
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from mosaiq.sources import codecs, logs
+from mosaiq.sources import codecs, logs, oldjpeg
 
 #: On-disk tag types: number -> (name, bytes, struct code).
 TYPES = {
@@ -255,6 +255,33 @@ def chunk_at(d: Directory, number: int) -> Chunk:
 DTYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (1, 64): "u8", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (2, 64): "i8", (3, 16): "f2", (3, 32): "f4", (3, 64): "f8"}
 
 
+def _thinned(d: Directory) -> tuple[int, int] | None:
+    """Columns and rows that share a chroma sample in chunks that are no JPEG; None where each pixel has its own."""
+    if d.get("photometric") != 6 or d.get("planar") == 2 or d.get("samples") != 3 or d.get("bits") != 8 or d.get("compression") in (codecs.JPEG, codecs.JPEG_OLD):
+        return None
+    by = tuple(d.many("ycbcr_subsampling")) or (2, 2)
+    if len(by) != 2 or not {*by} <= {1, 2, 4}:
+        raise FormatError("chroma is thinned by 1, 2 or 4")
+    return None if by == (1, 1) else by
+
+
+def _spread(units: np.ndarray, h: int, w: int, u: int, v: int) -> np.ndarray:
+    """(rows, columns, 3) of units, each pixel with the chroma of its block."""
+    blocks = units.reshape(-(-h // v), -(-w // u), u * v + 2)
+    light = blocks[:, :, : u * v].reshape(*blocks.shape[:2], v, u).transpose(0, 2, 1, 3).reshape(blocks.shape[0] * v, -1)
+    chroma = blocks[:, :, u * v :].repeat(v, axis=0).repeat(u, axis=1)
+    return np.dstack([light, chroma])[:h, :w]
+
+
+def _units(x: np.ndarray, u: int, v: int) -> np.ndarray:
+    """The inverse, of rows of units; a block's chroma is the rounded mean, and pixels at the edges are repeated to fill it."""
+    h, w = x.shape[:2]
+    full = np.pad(x, ((0, -h % v), (0, -w % u), (0, 0)), mode="edge")
+    cells = full.reshape(full.shape[0] // v, v, full.shape[1] // u, u, 3).transpose(0, 2, 1, 3, 4)
+    mean = np.floor(cells[..., 1:].mean(axis=(2, 3)) + 0.5).astype(np.uint8)
+    return np.concatenate([cells[..., 0].reshape(*cells.shape[:2], u * v), mean], axis=2).reshape(cells.shape[0], -1)
+
+
 def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) -> np.ndarray:
     """Samples of a chunk as (rows, columns, samples); bits under a byte are unpacked."""
     bits, per = d.get("bits"), 1 if d.get("planar") == 2 else d.get("samples")
@@ -270,8 +297,19 @@ def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) ->
         bits, per = 32, 3 if d.get("photometric") == logs.LOGLUV else 1
         row = c.w * per * 4
         size = row * c.h
+    how = {}
+    if scheme == codecs.JPEG_OLD:
+        raw, how["at"] = oldjpeg.chunk_stream(r.data, d.tags, raw, c.plane if d.get("planar") == 2 else None, (c.y0, c.x0, c.h, c.w), d.get("samples"), (d.get("length"), d.get("width")), d.get("photometric"))
+    thin = _thinned(d)
+    if thin:  # units of a block's luminance and its two chroma samples
+        if d.get("predictor") != 1:
+            raise FormatError("predictors of thinned chroma aren't supported")
+        row = -(-c.w // thin[0]) * (thin[0] * thin[1] + 2)
+        size = row * -(-c.h // thin[1])
     options = d.get("g3_options", 0) if scheme == codecs.CCITT_G3 else 0
-    data = codecs.decode(scheme, raw, size=size, row=row, width=c.w, rows=c.h, samples=per, bits=bits, order=r.order, photometric=d.get("photometric"), options=options, tables=(d.tags.get(347) or (0, 0, None))[2])[:size].ljust(size, b"\0")
+    data = codecs.decode(scheme, raw, size=size, row=row, width=c.w, rows=c.h, samples=per, bits=bits, order=r.order, photometric=d.get("photometric"), options=options, tables=(d.tags.get(347) or (0, 0, None))[2], **how)[:size].ljust(size, b"\0")
+    if thin:
+        return _spread(np.frombuffer(data, np.uint8), c.h, c.w, *thin)
     if (kind := d.get("predictor")) != 1:
         data = codecs.undo_predictor(kind, data, row, bits, per, r.order)
     if bits < 8 or bits in (10, 12, 14):
@@ -307,10 +345,11 @@ def packed(order: str, kind: int, values: list | str | bytes) -> tuple[int, byte
     return len(values), struct.pack(f"{order}{len(flat)}{TYPES[kind][2][0]}", *flat)
 
 
-def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int = 1, tile: tuple[int, int] | None = None, rows: int | None = None, planar: bool = False, order: str = "<", big: bool = False, photometric: int | None = None, bits: int | None = None, extra: dict[int, tuple[int, list | str | bytes]] | None = None) -> bytes:
+def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int = 1, tile: tuple[int, int] | None = None, rows: int | None = None, planar: bool = False, order: str = "<", big: bool = False, photometric: int | None = None, bits: int | None = None, extra: dict[int, tuple[int, list | str | bytes]] | None = None, subsampling: tuple[int, int] = (1, 1)) -> bytes:
     """A file of one directory for each page (rows, columns[, samples]). extra: more tags, number -> (type, values).
 
-    bits 1, 2, 4, 10, 12 or 14 packs samples; strips of about 8 KiB unless `rows` or `tile` (width, length) say otherwise.
+    bits 1, 2, 4, 10, 12 or 14 packs samples; subsampling (columns, rows) thins the chroma of 8-bit YCbCr
+    (photometric 6) in chunks that are no JPEG. Strips of about 8 KiB unless `rows` or `tile` (width, length) say otherwise.
     """
     mark, word, inline = (b"II" if order == "<" else b"MM"), ("Q" if big else "I"), (8 if big else 4)
     out = bytearray(mark + struct.pack(order + "H", 43 if big else 42) + (struct.pack(order + "HHQ", 8, 0, 0) if big else struct.pack(order + "I", 0)))
@@ -322,6 +361,11 @@ def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int =
         fmt = {"u": 1, "i": 2, "f": 3}[x.dtype.kind]
         per = 1 if planar else n
         tw, th = tile or (w, rows or max(1, min(h, 8192 // max(1, (w * per * size + 7) // 8))))
+        thin = photometric == 6 and subsampling != (1, 1)
+        if thin and not tile and not rows:
+            th = -(-th // subsampling[1]) * subsampling[1]
+        if thin and (n != 3 or size != 8 or planar or predictor != 1 or compression == codecs.JPEG or th % subsampling[1] and th < h or tile and tw % subsampling[0]):
+            raise FormatError("thinned chroma needs interleaved 8-bit YCbCr, no predictor and chunks of whole blocks")
         offsets, counts = [], []
         for plane in range(n if planar else 1):
             part = x[:, :, plane : plane + 1] if planar else x
@@ -336,6 +380,9 @@ def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int =
                         data = np.packbits(b.reshape(block.shape[0], -1).astype(np.uint8), axis=1).tobytes()
                     else:
                         data = block.astype(block.dtype.newbyteorder(order)).tobytes()
+                    if thin:
+                        units = _units(block, *subsampling)
+                        data, row = units.tobytes(), units.shape[1]
                     if predictor != 1:
                         data = codecs.apply_predictor(predictor, data, row, size, per, order)
                     data = codecs.encode(compression, data, row=row, width=block.shape[1], rows=block.shape[0], samples=per, bits=size, order=order, photometric=photometric, options=((extra or {}).get(292) or (4, [0]))[1][0])
@@ -346,6 +393,8 @@ def encode_pages(pages: list[np.ndarray], compression: int = 1, predictor: int =
         tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [size] * n), 259: (3, [compression]), 262: (3, [photometric if photometric is not None else (2 if n >= 3 else 1)]), 277: (3, [n]), 284: (3, [2 if planar else 1]), 339: (3, [fmt] * n)}
         if predictor != 1:
             tags[317] = (3, [predictor])
+        if photometric == 6:
+            tags[530] = (3, list(subsampling))
         where = 16 if big else 4
         tags |= {322: (4, [tw]), 323: (4, [th]), 324: (where, offsets), 325: (where, counts)} if tile else {273: (where, offsets), 278: (4, [th]), 279: (where, counts)}
         tags |= extra or {}

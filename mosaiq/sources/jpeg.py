@@ -6,6 +6,7 @@ lossless and hierarchical streams raise an error.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections import Counter
@@ -401,9 +402,13 @@ def pack12(x: np.ndarray) -> bytes:
     return np.packbits(bits.reshape(len(x), -1).astype(np.uint8), axis=1).tobytes()
 
 
+#: A page in one stream is asked for chunk by chunk; the last one stays decoded.
+_page = functools.lru_cache(maxsize=1)(decode)
+
+
 def decode_chunk(data: bytes, how: dict) -> bytes:
-    """Samples of a chunk; one smaller than its stream is cut, a larger one filled with zeros. 12-bit samples are packed."""
-    x = decode(data, how.get("tables"))
+    """Samples of a chunk, the part of its stream from `at` (row, column) on; beyond the stream they are zero. 12-bit samples are packed."""
+    x = _page(data) if "at" in how else decode(data, how.get("tables"))
     rows, width, per = how["rows"], how["width"], how.get("samples", 1)
     y0, x0 = how.get("at", (0, 0))
     x = x[y0 : y0 + rows, x0 : x0 + width, :per]

@@ -5,7 +5,7 @@ import contextlib
 import numpy as np
 import pytest
 
-from mosaiq.sources import codecs, container, fax, jpeg, logs, raster
+from mosaiq.sources import codecs, container, edits, fax, jpeg, logs, raster
 from mosaiq.streaming import arrivals
 
 RNG = np.random.default_rng(7)
@@ -334,3 +334,83 @@ def test_odd_depths(bits, order):
     x = RNG.integers(0, 1 << bits, (9, 23, 3)).astype("u2")
     r = container.parse(container.encode_pages([x], bits=bits, order=order, compression=codecs.DEFLATE_ADOBE))
     assert np.array_equal(container.decode_page(r, r.directories[0]), x)
+
+
+@pytest.mark.parametrize("by", [(2, 2), (2, 1), (4, 4), (1, 2)])
+@pytest.mark.parametrize("how", [{}, {"tile": (16, 32)}, {"rows": 8, "compression": codecs.LZW}])
+def test_thinned_chroma(by, how):
+    x = RNG.integers(0, 256, (21, 37, 3)).astype("u1")
+    r = container.parse(container.encode_pages([x], photometric=6, subsampling=by, **how))
+    d = r.directories[0]
+    got = container.decode_page(r, d)
+    assert np.array_equal(got[:, :, 0], x[:, :, 0])
+    if "tile" not in how:  # whole blocks: the rounded mean of what they hold
+        for y in range(0, 21 // by[1] * by[1], by[1]):
+            for x0 in range(0, 37 // by[0] * by[0], by[0]):
+                block = x[y : y + by[1], x0 : x0 + by[0], 1:].reshape(-1, 2)
+                assert (got[y : y + by[1], x0 : x0 + by[0], 1:] == np.floor(block.mean(axis=0) + 0.5)).all()
+    if not how:  # the layout, unit by unit
+        raw = r.data[d.many("strip_offsets")[0] :][: by[0] * by[1] + 2]
+        assert raw[: by[0] * by[1]] == x[: by[1], : by[0], 0].tobytes()
+
+
+def test_thinned_chroma_faults():
+    x = RNG.integers(0, 256, (20, 20, 3)).astype("u1")
+    for how in ({"rows": 3}, {"planar": True}, {"predictor": 2}, {"compression": codecs.JPEG}):
+        with pytest.raises(container.FormatError):
+            container.encode_pages([x], photometric=6, subsampling=(2, 2), **how)
+    r = container.parse(edits.set_tags(container.encode_pages([x], photometric=6), 0, {530: (3, [3, 1])}))
+    with pytest.raises(container.FormatError):
+        container.decode_page(r, r.directories[0])
+
+
+def old_jpeg(x, rows, subsampling, form):
+    """A file of the first form: `page` (one stream), `head` (a stream without scans, bare strips) or `tables` (tags point to tables)."""
+    streams = [jpeg.encode(x[y : y + rows], 90, subsampling) for y in range(0, len(x), rows)]
+    parts = [list(jpeg._segments(s)) for s in streams]
+    data = bytearray(container.encode_pages([x], photometric=6 if x.shape[2] == 3 else 1))
+    put = {259: (3, [codecs.JPEG_OLD]), 278: (4, [rows]), 530: (3, list(subsampling))}
+
+    def add(b):
+        data.extend(bytes(len(data) % 2))
+        at = len(data)
+        data.extend(b)
+        return at
+
+    bare = [next(p for m, _, p in s if m == 0xDA) for s in parts]
+    if form == "page":
+        put[513], put[514] = (4, [add(streams[0])]), (4, [len(streams[0])])
+        put[273], put[279] = (4, [put[513][1][0]]), (4, [len(streams[0])])
+    else:
+        put[273], put[279] = (4, [add(b) for b in bare]), (4, [len(b) for b in bare])
+        seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+        if form == "head":
+            head = b"\xff\xd8" + b"".join(seg(m, b) for m, b, _ in parts[0] if m != 0xDA or subsampling == (1, 1))
+            put[513], put[514] = (4, [add(head)]), (4, [len(head)])
+        else:
+            own = {(m, b[0]): b[1:] for m, b, _ in parts[0] if m in (0xDB, 0xC4)}
+            n = min(x.shape[2], 2)
+            for tag, m, base in ((519, 0xDB, 0), (520, 0xC4, 0), (521, 0xC4, 16)):
+                put[tag] = (4, [add(own[m, base + min(i, n - 1)]) for i in range(x.shape[2])])
+    return edits.set_tags(bytes(data), 0, put), streams
+
+
+@pytest.mark.parametrize("form", ["page", "head", "tables"])
+@pytest.mark.parametrize("n", [1, 3])
+@pytest.mark.parametrize("subsampling", [(1, 1), (2, 2)])
+def test_old_jpeg(form, n, subsampling):
+    by = subsampling if n == 3 else (1, 1)
+    half = smooth(32, 45, n)
+    x = half if form == "page" else np.vstack([half, half])  # equal strips have equal tables
+    content, streams = old_jpeg(x, 32, by, form)
+    r = container.parse(content)
+    want = np.vstack([jpeg.decode(s) for s in streams])
+    assert np.array_equal(container.decode_page(r, r.directories[0]), want)
+    if form == "page":  # the page's stream, asked for in strips of 16 rows
+        r = container.parse(edits.set_tags(content, 0, {278: (4, [16]), 273: (4, [8, 8]), 279: (4, [9, 9])}))
+        assert len(container.layout(r.directories[0])) == 2
+        assert np.array_equal(container.decode_page(r, r.directories[0]), want)
+    else:
+        r = container.parse(edits.set_tags(content, 0, {}, (513, 520)))
+        with pytest.raises(jpeg.JpegError):
+            container.decode_page(r, r.directories[0])
