@@ -9,6 +9,8 @@ from mosaiq.functions.color import gray_from_rgb, scale_palette
 
 #: A palette has an entry per sample value, and samples that index one have 16 bits at most: the broadcast's bound.
 PALETTE_LIMIT = 1 << 16
+#: Levels of a channel that share a cell in the search for the nearest entry.
+SIDE = 16
 
 
 def small(df: DataFrame, limit: int = PALETTE_LIMIT) -> DataFrame:
@@ -70,17 +72,26 @@ def composite(pixels: DataFrame, regions: DataFrame) -> DataFrame:
 def nearest_palette(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """For each different colour (r, g, b), the index of the palette entry at the least squared distance.
 
-    Ties go to the smallest index. Distinct colours come first, so that a pixel is never paired with the palette;
-    a colour has 24 bits and the palette's size is checked, so the work is bounded however many pixels there are.
+    Ties go to the smallest index. Distinct colours come first, so that a pixel is never paired with the palette, and a
+    colour is compared with those entries only that can be nearest to a colour of its cell (SIDE levels of each channel;
+    4,096 cells): whose least distance to the cell isn't over the largest distance that some entry has at most.
     """
     if len(palette.select(F.lit(1)).take(PALETTE_LIMIT + 1)) > PALETTE_LIMIT:
         raise ValueError(f"a palette has {PALETTE_LIMIT} entries at most")
     kinds = colors.select("r", "g", "b").distinct()
     entries = palette.agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("entries"))  # PALETTE_LIMIT at most
-    square = lambda a, b: (a - b) * (a - b)
-    far = lambda e: square(e["r"], F.col("r")) + square(e["g"], F.col("g")) + square(e["b"], F.col("b"))
-    best = F.array_min(F.transform("entries", lambda e: F.struct(far(e).alias("d"), e["idx"].alias("idx"))))
-    return kinds.crossJoin(F.broadcast(entries)).select("r", "g", "b", best.alias("best")).select("r", "g", "b", F.col("best.idx").alias("idx"), F.col("best.d").alias("distance"))
+    own = [F.floor(F.col(x) / SIDE).cast("long").alias(f"c{x}") for x in "rgb"]
+    gap = lambda e, x: F.greatest(F.col(f"c{x}") * SIDE - e[x], e[x] - F.col(f"c{x}") * SIDE - (SIDE - 1), F.lit(0))
+    reach = lambda e, x: F.greatest(e[x] - F.col(f"c{x}") * SIDE, F.col(f"c{x}") * SIDE + (SIDE - 1) - e[x])
+    squares = lambda parts: sum((p * p for p in parts[1:]), parts[0] * parts[0])
+    cells = kinds.select(*own).distinct().crossJoin(F.broadcast(entries))  # one row
+    most = F.array_min(F.transform("entries", lambda e: squares([reach(e, x) for x in "rgb"])))
+    # bound to a variable, for as a column it would be worked out for each entry
+    near = F.flatten(F.transform(F.array(most), lambda m: F.filter("entries", lambda e: squares([gap(e, x) for x in "rgb"]) <= m)))
+    cells = cells.select("cr", "cg", "cb", near.alias("near"))
+    met = kinds.select("r", "g", "b", *own).join(cells, ["cr", "cg", "cb"])
+    best = F.array_min(F.transform("near", lambda e: F.struct(squares([e[x] - F.col(x) for x in "rgb"]).alias("d"), e["idx"].alias("idx"))))
+    return met.select("r", "g", "b", best.alias("best")).select("r", "g", "b", F.col("best.idx").alias("idx"), F.col("best.d").alias("distance"))
 
 
 def quantise(pixels: DataFrame, palette: DataFrame) -> DataFrame:

@@ -94,3 +94,18 @@ def test_kernels(spark):
     assert one["p"] == 100 * 65793 + 255 * 16777216 and one["q"] == 255 * 16777216
     with pytest.raises(ValueError):
         color.rgba("none", F.lit(1))
+
+
+def test_nearest_palette_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    colors, entries = rng.integers(0, 256, (1500, 3)), rng.integers(0, 256, (70, 3))
+    entries[7] = entries[3]  # ties go to the smaller index
+    entries[20:40] = 128 + rng.integers(0, 5, (20, 3))  # many within one cell
+    colors[:9] = [[0, 0, 0], [255, 255, 255], [15, 16, 17], [16, 15, 31], [128, 128, 128], [143, 144, 0], *entries[:3].tolist()]
+    px = spark.createDataFrame([tuple(map(int, c)) for c in colors], "r int, g int, b int")
+    palette = spark.createDataFrame([(i, *map(int, e)) for i, e in enumerate(entries)], "idx int, r int, g int, b int")
+    got = {(r["r"], r["g"], r["b"]): (r["idx"], r["distance"]) for r in joins.nearest_palette(px, palette).collect()}
+    for c in colors:
+        far = ((entries - c) ** 2).sum(axis=1)
+        assert got[tuple(c.tolist())] == (int(far.argmin()), int(far.min()))
+    assert joins.nearest_palette(px.limit(0), palette).count() == 0
