@@ -581,7 +581,7 @@ def _near_trip(scheme: int) -> Callable[[SparkSession, str], DataFrame]:
 for _scheme, (_name, _dec, _enc) in list(codecs.CODECS.items()):
     if _scheme in (codecs.SGILOG, codecs.PIXARLOG):
         query(f"codec_near_{_name}", "== SELECT vec_id AS y, len(embedding) AS n, true AS near FROM embeddings", "y n", "near")(_near_trip(_scheme))
-    elif _dec and _enc and _scheme != codecs.JPEG:
+    elif _dec and _enc and _scheme not in (codecs.JPEG, codecs.SGILOG24):
         query(f"codec_roundtrip_{_name.replace('-', '_')}", f"{X.GRAY} == SELECT y, x, v FROM gray", "y x v")(_round_trip(_scheme))
 
 
@@ -600,6 +600,22 @@ def _(s, d):
     return R.scanlines(X.gray8(s, d)).select("y", F.size("samples").alias("n"), near("samples").alias("near"))
 
 
+@query("codec_near_sgilog24", f"{X.GRAY} == SELECT y, 64 AS n, true AS near FROM gray GROUP BY y", "y n", "near")
+def _(s, d):
+    @F.pandas_udf("boolean")
+    def near(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            y = np.asarray(row, np.float32) / np.float32(255) + np.float32(0.01)
+            x = np.stack([y * np.float32(0.95), y, y * np.float32(1.09)], axis=-1)
+            how = {"width": len(row), "rows": 1, "samples": 3, "bits": 32}
+            back = np.frombuffer(codecs.decode(codecs.SGILOG24, codecs.encode(codecs.SGILOG24, x.tobytes(), **how), **how), np.float32).reshape(-1, 3)
+            out.append(bool(np.allclose(back[:, 1], y, rtol=0.006) and np.allclose(back, x, rtol=0.05)))
+        return pd.Series(out)
+
+    return R.scanlines(X.gray8(s, d)).select("y", F.size("samples").alias("n"), near("samples").alias("near"))
+
+
 @query("file_rgba", f"{_FILED} == SELECT block, dir_index, y, x, v + (255 - v)*256 + (v*7 % 256)*65536 + 4278190080 AS abgr FROM f", "block dir_index y x abgr")
 def _(s, d):
     planes = F.posexplode(F.array(c("v"), 255 - c("v"), c("v") * 7 % 256)).alias("plane", "v")

@@ -238,6 +238,7 @@ CODECS: dict[int, tuple[str, Decoder | None, Encoder | None]] = {
     CCITT_G3: ("ccitt-g3", *_fax("g3")),
     CCITT_G4: ("ccitt-g4", *_fax("g4")),
     SGILOG: ("sgilog", logs.decode_sgilog, logs.encode_sgilog),
+    SGILOG24: ("sgilog24", logs.decode_sgilog24, logs.encode_sgilog24),
     JPEG: ("jpeg", jpeg.decode_chunk, jpeg.encode_chunk),
     JPEG_OLD: ("jpeg-old", jpeg.decode_chunk, None),
     PIXARLOG: ("pixarlog", logs.decode_film, logs.encode_film),

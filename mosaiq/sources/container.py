@@ -293,8 +293,9 @@ def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) ->
     if d.get("fill_order") == 2:
         raw = codecs.reverse_bits(raw)
     scheme = d.get("compression")
-    if scheme == codecs.SGILOG:  # the samples come out as floats, whatever the tags say
-        bits, per = 32, 3 if d.get("photometric") == logs.LOGLUV else 1
+    floats = scheme in (codecs.SGILOG, codecs.SGILOG24)
+    if floats:  # the samples come out as floats, whatever the tags say
+        bits, per = 32, 3 if d.get("photometric") == logs.LOGLUV or scheme == codecs.SGILOG24 else 1
         row = c.w * per * 4
         size = row * c.h
     how = {}
@@ -315,7 +316,7 @@ def decode_chunk(r: Raster, d: Directory, c: Chunk, max_alloc: int = 1 << 28) ->
     if bits < 8 or bits in (10, 12, 14):
         x = np.unpackbits(np.frombuffer(data, np.uint8).reshape(c.h, row), axis=1)[:, : c.w * per * bits].reshape(c.h, c.w, per, bits)
         return (x * (1 << np.arange(bits - 1, -1, -1))).sum(axis=3).astype(np.uint8 if bits < 8 else r.order + "u2")
-    if (dt := "f4" if scheme == codecs.SGILOG else DTYPES.get((d.get("sample_format"), bits)) or DTYPES.get((1, bits))) is None:
+    if (dt := "f4" if floats else DTYPES.get((d.get("sample_format"), bits)) or DTYPES.get((1, bits))) is None:
         raise FormatError(f"samples of {bits} bits aren't supported")
     return np.frombuffer(data, r.order + dt if bits > 8 else dt).reshape(c.h, c.w, per)
 

@@ -150,7 +150,7 @@ class Joiner:
     def tags_of(self, r: container.Raster, d: container.Directory) -> Tags:
         where = 16 if self.big else 4
         tags: Tags = {t: (kind, value) for t, (kind, _, value) in d.tags.items() if t not in (273, 279, 324, 325, *POINTERS.values())}
-        same = r.order == self.order or d.get("bits") <= 8 or d.get("compression") in (codecs.JPEG, codecs.SGILOG)
+        same = r.order == self.order or d.get("bits") <= 8 or d.get("compression") in (codecs.JPEG, codecs.SGILOG, codecs.SGILOG24)
         offsets, counts = [], []
         for c in container.layout(d):
             if same and c.bytecount:

@@ -414,3 +414,36 @@ def test_old_jpeg(form, n, subsampling):
         r = container.parse(edits.set_tags(content, 0, {}, (513, 520)))
         with pytest.raises(jpeg.JpegError):
             container.decode_page(r, r.directories[0])
+
+
+def test_chroma_cells():
+    n = logs.FIRST[-1] + logs.COUNTS[-1]
+    assert n == 16289
+    cells = np.arange(n)
+    u, v = logs.chroma_of(cells)
+    assert np.array_equal(logs.cells_of(u, v), cells)
+    assert [float(x) for x in logs.chroma_of(np.array([n, 16383]))[0]] == [logs.NEUTRAL[0]] * 2
+    # a colour outside goes to the border cell whose direction from neutral is nearest to its own
+    edge, at = [], 0
+    for i, many in enumerate(logs.COUNTS.tolist()):
+        edge += range(at, at + many) if i in (0, len(logs.COUNTS) - 1) else [at, at + many - 1]
+        at += many
+    eu, ev = logs.chroma_of(np.array(edge))
+    way = np.arctan2(ev - logs.NEUTRAL[1], eu - logs.NEUTRAL[0])
+    for angle in np.linspace(-3.1, 3.1, 80):
+        chosen = int(logs.cells_of(np.array([logs.NEUTRAL[0] + 2 * np.cos(angle)]), np.array([logs.NEUTRAL[1] + 2 * np.sin(angle)]))[0])
+        apart = np.abs(np.angle(np.exp(1j * (way - angle))))
+        assert abs(apart[edge.index(chosen)] - apart.min()) < 1e-9
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_short_log_pages(order):
+    light = RNG.random((9, 20, 1)).astype("f4") * 8 + 0.01
+    xyz = light * np.array([0.8, 1.0, 0.9], "f4") * (1 + 0.2 * RNG.random((9, 20, 3)).astype("f4"))
+    content = container.encode_pages([xyz], compression=codecs.SGILOG24, photometric=logs.LOGLUV, order=order, rows=4)
+    r = container.parse(content)
+    assert r.directories[0].many("strip_bytecounts") == [240, 240, 60]
+    got = container.decode_page(r, r.directories[0])
+    assert np.allclose(got[:, :, 1], xyz[:, :, 1], rtol=0.006) and np.allclose(got, xyz, rtol=0.06)
+    assert np.array_equal(logs.codes10(logs.luminance10(np.arange(1, 1023, dtype="u4") << 14)), np.arange(1, 1023))
+    assert not logs.xyz24(np.array([5], "u4")).any()
