@@ -104,6 +104,11 @@ class Raster:
     warnings: list[str]
 
 
+def _take(code: str, data: bytes, at: int) -> tuple:
+    """Values at a place; by slice, which a ranged.Ranged knows too."""
+    return struct.unpack(code, data[at : at + struct.calcsize(code)])
+
+
 def _value(data: bytes, order: str, kind: int, count: int, at: int, limit: int):
     name, size, code = TYPES[kind]
     if count * size > limit or at + count * size > len(data):
@@ -133,13 +138,13 @@ class Deferred:
             return [self[k] for k in range(*i.indices(self.count))]
         if not -self.count <= i < self.count:
             raise IndexError(i)
-        return struct.unpack_from(self.code, self.data, self.at + i % self.count * self.size)[0]
+        return _take(self.code, self.data, self.at + i % self.count * self.size)[0]
 
 
 def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False, at: int | None = None, defer: bool = False) -> Raster:
     """Header and all directories: the main chain, then sub-directories. Loops and beyond-limit values end in warnings.
 
-    at: begin with the directory at this offset in place of the first. defer: chunk offsets and byte counts stay in the
+    data: bytes, or a ranged.Ranged. at: begin with the directory at this offset in place of the first. defer: chunk offsets and byte counts stay in the
     file until they are asked for (chunk_at reads those of one chunk).
     """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -162,7 +167,7 @@ def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False, at: int |
         if at + head > len(data):
             warnings.append(f"directory at {at} is beyond the file")
             return None, 0
-        n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+        n = _take(order + ("Q" if big else "H"), data, at)[0]
         end = at + head + n * each
         if end > len(data):
             warnings.append(f"directory at {at} is cut off")
@@ -170,13 +175,13 @@ def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False, at: int |
         d = Directory(at, index, kind, parent)
         for i in range(n):
             pos = at + head + i * each
-            tag, typ, count = struct.unpack_from(order + code, data, pos)
+            tag, typ, count = _take(order + code, data, pos)
             if typ not in TYPES:
                 warnings.append(f"tag {tag}: unknown type {typ}")
                 continue
             size, place = TYPES[typ][1] * count, pos + each - inline
             if size > inline:
-                place = struct.unpack_from(order + ("Q" if big else "I"), data, place)[0]
+                place = _take(order + ("Q" if big else "I"), data, place)[0]
             try:
                 late = defer and tag in (273, 279, 324, 325) and size > inline and len(TYPES[typ][2]) == 1
                 d.tags.setdefault(tag, (typ, count, Deferred(data, order, typ, count, place) if late else _value(data, order, typ, count, place, max_alloc)))
@@ -184,7 +189,7 @@ def parse(data: bytes, max_alloc: int = 1 << 28, strict: bool = False, at: int |
                 if strict:
                     raise
                 warnings.append(f"tag {tag}: {e}")
-        nxt = struct.unpack_from(order + ("Q" if big else "I"), data, end)[0] if end + inline <= len(data) else 0
+        nxt = _take(order + ("Q" if big else "I"), data, end)[0] if end + inline <= len(data) else 0
         return d, nxt
 
     at, index = first, 0
@@ -241,15 +246,31 @@ def layout(d: Directory) -> list[Chunk]:
     return out
 
 
-def chunk_at(d: Directory, number: int) -> Chunk:
-    """One chunk of a directory, by its number; of deferred arrays, only its own two values are read."""
+def _grid(d: Directory) -> tuple[int, int, int, int]:
+    """Columns and rows of a chunk, and chunks across and down; zeros where there are none."""
     w, h, tiled = d.get("width", 0), d.get("length", 0), NUMBER["tile_width"] in d.tags
-    offsets, counts = (d.many("tile_offsets"), d.many("tile_bytecounts")) if tiled else (d.many("strip_offsets"), d.many("strip_bytecounts"))
     tw, th = (d.get("tile_width"), d.get("tile_length")) if tiled else (w, min(d.get("rows_per_strip", h) or h, h) or 1)
-    across, down = -(-w // tw), -(-h // th)
+    return (tw, th, -(-w // tw), -(-h // th)) if w and h and tw and th else (0, 0, 0, 0)
+
+
+def chunk_count(d: Directory) -> int:
+    """As many as layout gives, without reading deferred arrays."""
+    _, _, across, down = _grid(d)
+    offsets = d.many("tile_offsets") if NUMBER["tile_width"] in d.tags else d.many("strip_offsets")
+    return min(len(offsets), across * down * (d.get("samples") if d.get("planar") == 2 else 1))
+
+
+def chunk_at(d: Directory, number: int) -> Chunk:
+    """One chunk of a directory, by its number; of deferred arrays, only its own two values are read, unless the file doesn't tell its size."""
+    h, tiled = d.get("length", 0), NUMBER["tile_width"] in d.tags
+    offsets, counts = (d.many("tile_offsets"), d.many("tile_bytecounts")) if tiled else (d.many("strip_offsets"), d.many("strip_bytecounts"))
+    tw, th, across, down = _grid(d)
     plane, k = divmod(number, across * down)
     ty, tx = divmod(k, across)
-    return Chunk(plane, number, tx * tw, ty * th, tw, th if tiled else min(th, h - ty * th), offsets[number], counts[number])
+    at, size = offsets[number], counts[number] if number < len(counts) else 0
+    if not size:
+        size = min((o for o in offsets if o > at), default=at) - at
+    return Chunk(plane, number, tx * tw, ty * th, tw, th if tiled else min(th, h - ty * th), at, size)
 
 
 DTYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (1, 64): "u8", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (2, 64): "i8", (3, 16): "f2", (3, 32): "f4", (3, 64): "f8"}

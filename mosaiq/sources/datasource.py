@@ -6,6 +6,9 @@
 Filters on path, dir_index and y reach the reader (with spark.sql.python.filterPushdown.enabled): files and pages
 that can't match aren't decoded, nor are chunks outside the rows asked for. Files come through pyarrow's file systems;
 for a store that only Spark reads, use raster.read_files.
+
+Of a large file, directories and tags are read without the chunks, and chunks and scanlines by several tasks, each of
+which reads its own range of chunks only.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from mosaiq.sources import container, raster
+from mosaiq.sources import container, ranged, raster
 
 TABLES = {"directories": raster.DIRECTORIES, "tags": raster.TAGS, "chunks": raster.CHUNKS, "scanlines": raster.SCANLINES}
-#: Bytes of files that one task reads, unless a single file is larger.
+#: Bytes of files that one task reads; larger files are divided by their chunks.
 TASK_BYTES = 128 << 20
 
 
@@ -33,14 +36,15 @@ def _store(path: str):
 @dataclass
 class Files(InputPartition):
     names: list[str]
+    part: tuple[int, int]
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], part: tuple[int, int] = (0, 1)):
         super().__init__(0)
-        self.names = names
+        self.names, self.part = names, part
 
 
 class RasterSource(DataSource):
-    """Options: path; table, one of directories (the default), tags, chunks, scanlines; glob; mode, PERMISSIVE or FAILFAST; maxAlloc."""
+    """Options: path; table, one of directories (the default), tags, chunks, scanlines; glob; mode, PERMISSIVE or FAILFAST; maxAlloc; taskBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,6 +65,7 @@ class RasterReader(DataSourceReader):
         self.folder, self.glob = options["path"], options.get("glob", "*")
         self.table, self.strict = options.get("table", "directories"), options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.max_alloc = int(options.get("maxalloc", options.get("maxAlloc", 1 << 28)))
+        self.task_bytes = int(options.get("taskbytes", options.get("taskBytes", TASK_BYTES)))
         self.only: dict[str, set] = {}
         self.low: dict[str, int] = {}
         self.high: dict[str, int] = {}
@@ -90,7 +95,11 @@ class RasterReader(DataSourceReader):
         for f in sorted(found, key=lambda x: x.path):
             if f.type != fs.FileType.File or not fnmatch(f.base_name, self.glob) or "path" in self.only and f.path not in self.only["path"]:
                 continue
-            if held and size + f.size > TASK_BYTES:
+            if f.size > self.task_bytes and self.table in ("chunks", "scanlines"):
+                n = -(-f.size // self.task_bytes)
+                out += [Files([f.path], (k, n)) for k in range(n)]
+                continue
+            if held and size + f.size > self.task_bytes:
                 out.append(Files(held))
                 held, size = [], 0
             held.append(f.path)
@@ -103,19 +112,20 @@ class RasterReader(DataSourceReader):
         window = (0, self.low.get("y", 0), 1 << 62, self.high.get("y", 1 << 62)) if self.low or self.high else None
         for name in partition.names:
             with store.open_input_file(name) as f:
-                content = f.read()
-            if self.strict:
-                container.parse(content, self.max_alloc, strict=True)
-            if self.table == "directories":
-                rows = raster.directory_rows(name, content, self.max_alloc)
-            elif self.table == "tags":
-                rows = raster.tag_rows(name, content, self.max_alloc)
-            elif self.table == "chunks":
-                rows = raster.chunk_rows(name, content, pages)
-            else:
-                rows = raster.scanline_rows(name, content, pages, window)
-            at = {"directories": 1, "tags": 2, "chunks": 1, "scanlines": 1}[self.table]
-            yield from (r for r in rows if pages is None or r[at] in pages)
+                whole = partition.part[1] == 1 and self.table in ("chunks", "scanlines")
+                content = f.read() if whole else ranged.Ranged(f, f.size())
+                if self.strict:
+                    container.parse(content, self.max_alloc, strict=True)
+                if self.table == "directories":
+                    rows = raster.directory_rows(name, content, self.max_alloc)
+                elif self.table == "tags":
+                    rows = raster.tag_rows(name, content, self.max_alloc)
+                elif self.table == "chunks":
+                    rows = raster.chunk_rows(name, content, pages, part=partition.part)
+                else:
+                    rows = raster.scanline_rows(name, content, pages, window, partition.part)
+                at = {"directories": 1, "tags": 2, "chunks": 1, "scanlines": 1}[self.table]
+                yield from (r for r in rows if pages is None or r[at] in pages)
 
 
 @dataclass

@@ -59,7 +59,7 @@ def directory_rows(path: str, content: bytes, max_alloc: int = 1 << 28) -> Itera
         return
     for d in r.directories:
         first = lambda n: (lambda v: int(v[0] if isinstance(v, (list, tuple)) else v) if v is not None and v != [] else None)(d.get(n))  # noqa: B023, E731
-        yield (path, d.index, d.offset, d.parent, d.kind, r.order, r.big, *(first(n) for n in ("width", "length", "bits", "samples", "compression", "photometric", "planar", "orientation", "sample_format", "predictor", "rows_per_strip", "tile_width", "tile_length")), len(container.layout(d)), r.warnings, None)
+        yield (path, d.index, d.offset, d.parent, d.kind, r.order, r.big, *(first(n) for n in ("width", "length", "bits", "samples", "compression", "photometric", "planar", "orientation", "sample_format", "predictor", "rows_per_strip", "tile_width", "tile_length")), container.chunk_count(d), r.warnings, None)
 
 
 def tag_rows(path: str, content: bytes, max_alloc: int = 1 << 28) -> Iterator[tuple]:
@@ -72,33 +72,37 @@ def tag_rows(path: str, content: bytes, max_alloc: int = 1 << 28) -> Iterator[tu
             yield path, d.offset, d.index, d.kind, tag, container.tag_name(tag, d.kind), container.TYPES[typ][0], count, json.dumps(value.hex() if isinstance(value, bytes) else value)
 
 
-def chunk_rows(path: str, content: bytes, pages=None, raw: bool = True) -> Iterator[tuple]:
+def page_chunks(content: bytes, pages: list[int] | None, part: tuple[int, int]) -> Iterator[tuple[container.Raster, container.Directory, container.Chunk]]:
+    """Chunks of a file's pages, in order; of part (k, n), the k-th of n equal ranges. A file that can't be read has none."""
     try:
-        r = container.parse(content)
+        r = container.parse(content, defer=part[1] > 1)
     except container.FormatError:
         return
-    for d in r.directories:
-        if d.kind == "main" and (pages is None or d.index in pages):
-            for c in container.layout(d):
-                yield path, d.index, c.plane, c.number, c.x0, c.y0, c.w, c.h, c.offset, c.bytecount, r.data[c.offset : c.offset + c.bytecount] if raw else None
+    main = [d for d in r.directories if d.kind == "main" and (pages is None or d.index in pages)]
+    counts = [container.chunk_count(d) for d in main]
+    low, high = (sum(counts) * (part[0] + i) // part[1] for i in (0, 1))
+    for d, n in zip(main, counts, strict=True):
+        if part[1] == 1:
+            yield from ((r, d, c) for c in container.layout(d))
+        else:
+            yield from ((r, d, container.chunk_at(d, k)) for k in range(max(low, 0), min(high, n)))
+        low, high = low - n, high - n
 
 
-def scanline_rows(path: str, content: bytes, pages=None, window: tuple[int, int, int, int] | None = None) -> Iterator[tuple]:
-    try:
-        r = container.parse(content)
-    except container.FormatError:
-        return
-    for d in r.directories:
-        if d.kind != "main" or pages is not None and d.index not in pages:
-            continue
+def chunk_rows(path: str, content: bytes, pages=None, raw: bool = True, part: tuple[int, int] = (0, 1)) -> Iterator[tuple]:
+    for r, d, c in page_chunks(content, pages, part):
+        yield path, d.index, c.plane, c.number, c.x0, c.y0, c.w, c.h, c.offset, c.bytecount, r.data[c.offset : c.offset + c.bytecount] if raw else None
+
+
+def scanline_rows(path: str, content: bytes, pages=None, window: tuple[int, int, int, int] | None = None, part: tuple[int, int] = (0, 1)) -> Iterator[tuple]:
+    for r, d, c in page_chunks(content, pages, part):
         w, h = d.get("width"), d.get("length")
-        for c in container.layout(d):
-            if window and (c.x0 > window[2] or c.y0 > window[3] or c.x0 + c.w <= window[0] or c.y0 + c.h <= window[1]):
-                continue
-            x = container.decode_chunk(r, d, c)
-            for k in range(min(c.h, h - c.y0)):
-                for s in range(x.shape[2]):
-                    yield path, d.index, c.plane if d.get("planar") == 2 else s, c.y0 + k, c.x0, x[k, : min(c.w, w - c.x0), s].astype(float).tolist()
+        if window and (c.x0 > window[2] or c.y0 > window[3] or c.x0 + c.w <= window[0] or c.y0 + c.h <= window[1]):
+            continue
+        x = container.decode_chunk(r, d, c)
+        for k in range(min(c.h, h - c.y0)):
+            for s in range(x.shape[2]):
+                yield path, d.index, c.plane if d.get("planar") == 2 else s, c.y0 + k, c.x0, x[k, : min(c.w, w - c.x0), s].astype(float).tolist()
 
 
 def directories(files: DataFrame, max_alloc: int = 1 << 28) -> DataFrame:

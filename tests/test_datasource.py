@@ -1,9 +1,11 @@
 """The data source, its filters, and the sink."""
 
+import io
+
 import numpy as np
 import pytest
 
-from mosaiq.sources import container, datasource, raster
+from mosaiq.sources import container, datasource, ranged, raster
 
 RNG = np.random.default_rng(5)
 
@@ -55,3 +57,54 @@ def test_sink(spark, folder, tmp_path):
     raster.read_files(spark, str(path), "*.tif").repartition(2).write.format("raster_files").mode("append").save(str(out))
     assert sorted(p.name for p in out.iterdir()) == ["a.tif", "b.tif"]
     assert (out / "a.tif").read_bytes() == (path / "a.tif").read_bytes()
+
+
+@pytest.mark.parametrize("how", [{"rows": 3}, {"tile": (16, 16)}, {"planar": True, "rows": 7, "big": True, "order": ">"}])
+def test_large_files_are_divided(tmp_path, how):
+    pages = [RNG.integers(0, 255, (130, 70, 3)).astype("u1"), RNG.integers(0, 255, (41, 33)).astype("u1")]
+    (tmp_path / "a.tif").write_bytes(container.encode_pages(pages, **how))
+    size = (tmp_path / "a.tif").stat().st_size
+    for table in ("chunks", "scanlines", "directories", "tags"):
+        whole = datasource.RasterReader({"path": str(tmp_path), "table": table})
+        want = [r for p in whole.partitions() for r in whole.read(p)]
+        reader = datasource.RasterReader({"path": str(tmp_path), "table": table, "taskBytes": str(size // 9)})
+        parts = reader.partitions()
+        assert len(parts) == (10 if table in ("chunks", "scanlines") else 1)
+        each = [list(reader.read(p)) for p in parts]
+        assert [r for rows in each for r in rows] == want
+        if len(parts) > 1:
+            assert max(map(len, each)) <= 2 * min(map(len, each)) + 64 * 3
+
+
+def test_ranged_reads():
+    data = RNG.integers(0, 255, 3 * ranged.BLOCK + 77).astype("u1").tobytes()
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            Counted.read_bytes += n
+            return super().read(n)
+
+    part = ranged.Ranged(Counted(data), len(data))
+    b = ranged.BLOCK
+    for low, high in ((None, 2), (0, 8), (b - 3, b + 5), (b, 2 * b), (10, 2 * b + 9), (3 * b + 70, 3 * b + 99), (9 * b, 9 * b + 4), (5, 5), (9, 5)):
+        assert part[low:high] == data[low:high]
+    assert len(part) == len(data)
+    # the directories of a large file cost a few blocks, a single chunk little more
+    page = RNG.integers(0, 255, (4000, 500)).astype("u1")
+    content = container.encode_pages([page], rows=8)
+    Counted.read_bytes = 0
+    r = container.parse(ranged.Ranged(Counted(content), len(content)), defer=True)
+    d = r.directories[0]
+    c = container.chunk_at(d, container.chunk_count(d) // 2)
+    assert np.array_equal(container.decode_chunk(r, d, c)[:, :, 0], page[c.y0 : c.y0 + c.h])
+    assert Counted.read_bytes <= 4 * ranged.BLOCK < len(content)
+
+
+def test_chunks_of_unknown_size():
+    content = container.encode_pages([RNG.integers(0, 255, (40, 9)).astype("u1")], rows=4)
+    whole = container.parse(content).directories[0]
+    for d in (container.parse(content).directories[0], container.parse(content, defer=True).directories[0]):
+        del d.tags[279]
+        assert [container.chunk_at(d, k) for k in range(container.chunk_count(d))][:-1] == container.layout(whole)[:-1]
