@@ -65,6 +65,44 @@ def sections(pixels: DataFrame, w: int, h: int, cols: int, rows: int) -> DataFra
     return pixels.withColumns({"section": sy * cols + sx, "x": F.col("x") - sx * sw, "y": F.col("y") - sy * sh})
 
 
+#: Width and length of papers in inches.
+PAPERS = {
+    "default": (8.5, 14), "pa4": (8.264, 11), "letter": (8.5, 11), "legal": (8.5, 14), "half-letter": (8.5, 5.514), "executive": (7.264, 10.528),
+    "tabloid": (11, 17), "11x17": (11, 17), "ledger": (17, 11), "archa": (9, 12), "archb": (12, 18), "archc": (18, 24),
+    "archd": (24, 36), "arche": (36, 48), "csheet": (17, 22), "dsheet": (22, 34), "esheet": (34, 44), "superb": (11.708, 17.042),
+    "commercial": (4.139, 9.528), "monarch": (3.889, 7.528), "envelope-dl": (4.333, 8.681), "envelope-c5": (6.389, 9.028), "europostcard": (4.139, 5.833), "a0": (33.11, 46.811),
+    "a1": (23.386, 33.11), "a2": (16.535, 23.386), "a3": (11.693, 16.535), "a4": (8.268, 11.693), "a5": (5.827, 8.268), "a6": (4.134, 5.827),
+    "a7": (2.913, 4.134), "a8": (2.047, 2.913), "a9": (1.457, 2.047), "a10": (1.024, 1.457), "b0": (39.37, 55.669), "b1": (27.835, 39.37),
+    "b2": (19.685, 27.835), "b3": (13.898, 19.685), "b4": (9.843, 13.898), "b5": (6.929, 9.843), "b6": (4.921, 6.929), "c0": (36.102, 51.063),
+    "c1": (25.512, 36.102), "c2": (18.031, 25.512), "c3": (12.756, 18.031), "c4": (9.016, 12.756), "c5": (6.378, 9.016), "c6": (4.488, 6.378),
+}
+
+
+def page_size(w: int, h: int, paper: str | tuple[float, float], dpi: tuple[float, float], margins: tuple[float, float] = (0, 0), turned: bool | None = False) -> tuple[int, int]:
+    """Columns and rows of a raster that one sheet takes: its size less margins (across, down) on either side.
+
+    paper: a name of PAPERS, or width and length in the unit that dpi counts pixels by, as margins are. turned: the sheet lies
+    on its side; None: it lies so unless it takes fewer sheets upright.
+    """
+    size = PAPERS[paper] if isinstance(paper, str) else paper
+    edges = [int(m * r) for m, r in zip(margins, dpi, strict=True)]
+    if any(2 * e > s * r for e, s, r in zip(edges, size, dpi, strict=True)):
+        raise ValueError("margins exceed the sheet")
+    pw, ph = (min(int(s * r - 2 * e), n) for e, s, r, n in zip(edges, size, dpi, (w, h), strict=True))
+    if pw < 1 or ph < 1:
+        raise ValueError("a sheet holds no pixel")
+    if turned is None:
+        turned = -(-w // pw) * -(-h // ph) >= -(-w // ph) * -(-h // pw)
+    return (ph, pw) if turned else (pw, ph)
+
+
+def page_sections(pixels: DataFrame, w: int, h: int, paper: str | tuple[float, float], dpi: tuple[float, float], margins: tuple[float, float] = (0, 0), turned: bool | None = False) -> DataFrame:
+    """Pixels with the number of the sheet that they are printed on (row by row) and coordinates on it; see page_size."""
+    pw, ph = page_size(w, h, paper, dpi, margins, turned)
+    sx, sy = idiv(F.col("x"), pw), idiv(F.col("y"), ph)
+    return pixels.withColumns({"section": sy * -(-w // pw) + sx, "x": F.col("x") - sx * pw, "y": F.col("y") - sy * ph})
+
+
 def tile_index(x: Column, y: Column, w: int, h: int, tw: int, th: int, plane: Column | int = 0, z: Column | int = 0, depth: int = 1) -> Column:
     """Number of the tile that holds a sample, in a raster of planes of depth layers."""
     across, down = ((idiv(n + (t - 1), t) if isinstance(n, Column) else -(-n // t)) for n, t in ((w, tw), (h, th)))

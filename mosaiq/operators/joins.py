@@ -60,13 +60,14 @@ def regions_of(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     return out.withColumns({"x": F.col("x") - F.col("x1"), "y": F.col("y") - F.col("y1")}).drop("x1", "y1", "x2", "y2")
 
 
-def composite(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Regions stacked below each other in order of region_id, as one raster."""
+def composite(pixels: DataFrame, regions: DataFrame, edge: str = "top") -> DataFrame:
+    """Regions in order of region_id as one raster: below each other (edge top, bottom) or side by side (left, right)."""
     from pyspark.sql import Window
 
-    below = F.sum(F.col("y2") - F.col("y1") + 1).over(Window.orderBy("region_id")) - (F.col("y2") - F.col("y1") + 1)
-    placed = regions.withColumn("base", F.coalesce(below, F.lit(0)))  # a few typed rows: one partition is enough
-    return regions_of(pixels, placed).withColumn("y", F.col("y") + F.col("base")).drop("base", "region_id")
+    axis = {"top": "y", "bottom": "y", "left": "x", "right": "x"}[edge]
+    size = F.col(f"{axis}2") - F.col(f"{axis}1") + 1
+    placed = regions.withColumn("base", F.sum(size).over(Window.orderBy("region_id")) - size)  # a few typed rows: one partition is enough
+    return regions_of(pixels, placed).withColumn(axis, F.col(axis) + F.col("base")).drop("base", "region_id")
 
 
 def nearest_palette(colors: DataFrame, palette: DataFrame) -> DataFrame:

@@ -192,6 +192,18 @@ def _(s, d):
     return J.composite(X.gray8(s, d), _regions(s))
 
 
+@query("composite_beside", f"{X.GRAY}, {_REG}, b AS (SELECT *, coalesce(sum(x2 - x1 + 1) OVER (ORDER BY region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM reg) == SELECT y - y1 AS y, x - x1 + base AS x, v FROM gray JOIN b ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2", "y x v")
+def _(s, d):
+    return J.composite(X.gray8(s, d), _regions(s), "left")
+
+
+# a5 at 4 dots an inch with margins of half an inch: 23 less 2 * 2 by 33 less 2 * 2
+@query("page_sections", f"{X.RGB} == SELECT (y // 29)*3 + x // 19 AS section, count(*) AS n, sum(x % 19) AS sx, sum(y % 29) AS sy FROM rgb GROUP BY 1", "section n sx sy")
+def _(s, d):
+    px = G.page_sections(X.rgb8(s, d), X.RGB_WIDTH, X.rows_of_rgb(s, d), "a5", (4, 4), (0.5, 0.5))
+    return px.groupBy("section").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
 @query("sections", f"{X.RGB}, h AS (SELECT (max(y) + 3) // 3 AS sh FROM rgb) == SELECT (y // sh)*3 + x // 17 AS section, count(*) AS n, sum(x % 17) AS sx, sum(y % sh) AS sy FROM rgb, h GROUP BY 1", "section n sx sy")
 def _(s, d):
     px = G.sections(X.rgb8(s, d), X.RGB_WIDTH, X.rows_of_rgb(s, d), 3, 3)

@@ -109,3 +109,14 @@ def test_nearest_palette_equals_brute_force(spark):
         far = ((entries - c) ** 2).sum(axis=1)
         assert got[tuple(c.tolist())] == (int(far.argmin()), int(far.min()))
     assert joins.nearest_palette(px.limit(0), palette).count() == 0
+
+
+def test_sheets():
+    assert geometry.page_size(50, 5000, "a5", (4, 4), (0.5, 0.5)) == (19, 29)
+    assert geometry.page_size(50, 5000, "a5", (4, 4), (0.5, 0.5), True) == (29, 19)
+    assert geometry.page_size(100, 100, (30, 60), (1, 1), turned=None) == (60, 30)  # 8 sheets either way
+    assert geometry.page_size(90, 100, (30, 60), (1, 1), turned=None) == (30, 60)  # 6 sheets upright, 8 turned
+    assert geometry.page_size(20, 10, "letter", (72, 72)) == (20, 10)
+    for bad in ({"margins": (5, 0)}, {"margins": (4.25, 0)}):
+        with pytest.raises(ValueError):
+            geometry.page_size(500, 500, "letter", (72, 72), **bad)
