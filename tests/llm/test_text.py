@@ -447,3 +447,34 @@ def test_shared_prefixes_equal_merging():
     made = sorted({spiece.MARK + "".join(rng.choice("ethrinaos") for _ in range(rng.randint(1, 12))) for _ in range(400)})
     got = own.viterbi.encode_sorted(made)
     assert all(got[w] == own.pieces.merged(w) for w in made)
+
+
+def test_quality_every_language_has_common_words(spark, monkeypatch):
+    """Junk in the smallest of 14 languages is found, and lists of words give what the table of words gives."""
+    own = [["".join(random.Random(f"{x} {i}").choices("abcdefghijklmnopqrstuvwxyz", k=5)) for i in range(60)] for x in range(14)]
+    rows = []
+    for x, lex in enumerate(own):
+        rng = random.Random(x)
+        rows += [(100 * x + i, f"l{x:02}" if x != 9 else None, " ".join(rng.choices(lex, range(60, 0, -1), k=100))) for i in range(20 - x)]
+    rows += [(5000, "l13", " ".join(f"{own[13][23]} {own[13][22]} " + "".join(random.Random(i).choices("klmnop", k=8)) for i in range(40))), (5001, "l13", ""), (5002, "new", " ".join(own[3]))]
+    rows += [rows[0]]
+    df = spark.createDataFrame([(d, t, x) for d, x, t in rows], "doc_id long, text string, lang string")
+    assert quality.common_words(df) is None
+    monkeypatch.setattr(quality, "LANGUAGES", None)
+    expected = sorted((x[0], x[4], x[5], x[2], x[3]) for x in plain_quality(rows))
+    assert {e[2] for e in expected if e[0] // 100 < 50 and e[0] // 100 != 9} == {True}  # null lang: far from all rows
+    assert [e[1:3] for e in expected if e[0] == 5000] == [(False, False)]
+    for most in (quality.WORDS, 10**6):
+        got = sorted(tuple(r) for r in quality.quality(df, most=most).select("doc_id", "base_failed", "kept", "char_distance", "word_distance").collect())
+        assert [g[:3] for g in got] == [e[:3] for e in expected] and np.allclose([g[3:] for g in got], [e[3:] for e in expected], atol=1e-6)
+
+
+def test_quality_word_table_equals_lists(spark, docs, odd, empty):
+    for df in (docs, odd, empty):
+        near = lambda most: sorted((repr(tuple(r)[:7]), r["kept"], r["char_distance"], r["word_distance"]) for r in quality.quality(df, most=most).collect())  # noqa: B023, E731
+        a, b = near(-1), near(quality.WORDS)
+        assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2:] for x in a], [x[2:] for x in b], atol=1e-6)
+    # references and words joined by shuffle
+    words = quality.vocabulary(docs)
+    near = lambda most: sorted((r["doc_id"], r["common_sum"], r["word_distance"]) for r in quality._by_table(docs, words, 0.2, most).collect())
+    assert near(0) == near(10**6)
