@@ -120,12 +120,12 @@ def lab_to_xyz(lightness: Column, a: Column, b: Column, white: tuple[float, floa
     return cube(fy + a / 500.0, white[0]), y, cube(fy - b / 200.0, white[2])
 
 
-def xyz_to_rgb24(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """CCIR-709 primaries with a square-root gamma, 0..255."""
+def xyz_to_rgb24(x: Column, y: Column, z: Column, white: float = 1.0) -> tuple[Column, Column, Column]:
+    """CCIR-709 primaries with a square-root gamma, 0..255. white: what stands for 1 in x, y and z; each product is divided by it, since codes at a border turn on the last bit."""
     rows = ((2.690, -1.276, -0.414), (-1.022, 1.978, 0.044), (0.061, -0.224, 1.163))
     out = []
     for p, q, s in rows:
-        v = p * x + q * y + s * z
+        v = p * x / white + q * y / white + s * z / white
         out.append(F.when(v <= 0, 0).when(v >= 1, 255).otherwise(F.floor(256 * F.sqrt(F.greatest(v, F.lit(0.0))))).cast("int"))
     return tuple(out)
 

@@ -396,7 +396,7 @@ _LIGHT = ("2.690e0*r/255 + -1.276e0*g/255 + -0.414e0*b/255", "-1.022e0*r/255 + 1
 
 @query("xyz_to_rgb24", f"{X.RGB} == SELECT y, x, " + ", ".join(f"CASE WHEN {e} <= 0 THEN 0 WHEN {e} >= 1 THEN 255 ELSE floor(256*sqrt(greatest({e}, 0))) END AS {n}" for e, n in zip(_LIGHT, ("r2", "g2", "b2"), strict=True)) + " FROM (SELECT y, x, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM rgb)", "y x r2 g2 b2")
 def _(s, d):
-    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.xyz_to_rgb24(c("r") / 255, c("g") / 255, c("b") / 255), strict=True)))
+    return X.rgb8(s, d).select("y", "x", *(v.alias(k) for k, v in zip(("r2", "g2", "b2"), C.xyz_to_rgb24(c("r"), c("g"), c("b"), 255), strict=True)))
 
 
 @query("logl10_to_y", f"{X.GRAY} == SELECT y, x, CASE WHEN v = 0 THEN 0.0 ELSE round(exp(0.693147180559945309417/64.0*(v*4 + 0.5) - 0.693147180559945309417*12.0), 9) END AS lum FROM gray", "y x", "lum")

@@ -58,6 +58,21 @@ def test_file_rgba_draws_all_pages(spark, sf_dir):
     assert got.count() == 64 * n and {r["dir_index"] for r in got.select("dir_index").distinct().collect()} == {0, 1, 2}
 
 
+def test_xyz_to_rgb24_borders(spark, tmp_path):
+    """Colours with a light of exactly 1/4 in a channel, the border of codes 127 and 128; 183 * 7 is 1 modulo 256."""
+    rows_ = ((2690, -1276, -414), (-1022, 1978, 44), (61, -224, 1163))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE cube AS SELECT i // 65536 AS r, i // 256 % 256 AS g, i % 256 AS b FROM range(16777216) t(i)")
+    border = db.execute("SELECT r, g, b FROM cube WHERE " + " OR ".join(f"{p}*r + {q}*g + {s}*b = 63750" for p, q, s in rows_) + " ORDER BY ALL").fetchall()
+    orders = [(b * 183 % 256 + 256 * i, r, float(g)) for i, (r, g, b) in enumerate(border)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    expected = db.execute(f"SELECT y, x, r2, g2, b2 FROM ({registry.ORACLE_SQL['xyz_to_rgb24']}) ORDER BY ALL").fetchall()
+    got = registry.QUERIES["xyz_to_rgb24"](spark, str(tmp_path)).select("y", "x", "r2", "g2", "b2").collect()
+    assert len(expected) == len(border) > 100
+    assert sorted(tuple(r) for r in got) == expected
+
+
 def test_entry(spark):
     import __spark_entry__
 
